@@ -18,7 +18,7 @@ from tidewater.forecast.gram import centred, cross_products, partial_sums, solve
 from tidewater.forecast.rollout import recursive_rollout, roll
 from tidewater.operators.positions import SERIES, TS, Y, over_neighbours
 from tidewater.operators.ranking import best_candidate, mark_chosen
-from tidewater.operators.splits import period_for
+from tidewater.operators.splits import period_for_training
 
 PERIODS = (4, 12, 52)
 
@@ -98,7 +98,7 @@ def solve(gram: np.ndarray, spec: dict, period: int) -> tuple[float, np.ndarray]
 def with_period(split: DataFrame, period: int | None) -> DataFrame:
     if "period" in split.columns:
         return split
-    chosen = F.lit(period) if period else period_for(F.col("n_train"))
+    chosen = F.lit(period) if period else period_for_training()
     return split.withColumn("period", chosen.cast("int"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Default setup and tuning policy.
 DEFAULT_SETUP = {
@@ -117,24 +118,14 @@ DEFAULT_MODELS = ["rf", "svr", "xgb", "lr", "rnn", "lstm", "mlp", "lstm_feat", "
 REPORT_COLUMNS = ["model", "composite_score", "rmse", "mae", "r2", "mase", "mape"]
 
 
-def model_table(spark: SparkSession) -> DataFrame:
-    """One row per known model: key, position, base name, family."""
-    rows = [(k, i, DISPLAY_NAMES[k], FAMILIES.get(k, "Other")) for i, k in enumerate(DISPLAY_NAMES)]
-    return spark.createDataFrame(rows, "model_key string, model_order int, base_name string, family string")
-
-
-def variation_table(spark: SparkSession, models: list[str] | None = None) -> DataFrame:
-    """One row per model and variation with its parameters as JSON."""
-    rows = [
-        (key, i, json.dumps(spec))
-        for key, specs in VARIATIONS.items()
-        if models is None or key in models
-        for i, spec in enumerate(specs)
-    ]
-    return spark.createDataFrame(rows, "model_key string, variation int, params string")
+def params_of(model_key: str = "model_key", variation: str = "variation") -> Column:
+    """Parameters (JSON) of a model's variation; an empty object where there are none."""
+    known = {f"{k}/{i}": json.dumps(spec) for k, specs in VARIATIONS.items() for i, spec in enumerate(specs)}
+    table = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
+    return F.coalesce(F.try_element_at(table, F.concat_ws("/", model_key, variation)), F.lit("{}"))
 
 
 def loss_table(spark: SparkSession) -> DataFrame:
     """One row per model and supported loss."""
-    rows = [(k, i, loss) for k, losses in LOSSES_BY_MODEL.items() for i, loss in enumerate(losses)]
-    return spark.createDataFrame(rows, "model_key string, loss_order int, loss string")
+    rows = ", ".join(f"('{k}', '{loss}')" for k, losses in LOSSES_BY_MODEL.items() for loss in losses)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(model_key, loss)")

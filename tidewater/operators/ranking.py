@@ -13,6 +13,7 @@ from tidewater.operators.metrics import METRICS, finite, no_nan
 from tidewater.operators.positions import SERIES
 
 MASE_CAP, MAPE_CAP = 10.0, 200.0
+TIE = 1e-9
 SCORES = ["s_rmse", "s_mae", "s_r2", "s_mase", "s_mape"]
 
 
@@ -31,7 +32,7 @@ def mean_of_present(columns: list[Column]) -> Column:
 def score_columns(metrics: DataFrame, by: list[str]) -> DataFrame:
     """Five 0-1 scores (1 is best), min-max normalised inside every ranking set."""
     w = Window.partitionBy(*by)
-    for name in (*METRICS, ):
+    for name in METRICS:
         if name in metrics.columns:
             metrics = metrics.withColumn(name, no_nan(F.col(name)))
     clean = metrics.withColumns(
@@ -44,13 +45,17 @@ def score_columns(metrics: DataFrame, by: list[str]) -> DataFrame:
     def span(c):
         return F.min(c).over(w), F.max(c).over(w)
 
+    def apart(lo, hi):
+        # Values that differ only by the order their sums were taken in count as equal.
+        return hi - lo > TIE * F.greatest(F.abs(hi), F.abs(lo))
+
     def low_is_good(c):
         lo, hi = span(c)
-        return F.when(hi > lo, 1 - (F.col(c) - lo) / (hi - lo)).otherwise(1.0)
+        return F.when(apart(lo, hi), 1 - (F.col(c) - lo) / (hi - lo)).otherwise(1.0)
 
     def low_is_good_or_neutral(c):
         lo, hi = span(c)
-        graded = F.when(hi > lo, 1 - (F.col(c) - lo) / (hi - lo)).otherwise(1.0)
+        graded = F.when(apart(lo, hi), 1 - (F.col(c) - lo) / (hi - lo)).otherwise(1.0)
         return F.when(F.col(c).isNull(), 0.5).otherwise(graded)
 
     lo, hi = span("r2")
@@ -58,7 +63,7 @@ def score_columns(metrics: DataFrame, by: list[str]) -> DataFrame:
         {
             "s_rmse": low_is_good("rmse"),
             "s_mae": low_is_good("mae"),
-            "s_r2": F.when(hi > lo, (F.col("r2") - lo) / (hi - lo)).otherwise(
+            "s_r2": F.when(apart(lo, hi), (F.col("r2") - lo) / (hi - lo)).otherwise(
                 F.when(hi >= 0, 1.0).otherwise(0.0)
             ),
             "s_mase": low_is_good_or_neutral("_mase"),
@@ -81,7 +86,11 @@ def _tie_break(df: DataFrame) -> list[str]:
 
 def rank_models(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """rank 1 is the best composite score (lowest rmse where there is no composite column)."""
-    best = F.col("composite_score").desc_nulls_last() if "composite_score" in scored.columns else F.col("rmse").asc_nulls_last()
+    # Rounded, so that equal composites fall to the tie-break whatever order their sums were taken in.
+    if "composite_score" in scored.columns:
+        best = F.round("composite_score", 9).desc_nulls_last()
+    else:
+        best = F.col("rmse").asc_nulls_last()
     w = Window.partitionBy(*(by or [SERIES])).orderBy(best, *_tie_break(scored))
     return scored.withColumn("rank", F.row_number().over(w))
 
@@ -97,13 +106,25 @@ def lead_margin(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
     return ranked.withColumn("margin", gap).where(F.col("rank") == 1)
 
 
-def aggregate_runs(metrics: DataFrame) -> DataFrame:
-    """Mean of every metric over runs and the population deviation of rmse (0 for one run)."""
+def aggregate_runs(metrics: DataFrame, with_composite_std: bool = False) -> DataFrame:
+    """Mean of every metric over runs and the population deviation of rmse (0 for one run).
+
+    ``with_composite_std`` adds the deviation of the per-run composite in the same pass.
+    """
     keys = [c for c in (SERIES, "model", "model_key", "variation") if c in metrics.columns]
-    rmse = no_nan(F.col("rmse"))
+
+    def deviation(value):
+        return F.when(F.count(value) > 1, F.stddev_pop(value)).otherwise(0.0)
+
+    extra = []
+    if with_composite_std:
+        by_name = Window.partitionBy(SERIES, "run", "model").orderBy("model_key", "variation")
+        metrics = run_composites(metrics).withColumn("_run_score", F.first("composite_score").over(by_name))
+        extra = [deviation(F.col("_run_score")).alias("composite_std")]
     return metrics.groupBy(*keys).agg(
         *[F.avg(no_nan(F.col(c))).alias(c) for c in METRICS if c in metrics.columns],
-        F.when(F.count(rmse) > 1, F.stddev_pop(rmse)).otherwise(0.0).alias("rmse_std"),
+        deviation(no_nan(F.col("rmse"))).alias("rmse_std"),
+        *extra,
     )
 
 
@@ -138,16 +159,31 @@ def best_per_run(metrics: DataFrame) -> DataFrame:
     return rank_models(run_composites(metrics), [SERIES, "run"]).where(F.col("rank") == 1).drop("rank")
 
 
+def _medians(scored: DataFrame) -> list[Column]:
+    names = ("composite_score", *METRICS, "rmse_std", "composite_std")
+    return [F.median(no_nan(F.col(c))).alias(c) for c in names if c in scored.columns and c != "mse"]
+
+
+def _best_variation() -> Column:
+    order = F.struct(F.round("composite_score", 9), -F.col("variation"))
+    return F.max_by("variation", order).alias("best_variation")
+
+
 def median_by_model(scored: DataFrame, name: str = "model") -> DataFrame:
     """Median of every metric over the variations that share a name."""
-    columns = [c for c in ("composite_score", *METRICS, "rmse_std", "composite_std") if c in scored.columns and c != "mse"]
-    return scored.groupBy(SERIES, name).agg(*[F.median(no_nan(F.col(c))).alias(c) for c in columns])
+    return scored.groupBy(SERIES, name).agg(*_medians(scored))
 
 
 def best_variation(scored: DataFrame, name: str = "model") -> DataFrame:
     """The variation with the highest composite per name; the first one on ties."""
-    order = F.struct(F.col("composite_score"), -F.col("variation"))
-    return scored.groupBy(SERIES, name).agg(F.max_by("variation", order).alias("best_variation"))
+    return scored.groupBy(SERIES, name).agg(_best_variation())
+
+
+def merge_variations(scored: DataFrame) -> DataFrame:
+    """Medians, model key and best variation per model name, in one aggregation."""
+    return scored.groupBy(SERIES, "model").agg(
+        F.min("model_key").alias("model_key"), _best_variation(), *_medians(scored)
+    )
 
 
 def best_by_family(ranked: DataFrame) -> DataFrame:

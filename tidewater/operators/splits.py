@@ -62,11 +62,15 @@ def dataset_profile(split: DataFrame) -> DataFrame:
 def seasonal_period(split: DataFrame) -> DataFrame:
     """Seasonal period by training length: above 104 rows 52, above 24 rows 12, else 4."""
     counted = split.where("is_train").groupBy(SERIES).agg(F.count(F.lit(1)).alias("n_train"))
-    return counted.withColumn("period", period_for(F.col("n_train")))
+    return counted.withColumn("period", period_for_training())
 
 
-def period_for(n_train):
-    return F.when(n_train > 104, 52).when(n_train > 24, 12).otherwise(4)
+PERIOD_SQL = "CASE WHEN n_train > 104 THEN 52 WHEN n_train > 24 THEN 12 ELSE 4 END"
+
+
+def period_for_training():
+    """The period as a column, from n_train."""
+    return F.expr(PERIOD_SQL)
 
 
 def train_tail(split: DataFrame, fraction: float = 0.15) -> DataFrame:

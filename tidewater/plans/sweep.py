@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.forecast import ar, es, linear, ma, trees, trend
@@ -15,7 +15,7 @@ from tidewater.functions.names import attach_family, display_name, judgment_text
 from tidewater.operators import ranking
 from tidewater.operators.metrics import evaluate
 from tidewater.operators.positions import SERIES, TS, Y
-from tidewater.operators.splits import period_for
+from tidewater.operators.splits import PERIOD_SQL
 
 # The extension point: model key -> function(split, specs) returning forecast rows, where specs are
 # the variations to run. User models register here and take part in sweeps and rankings.
@@ -131,11 +131,9 @@ def task_grid(split: DataFrame, models: list[str] | None = None, n_runs: int = 1
 
 def name_forecasts(forecasts: DataFrame, split: DataFrame) -> DataFrame:
     """Add params (JSON of the variation) and the display name."""
-    variations = catalog.variation_table(split.sparkSession)
-    counts = split.select(SERIES, "n_train").groupBy(SERIES).agg(F.any_value("n_train").alias("_n_train"))
-    joined = forecasts.join(F.broadcast(variations), ["model_key", "variation"], "left").join(counts, SERIES)
-    model = display_name(F.col("model_key"), F.coalesce("params", F.lit("{}")), period_for(F.col("_n_train")))
-    return joined.withColumn("model", model).drop("_n_train")
+    counts = split.groupBy(SERIES).agg(F.max("n_train").alias("n_train"))
+    joined = forecasts.withColumn("params", catalog.params_of()).join(counts, SERIES)
+    return joined.withColumn("model", display_name("model_key", "params", PERIOD_SQL)).drop("n_train")
 
 
 def sweep(split: DataFrame, models: list[str] | None = None, n_runs: int = 1) -> DataFrame:
@@ -149,18 +147,13 @@ def sweep(split: DataFrame, models: list[str] | None = None, n_runs: int = 1) ->
 
 def results(forecasts: DataFrame, split: DataFrame) -> DataFrame:
     """One row per series, model and variation: metrics averaged over runs, their deviation, composite, rank."""
-    metrics = evaluate(forecasts, split)
-    merged = ranking.aggregate_runs(metrics).join(ranking.composite_std(metrics), [SERIES, "model"], "left")
+    merged = ranking.aggregate_runs(evaluate(forecasts, split), with_composite_std=True)
     return ranking.rank_models(ranking.composite_score(merged))
 
 
 def comparison(scored: DataFrame) -> DataFrame:
     """One row per series and model name: medians over variations, best variation, rank."""
-    medians = ranking.median_by_model(scored)
-    keys = scored.groupBy(SERIES, "model").agg(F.first("model_key").alias("model_key"))
-    best = ranking.best_variation(scored)
-    table = medians.join(keys, [SERIES, "model"]).join(best, [SERIES, "model"])
-    return attach_family(ranking.rank_models(table))
+    return attach_family(ranking.rank_models(ranking.merge_variations(scored)))
 
 
 def recommendation(table: DataFrame) -> DataFrame:
@@ -170,9 +163,6 @@ def recommendation(table: DataFrame) -> DataFrame:
     return judgment_text(ranking.lead_margin(rescored))
 
 
-def attach_config(rows: DataFrame, spark: SparkSession) -> DataFrame:
+def attach_config(rows: DataFrame) -> DataFrame:
     """Parameters of the variation by key; an empty object where there are none."""
-    variations = catalog.variation_table(spark)
-    return rows.join(F.broadcast(variations), ["model_key", "variation"], "left").withColumn(
-        "params", F.coalesce("params", F.lit("{}"))
-    )
+    return rows.withColumn("params", catalog.params_of())

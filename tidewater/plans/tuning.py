@@ -11,6 +11,7 @@ from tidewater.forecast import ar, es, linear, ma, trees, trend
 from tidewater.functions import catalog
 from tidewater.functions.names import parse_model_name, tuned_name
 from tidewater.operators.positions import SERIES
+from tidewater.session import cut_lineage
 
 # Model key -> function(split, loss) returning (candidates, forecasts with params).
 TUNERS = {
@@ -67,7 +68,7 @@ def tune_models(split: DataFrame, chosen: list[tuple[str, str | None]]) -> tuple
                 {"model_key": F.lit(model_key), "loss": F.lit(loss).cast("string")}
             )
         )
-        name = tuned_name(F.col("model_key"), F.col("params"), F.lit(loss).cast("string"))
+        name = tuned_name("model_key", "params", f"'{loss}'" if loss else "''")
         forecasts.append(f.withColumns({"run": F.lit(1), "model": name}))
     return reduce(DataFrame.unionByName, candidates), reduce(DataFrame.unionByName, forecasts)
 
@@ -78,7 +79,10 @@ def tune_top_models(split: DataFrame, ranked: DataFrame, n: int, pool: list[tupl
     ``pool`` lists the (model_key, loss) pairs that may be tuned. Every pair is tuned for the whole
     panel in one go and kept for the series whose ranking asks for it.
     """
-    wanted = tune_candidates(ranked, n).select(SERIES, "model_key", F.coalesce("loss", F.lit("")).alias("_loss"))
+    # A few rows per series that every pair is matched with: computed once.
+    wanted = cut_lineage(
+        tune_candidates(ranked, n).select(SERIES, "model_key", F.coalesce("loss", F.lit("")).alias("_loss"))
+    )
     parts = []
     for model_key, loss in pool:
         _, forecasts = tune_models(split, [(model_key, loss)])

@@ -38,12 +38,13 @@ def flat(runs=1):
 
 
 _ID = "series_id, model_key, model, variation, run"
-_METRICS = "round(mse, 2) AS mse, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 6) AS r2, round(mase, 6) AS mase, round(mape, 6) AS mape"
+_METRICS = "round(mse, 2) AS mse, round(rmse, 4) AS rmse, round(mae, 2) AS mae, round(r2, 6) AS r2, round(mase, 6) AS mase, round(mape, 6) AS mape"
 
 
 def tidy(df):
-    """Money to cents or better, ratios to six decimals."""
-    places = {"mse": 2, "rmse": 4, "mae": 4, "rmse_std": 4}
+    """Money to cents or better, ratios to six decimals. Mean absolute errors are sums of cents over a
+    small count, so at four decimals exact halves would round either way."""
+    places = {"mse": 2, "rmse": 4, "mae": 2, "rmse_std": 4, "pinball": 2}
     doubles = [c for c, t in df.dtypes if t == "double"]
     return df.withColumns({c: F.round(c, places.get(c, 6)) for c in doubles})
 
@@ -51,7 +52,7 @@ def tidy(df):
 # Metrics
 
 add("forecast_metrics", lambda spark, sf: tidy(m.forecast_metrics(flat_forecasts(suppliers(spark, sf)))).drop("mape"),
-    sql.query(*flat(), select=f"SELECT {_ID}, round(mse, 2) AS mse, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 6) AS r2 FROM metrics"))
+    sql.query(*flat(), select=f"SELECT {_ID}, round(mse, 2) AS mse, round(rmse, 4) AS rmse, round(mae, 2) AS mae, round(r2, 6) AS r2 FROM metrics"))
 add("mase", lambda spark, sf: tidy(flat_metrics(split_of(p.event_readings(spark, sf)))).select(SERIES, "variation", "mase"),
     sql.query(p.EVENT_READINGS, sql.features(), sql.SPLIT, sql.flat_forecasts(), sql.METRICS,
               select="SELECT series_id, variation, round(mase, 6) AS mase FROM metrics"))
@@ -72,9 +73,9 @@ def _aligned(split):
     return rounded(m.align_forecast(split.where("not is_train"), forecasts)).select(SERIES, TS, "variation", Y, "yhat")
 
 
-add("pinball_loss", lambda spark, sf: rounded(m.pinball_loss(flat_forecasts(suppliers(spark, sf)), [SERIES, "variation"], 0.9)),
+add("pinball_loss", lambda spark, sf: tidy(m.pinball_loss(flat_forecasts(suppliers(spark, sf)), [SERIES, "variation"], 0.9)),
     sql.query(*_BASE, sql.flat_forecasts(),
-              select="SELECT series_id, variation, round(avg(greatest(0.9 * (y - yhat), (0.9 - 1) * (y - yhat))), 4) AS pinball FROM forecasts GROUP BY ALL"))
+              select="SELECT series_id, variation, round(avg(greatest(0.9 * (y - yhat), (0.9 - 1) * (y - yhat))), 2) AS pinball FROM forecasts GROUP BY ALL"))
 add("clip_metric",
     lambda spark, sf: tidy(flat_metrics(suppliers(spark, sf)).select(
         SERIES, "variation", r.clip_metric(F.col("mase") * 15, r.MASE_CAP).alias("mase"), r.clip_metric(F.col("mape") * 5, r.MAPE_CAP).alias("mape"))),
@@ -126,26 +127,26 @@ add("run_composite_lookup", lambda spark, sf: tidy(r.run_composite_lookup(flat_m
     sql.query(*flat(3), _RUN_SCORED, select="SELECT series_id, run, model, round(composite_score, 6) AS composite_score FROM run_scored"))
 add("composite_std", lambda spark, sf: tidy(r.composite_std(flat_metrics(suppliers(spark, sf), 3))),
     sql.query(*flat(3), _RUN_SCORED, select="SELECT series_id, model, round(stddev_pop(composite_score), 6) AS composite_std FROM run_scored GROUP BY ALL"))
-add("best_per_run", lambda spark, sf: tidy(sweep.attach_config(r.best_per_run(flat_metrics(suppliers(spark, sf), 3)), spark))
+add("best_per_run", lambda spark, sf: tidy(sweep.attach_config(r.best_per_run(flat_metrics(suppliers(spark, sf), 3))))
     .select(SERIES, "run", "model", "rmse", "composite_score", "params"),
     sql.query(*flat(3), _RUN_SCORED, select="""
 SELECT series_id, run, model, round(rmse, 4) AS rmse, round(composite_score, 6) AS composite_score,
   '{"window": ' || (3 + 2 * variation) || '}' AS params
-FROM run_scored QUALIFY row_number() OVER (PARTITION BY series_id, run ORDER BY composite_score DESC, model) = 1"""))
+FROM run_scored QUALIFY row_number() OVER (PARTITION BY series_id, run ORDER BY round(composite_score, 9) DESC, model) = 1"""))
 add("mean_prediction", lambda spark, sf: rounded(r.mean_prediction(flat_forecasts(suppliers(spark, sf), 3))).select(SERIES, "variation", TS, "yhat"),
     sql.query(*_BASE, sql.flat_forecasts(runs=3), select="SELECT series_id, variation, ts, round(avg(yhat), 4) AS yhat FROM forecasts GROUP BY ALL"))
 add("median_by_model", lambda spark, sf: tidy(r.median_by_model(r.composite_score(flat_metrics(suppliers(spark, sf))), "model_key")),
     sql.query(*flat(), sql.composite(), select="SELECT series_id, model_key, "
-              + ", ".join(f"round(median({c}), {4 if c in ('rmse', 'mae') else 6}) AS {c}" for c in ("composite_score", "rmse", "mae", "r2", "mase", "mape"))
+              + ", ".join(f"round(median({c}), { {'rmse': 4, 'mae': 2}.get(c, 6) }) AS {c}" for c in ("composite_score", "rmse", "mae", "r2", "mase", "mape"))
               + " FROM scored GROUP BY ALL"))
 add("best_variation", lambda spark, sf: r.best_variation(r.composite_score(flat_metrics(suppliers(spark, sf))), "model_key"),
     sql.query(*flat(), sql.composite(), select="SELECT series_id, model_key, variation AS best_variation FROM scored "
-              "QUALIFY row_number() OVER (PARTITION BY series_id, model_key ORDER BY composite_score DESC, variation) = 1"))
+              "QUALIFY row_number() OVER (PARTITION BY series_id, model_key ORDER BY round(composite_score, 9) DESC, variation) = 1"))
 add("attach_family", lambda spark, sf: names.attach_family(flat_metrics(suppliers(spark, sf))).select(SERIES, "model", "family"),
     sql.query(*flat(), select="SELECT series_id, model, 'Statistical' AS family FROM metrics"))
 add("best_by_family", lambda spark, sf: tidy(r.best_by_family(names.attach_family(flat_ranked(suppliers(spark, sf))))).select(SERIES, "family", "model"),
     sql.query(*flat(), sql.composite(), sql.ranked(), select="SELECT series_id, 'Statistical' AS family, model FROM ranked WHERE rank = 1"))
-add("attach_config", lambda spark, sf: sweep.attach_config(flat_metrics(suppliers(spark, sf)), spark).select(SERIES, "model", "params"),
+add("attach_config", lambda spark, sf: sweep.attach_config(flat_metrics(suppliers(spark, sf))).select(SERIES, "model", "params"),
     sql.query(*flat(), select="SELECT series_id, model, '{\"window\": ' || (3 + 2 * variation) || '}' AS params FROM metrics"))
 
 # Candidates and folds
@@ -270,13 +271,13 @@ FROM (SELECT series_id, CASE WHEN n_train > 104 THEN 52 WHEN n_train > 24 THEN 1
 
 def _display_names(split, spark):
     tasks = sweep.task_grid(split, list(catalog.VARIATIONS), 1)
-    model = names.display_name(F.col("model_key"), F.col("params"), splits.period_for(F.col("n_train")))
+    model = names.display_name("model_key", "params", splits.PERIOD_SQL)
     return tasks.select(SERIES, model.alias("model")).distinct()
 
 
-add("format_report", lambda spark, sf: names.format_report(flat_ranked(suppliers(spark, sf))),
+add("format_report", lambda spark, sf: names.format_report(flat_ranked(suppliers(spark, sf)).withColumn("mae", F.round("mae", 2))),
     sql.query(*flat(), sql.composite(), sql.ranked(), select="SELECT series_id, rank, model, "
-              + ", ".join(f"coalesce(printf('%.{d}f', {c}), '') AS {c}" for c, d in names.REPORT_DECIMALS.items()) + " FROM ranked"))
+              + ", ".join(f"coalesce(printf('%.{d}f', {'round(mae, 2)' if c == 'mae' else c}), '') AS {c}" for c, d in names.REPORT_DECIMALS.items()) + " FROM ranked"))
 add("judgment_text",
     lambda spark, sf: names.judgment_text(names.attach_family(r.lead_margin(flat_ranked(suppliers(spark, sf))))).select(SERIES, "judgment"),
     sql.query(*flat(), sql.composite(), sql.ranked(), select="""
@@ -311,7 +312,7 @@ def _normalization(split):
 
 def _configs(split, spark):
     rows = sweep.task_grid(split, ["ma", "lr"], 1).withColumn(
-        "model", names.display_name(F.col("model_key"), F.col("params"), splits.period_for(F.col("n_train")))
+        "model", names.display_name("model_key", "params", splits.PERIOD_SQL)
     )
     return configs.run_config(rows, splits.dataset_profile(split), {"file": "lineitem.parquet", "time_col": "l_shipdate", "data_col": "revenue"})
 
@@ -328,9 +329,9 @@ GROUP BY ALL"""))
 
 # Report tables
 
-add("report_table", lambda spark, sf: report.report_table(flat_ranked(suppliers(spark, sf)), 20),
+add("report_table", lambda spark, sf: report.report_table(flat_ranked(suppliers(spark, sf)).withColumn("mae", F.round("mae", 2)), 20),
     sql.query(*flat(), sql.composite(), sql.ranked(), select="SELECT series_id, rank, model, "
-              + ", ".join(f"round({c}, 4) AS {c}" for c in ("composite_score", "rmse", "mae", "r2", "mase", "mape")) + " FROM ranked WHERE rank <= 20"))
+              + ", ".join(f"round({c}, {2 if c == 'mae' else 4}) AS {c}" for c in ("composite_score", "rmse", "mae", "r2", "mase", "mape")) + " FROM ranked WHERE rank <= 20"))
 add("chart_trellis", lambda spark, sf: _trellis(suppliers(spark, sf)),
     sql.query(*flat(), sql.composite(), sql.ranked(), select="""
 SELECT s.series_id, k.model_key, k.variation, s.ts, s.is_train, round(s.y, 4) AS y, k.rank, round(k.composite_score, 4) AS composite_score,
@@ -358,9 +359,9 @@ def _top3(split):
     return rounded(report.chart_top3(flat_ranked(split), flat_forecasts(split), split))
 
 
-add("chart_performance", lambda spark, sf: rounded(report.chart_performance(flat_ranked(suppliers(spark, sf)))),
+add("chart_performance", lambda spark, sf: rounded(report.chart_performance(flat_ranked(suppliers(spark, sf))), 2),
     sql.query(*flat(), sql.composite(), sql.ranked(), select="""
-SELECT series_id, model, rank, rank <= 3 AS top3, metric, round("value", 4) AS "value",
+SELECT series_id, model, rank, rank <= 3 AS top3, metric, round("value", 2) AS "value",
   coalesce(CASE metric WHEN 'r2' THEN "value" < 0 WHEN 'mase' THEN "value" > 1 ELSE false END, false) AS warn
 FROM (SELECT series_id, model, rank, unnest(['composite_score', 'rmse', 'mae', 'r2', 'mase', 'mape']) AS metric,
         unnest([composite_score, rmse, mae, r2, coalesce(mase, 10.0), least(mape, 200.0)]) AS "value" FROM ranked)"""))
@@ -449,7 +450,7 @@ add("write_summary", _written_summary,
     sql.query(*flat(3), _RUN_SCORED, select="""
 SELECT series_id, (SELECT count(*) FILTER (is_train) FROM split s WHERE s.series_id = b.series_id) AS training_samples,
   3 AS n_results, model AS best_model, 3 AS n_runs, model AS first_run_best
-FROM run_scored b WHERE run = 1 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY composite_score DESC, model) = 1"""))
+FROM run_scored b WHERE run = 1 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(composite_score, 9) DESC, model) = 1"""))
 
 
 def _written_candidates(spark, sf):

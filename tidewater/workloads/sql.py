@@ -87,14 +87,18 @@ metrics AS (
 
 
 def composite(source: str = "metrics", by: str = "series_id", name: str = "scored") -> str:
+    def apart(c):
+        lo, hi = f"min({c}) OVER g", f"max({c}) OVER g"
+        return f"{hi} - {lo} > 1e-9 * greatest(abs({hi}), abs({lo}))"
+
     def low(c):
-        return (f"CASE WHEN max({c}) OVER g > min({c}) OVER g "
+        return (f"CASE WHEN {apart(c)} "
                 f"THEN 1 - ({c} - min({c}) OVER g) / (max({c}) OVER g - min({c}) OVER g) ELSE 1.0 END")
 
     return f"""
 {name}_scores AS (
   SELECT *, {low("rmse")} AS s_rmse, {low("mae")} AS s_mae,
-    CASE WHEN max(r2) OVER g > min(r2) OVER g
+    CASE WHEN {apart("r2")}
          THEN (r2 - min(r2) OVER g) / (max(r2) OVER g - min(r2) OVER g)
          WHEN max(r2) OVER g >= 0 THEN 1.0 ELSE 0.0 END AS s_r2,
     CASE WHEN c_mase IS NULL THEN 0.5 ELSE {low("c_mase")} END AS s_mase,
@@ -110,5 +114,5 @@ def composite(source: str = "metrics", by: str = "series_id", name: str = "score
 def ranked(source: str = "scored", by: str = "series_id", order: str = "model, model_key, variation, run") -> str:
     return f"""
 ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY composite_score DESC NULLS LAST, {order}) AS INTEGER) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY round(composite_score, 9) DESC NULLS LAST, {order}) AS INTEGER) AS rank
   FROM {source})"""
