@@ -1,7 +1,7 @@
 """Shapes shared by all forecasters.
 
 Every forecaster takes a split (features + rn, n, n_train, is_train) and returns long rows:
-series_id, model_key, variation, ts, rn, y, yhat, forecast_mode.
+series_id, model_key, variation, ts, rn, n_train, y, yhat, forecast_mode.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from tidewater.operators.metrics import finite
 from tidewater.operators.positions import SERIES, TS, Y
 
 HORIZON, ONE_STEP = "whole_horizon", "one_step"
-FORECAST_COLUMNS = [SERIES, "model_key", "variation", TS, "rn", Y, "yhat", "forecast_mode"]
+FORECAST_COLUMNS = [SERIES, "model_key", "variation", TS, "rn", "n_train", Y, "yhat", "forecast_mode"]
 
 
 def test_rows(split: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def forecast_rows(rows: DataFrame, model_key: str, yhat: Column, mode: str = HOR
         F.col("variation").cast("int").alias("variation"),
         TS,
         "rn",
+        "n_train",
         Y,
         finite(yhat).alias("yhat"),
         F.lit(mode).alias("forecast_mode"),

@@ -175,7 +175,7 @@ def _on_scale(fitted: np.ndarray, frame, params: dict) -> list[float]:
 def forecast_trend_seasonal(split: DataFrame, grid: list[dict] | None = None) -> DataFrame:
     grid = grid or VARIATIONS
     fits = trend_fits(split.where("is_train"), grid)
-    rows = predict_trend(split.where(~F.col("is_train")), fits, grid, [TS, "rn", Y])
+    rows = predict_trend(split.where(~F.col("is_train")), fits, grid, [TS, "rn", "n_train", Y])
     return forecast_rows(rows, "prophet", F.col("yhat"), HORIZON)
 
 

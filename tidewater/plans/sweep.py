@@ -6,15 +6,17 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.forecast import ar, es, linear, ma, trees, trend
+from tidewater.forecast.common import HORIZON, forecast_rows
 from tidewater.functions import catalog
 from tidewater.functions.names import attach_family, display_name, judgment_text
 from tidewater.operators import ranking
 from tidewater.operators.metrics import evaluate
-from tidewater.operators.positions import SERIES, TS, Y
+from tidewater.operators.positions import SERIES, TS, Y, one_row_per_date
 from tidewater.operators.splits import PERIOD_SQL
 
 # The extension point: model key -> function(split, specs) returning forecast rows, where specs are
@@ -34,25 +36,25 @@ def register_forecaster(model_key: str, forecaster: Forecaster, variations: list
 def per_series_forecaster(model_key: str, predict: Callable) -> Forecaster:
     """Wrap ``predict(train_y, horizon, spec) -> values`` (NumPy) into a forecaster.
 
-    Every series is one group, so this is for panels of dates, where the calendar bounds a series.
+    Every series is one group, so this takes panels of dates only, where the calendar bounds a series.
     """
-    from tidewater.forecast.common import HORIZON, forecast_rows
 
     def forecaster(split: DataFrame, specs: list[dict]) -> DataFrame:
-        def run(pdf):
-            import pandas as pd
+        if not one_row_per_date(split):
+            raise ValueError("a per-series forecaster needs a panel with one row per series and date")
 
+        def run(pdf):
             pdf = pdf.sort_values("rn")
             train, test = pdf[pdf["is_train"]], pdf[~pdf["is_train"]]
             out = [
                 test.assign(variation=i, yhat=predict(train[Y].to_numpy(), len(test), spec))
                 for i, spec in enumerate(specs)
             ]
-            return pd.concat(out)[[SERIES, "variation", TS, "rn", Y, "yhat"]]
+            return pd.concat(out)[[SERIES, "variation", TS, "rn", "n_train", Y, "yhat"]]
 
-        rows = split.select(SERIES, TS, "rn", Y, "is_train")
+        rows = split.select(SERIES, TS, "rn", "n_train", Y, "is_train")
         time_type = rows.schema[TS].dataType.simpleString()
-        schema = f"{SERIES} string, variation int, {TS} {time_type}, rn long, {Y} double, yhat double"
+        schema = f"{SERIES} string, variation int, {TS} {time_type}, rn long, n_train long, {Y} double, yhat double"
         made = rows.groupBy(SERIES).applyInPandas(run, schema)
         return forecast_rows(made, model_key, F.col("yhat"), HORIZON)
 
@@ -131,9 +133,10 @@ def task_grid(split: DataFrame, models: list[str] | None = None, n_runs: int = 1
 
 def name_forecasts(forecasts: DataFrame, split: DataFrame) -> DataFrame:
     """Add params (JSON of the variation) and the display name."""
-    counts = split.groupBy(SERIES).agg(F.max("n_train").alias("n_train"))
-    joined = forecasts.withColumn("params", catalog.params_of()).join(counts, SERIES)
-    return joined.withColumn("model", display_name("model_key", "params", PERIOD_SQL)).drop("n_train")
+    if "n_train" not in forecasts.columns:
+        forecasts = forecasts.join(split.groupBy(SERIES).agg(F.max("n_train").alias("n_train")), SERIES)
+    named = forecasts.withColumn("params", catalog.params_of())
+    return named.withColumn("model", display_name("model_key", "params", PERIOD_SQL)).drop("n_train")
 
 
 def sweep(split: DataFrame, models: list[str] | None = None, n_runs: int = 1) -> DataFrame:

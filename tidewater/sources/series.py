@@ -60,13 +60,20 @@ def series_panel(
     data_col: str,
     series_cols: list[str] | None = None,
     date_format: str | None = None,
+    one_row_per_date: bool = False,
 ) -> DataFrame:
-    """Keep the time and the target, keyed by series; order is left to the windows that need it."""
+    """Keep the time and the target, keyed by series; order is left to the windows that need it.
+
+    The time becomes a timestamp, since a file may repeat a date any number of times. A caller who
+    knows that it does not sets ``one_row_per_date`` and gets the DATE column that allows plain
+    per-series windows.
+    """
     require_columns(df, time_col, data_col)
     keys = [F.col(c).cast("string") for c in series_cols or []]
     series = keys[0] if len(keys) == 1 else F.concat_ws("|", *keys) if keys else F.lit("all")
-    kind = dict(df.dtypes)[time_col]
-    time = parse_time(F.col(time_col), date_format) if kind == "string" else F.col(time_col)
+    is_text = dict(df.dtypes)[time_col] == "string"
+    time = parse_time(F.col(time_col), date_format if is_text else None)
+    time = F.to_date(time) if one_row_per_date else time
     return df.select(series.alias(SERIES), time.alias(TS), no_nan(F.col(data_col).cast("double")).alias(Y))
 
 
@@ -78,12 +85,14 @@ def load_series(
     date_format: str | None = None,
     series_cols: list[str] | None = None,
     schema=None,
+    one_row_per_date: bool = False,
 ) -> DataFrame:
     """Panel from a CSV, JSON or parquet file or folder, chosen by its extension."""
     extension = path.rstrip("/").split(".")[-1].lower()
     if extension not in READERS:
         raise ValueError(f"Unsupported file format: {extension}")
-    return series_panel(READERS[extension](spark, path, schema), time_col, data_col, series_cols, date_format)
+    table = READERS[extension](spark, path, schema)
+    return series_panel(table, time_col, data_col, series_cols, date_format, one_row_per_date)
 
 
 def rollup(
