@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,4 +51,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df):
     """Write a small intermediate table to the checkpoint folder and continue from the file."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    # Loops call this once per pass. Frames of finished passes sit in reference cycles here and keep
+    # their broadcast tables alive in the JVM until they are collected.
+    gc.collect()
+    return written
