@@ -19,6 +19,7 @@ from tidewater.forecast.rollout import recursive_rollout, roll
 from tidewater.operators.positions import SERIES, TS, Y, over_neighbours
 from tidewater.operators.ranking import best_candidate, mark_chosen
 from tidewater.operators.splits import period_for_training
+from tidewater.session import spread
 
 PERIODS = (4, 12, 52)
 
@@ -187,7 +188,7 @@ def fit_ar(split: DataFrame, specs: list[dict], period: int | None = None) -> Da
             yield pd.DataFrame(out, columns=[SERIES, "variation", "intercept", "coef", "state"])
 
     schema = f"{SERIES} string, variation int, intercept double, coef array<double>, state array<double>"
-    return grams.mapInPandas(run, schema)
+    return spread(grams, SERIES).mapInPandas(run, schema)
 
 
 def forecast_fits(split: DataFrame, fits: DataFrame, model_key: str) -> DataFrame:

@@ -20,7 +20,7 @@ from tidewater.forecast.ar import with_period
 from tidewater.forecast.common import forecast_rows, test_rows
 from tidewater.operators.positions import BLOCK_ROWS, SERIES, Y, one_row_per_date
 from tidewater.operators.ranking import best_candidate, mark_chosen
-from tidewater.session import cut_lineage
+from tidewater.session import cut_lineage, spread
 
 # The three variations and the nine tuning combinations.
 VARIATIONS = [("add", "add"), ("add", None), ("mul", "mul")]
@@ -129,7 +129,8 @@ def smoothing_states(train: DataFrame, combos: list, weights=None, block_rows: i
     ``train`` holds series_id, rn, y and period. Start values come from the first block.
     """
     grids = _grids(combos, weights)
-    rows = train.select(SERIES, "rn", Y, "period", F.floor(F.col("rn") / block_rows).alias("_block"))
+    block = F.floor(F.col("rn") / block_rows).alias("_block")
+    rows = spread(train.select(SERIES, "rn", Y, "period", block), SERIES)
 
     def first_block(pdf):
         with np.errstate(all="ignore"):

@@ -22,7 +22,7 @@ from tidewater.operators.features import CALENDAR, feature_names
 from tidewater.operators.positions import SERIES, TS, Y, one_row_per_date
 from tidewater.operators.ranking import best_candidate, mark_chosen
 from tidewater.operators.splits import fold_start
-from tidewater.session import cut_lineage
+from tidewater.session import cut_lineage, spread
 
 # Shifts that keep calendar columns small; a shift changes no prediction.
 CALENDAR_SHIFT = {"dayofweek": 3, "month": 6, "quarter": 2, "year": 2000}
@@ -230,7 +230,7 @@ def fit_reweighted(train: DataFrame, specs: list[dict], columns: list[str]) -> D
             ]
             return pd.DataFrame(out, columns=[SERIES, "variation", "y_mean", "y_std", "coef"])
 
-        return train.groupBy(SERIES).applyInPandas(whole_series, COEF_SCHEMA)
+        return spread(train, SERIES).groupBy(SERIES).applyInPandas(whole_series, COEF_SCHEMA)
     return _fit_by_passes(train, specs, columns)
 
 
@@ -314,7 +314,7 @@ def fit_closed(train: DataFrame, specs: list[dict], columns: list[str]) -> DataF
                 coef = solve_closed(stacked, s, columns, pdf["y_std"].to_numpy())
                 yield pdf[keys].assign(variation=i, coef=coef.tolist())[[SERIES, "variation", "y_mean", "y_std", "coef"]]
 
-    return grams.mapInPandas(run, COEF_SCHEMA)
+    return spread(grams, SERIES).mapInPandas(run, COEF_SCHEMA)
 
 
 def fit_linear(split: DataFrame, specs: list[dict], columns: list[str] | None = None) -> DataFrame:
@@ -392,7 +392,7 @@ def _folds_from_segments(train, loss, grid, n_splits, columns):
                 )
 
     schema = f"{SERIES} string, candidate_no int, params string, fold int, rmse double"
-    return by_series.mapInPandas(run, schema)
+    return spread(by_series, SERIES).mapInPandas(run, schema)
 
 
 def _folds_by_fitting(train, loss, grid, n_splits, columns):

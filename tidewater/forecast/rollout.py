@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.session import spread
+
 # Steps per rolled-out piece; the state at the start of a piece is a matrix power away.
 CHUNK = 1024
 
@@ -56,12 +58,10 @@ def recursive_rollout(fits: DataFrame, keys: list[str], chunk: int = CHUNK) -> D
             yield out
 
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("horizon").cast("bigint") - 1, F.lit(chunk).cast("bigint"))
-    pieces = (
-        fits.where("horizon > 0")
-        .select(*keys, "coef", "intercept", "state", "horizon", F.explode(starts).alias("_start"))
-        .repartition(*keys, "_start")
+    pieces = fits.where("horizon > 0").select(
+        *keys, "coef", "intercept", "state", "horizon", F.explode(starts).alias("_start")
     )
-    rolled = pieces.mapInPandas(run, schema)
+    rolled = spread(pieces, *keys, "_start").mapInPandas(run, schema)
     return rolled.select(*keys, "_start", F.posexplode("_yhat").alias("_i", "yhat")).select(
         *keys, (F.col("_start") + F.col("_i") + 1).alias("step"), "yhat"
     )

@@ -21,7 +21,7 @@ from tidewater.forecast.linear import standardised
 from tidewater.operators.features import feature_names
 from tidewater.operators.positions import SERIES
 from tidewater.operators.splits import fold_start
-from tidewater.session import scratch_path
+from tidewater.session import scratch_path, spread
 
 # Seed, depths, rounds, rates and the two tuning grids.
 SEED = 42
@@ -94,7 +94,8 @@ def vectors(split: DataFrame, lags: int | None) -> DataFrame:
 def fit_trees(split: DataFrame, model_key: str, loss: str = "l2", lags: int | None = None, params: dict | None = None):
     """Fit one pooled model on all training rows."""
     estimator = BUILDERS[model_key](params or {}, loss)
-    train = vectors(split, lags).where("is_train").select("vector", "z").persist()
+    rows = vectors(split, lags).where("is_train").select(SERIES, "rn", "vector", "z")
+    train = spread(rows, SERIES, "rn").select("vector", "z").persist()
     try:
         return estimator.fit(train)
     finally:
@@ -130,7 +131,8 @@ def tree_candidates(
     """
     candidates = grid_candidates(grid or (FOREST_GRID if model_key == "rf" else BOOSTED_GRID))
     size = F.expr(f"n_train div {n_splits + 1}")
-    rows = vectors(split, None).where(F.col("is_train") & (F.col("n_train") > n_splits)).persist()
+    usable = vectors(split, None).where(F.col("is_train") & (F.col("n_train") > n_splits))
+    rows = spread(usable, SERIES, "rn").persist()
 
     path = scratch_path(split.sparkSession, f"{model_key}-candidates")
 

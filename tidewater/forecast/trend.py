@@ -21,6 +21,7 @@ from tidewater.functions.catalog import VARIATIONS as CATALOG
 from tidewater.operators.positions import SERIES, TS, Y, over_neighbours
 from tidewater.operators.ranking import best_candidate, mark_chosen
 from tidewater.operators.splits import holdout_split
+from tidewater.session import spread
 
 # Changepoints, Fourier orders, prior scale of the base trend, the tuning grid.
 CHANGEPOINTS, CHANGEPOINT_RANGE = 25, 0.8
@@ -122,7 +123,7 @@ def trend_fits(train: DataFrame, grid: list[dict]) -> DataFrame:
                 )
             yield pdf[keys].assign(coefs=coefs)
 
-    return grams.mapInPandas(run, schema)
+    return spread(grams, SERIES).mapInPandas(run, schema)
 
 
 # Rows per array when rows meet a grid of coefficients, so that the coefficients travel once per block.

@@ -17,6 +17,8 @@ def build_session(app: str = "tidewater", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Panels are small in bytes and heavy in work per row: let small partitions stay apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -48,6 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df, *keys):
+    """Hash rows over all shuffle partitions ahead of a costly Python stage.
+
+    Without this, adaptive execution judges the stage by its bytes and may give it to a single task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut_lineage(df):
     """Write a small intermediate table to the checkpoint folder and continue from the file."""
     shared_folder(df.sparkSession)

@@ -19,6 +19,11 @@ def split_of(panel: DataFrame, lags: int = 7) -> DataFrame:
     return chrono_split(feature_table(panel, lags))
 
 
+def held_split_of(panel: DataFrame, lags: int = 7) -> DataFrame:
+    """A split that several branches of one query read: kept in memory, or on disk where it does not fit."""
+    return split_of(panel, lags).persist()
+
+
 def rounded(df: DataFrame, places: int = 4, only: list[str] | None = None) -> DataFrame:
     """Round every double, so that sums taken in another order compare equal."""
     doubles = only or [c for c, t in df.dtypes if t == "double"]

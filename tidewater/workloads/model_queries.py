@@ -13,7 +13,7 @@ from tidewater.operators.positions import SERIES, TS
 from tidewater.plans import sweep, tuning
 from tidewater.workloads import panels as p
 from tidewater.workloads import sql
-from tidewater.workloads.base import rounded, split_of
+from tidewater.workloads.base import held_split_of, rounded
 from tidewater.workloads.score_queries import _BASE, _MA_GRID, suppliers, tidy
 
 QUERIES, ORACLES = {}, {}
@@ -33,7 +33,7 @@ def shown(forecasts, places=2):
 
 add("forecast_ma", lambda spark, sf: shown(ma.forecast_ma(suppliers(spark, sf)), 4),
     sql.query(*_BASE, sql.flat_forecasts(), select="SELECT series_id, model_key, variation, ts, round(yhat, 4) AS yhat FROM forecasts"))
-add("trailing_mean", lambda spark, sf: rounded(ma.trailing_mean(split_of(p.event_readings(spark, sf)).where("is_train"), [5])),
+add("trailing_mean", lambda spark, sf: rounded(ma.trailing_mean(held_split_of(p.event_readings(spark, sf)).where("is_train"), [5])),
     sql.query(p.EVENT_READINGS, sql.features(), sql.SPLIT,
               select='SELECT series_id, 5 AS "window", round(avg(y), 4) AS mean FROM split WHERE is_train AND rn >= n_train - 5 GROUP BY ALL'))
 _BEST_MA = """
@@ -71,7 +71,7 @@ def recursive(*ctes, select):
 
 
 add("forecast_ar", lambda spark, sf: shown(ar.forecast_ar(suppliers(spark, sf))), recursive(*_BASE, _AR_FITS, select=_AR_SQL))
-add("forecast_ar_readings", lambda spark, sf: shown(ar.forecast_ar(split_of(p.event_readings(spark, sf)), ar.PLAIN[:1])),
+add("forecast_ar_readings", lambda spark, sf: shown(ar.forecast_ar(held_split_of(p.event_readings(spark, sf)), ar.PLAIN[:1])),
     sql.query(p.EVENT_READINGS, sql.features(), sql.SPLIT, """
 lagged AS (SELECT series_id, rn, y, lag(y) OVER (PARTITION BY series_id ORDER BY rn) AS y1 FROM split WHERE is_train),
 fits AS (SELECT series_id, regr_slope(y, y1) AS phi, regr_intercept(y, y1) AS c, max_by(y, rn) AS last FROM lagged GROUP BY ALL)""",
@@ -82,7 +82,7 @@ FROM split JOIN fits USING (series_id) WHERE NOT is_train"""))
 
 def _rollout(spark, sf):
     """Damped continuation of every series: half of the last value, plus a tenth of the one before."""
-    split = split_of(p.orders_daily(spark, sf))
+    split = held_split_of(p.orders_daily(spark, sf))
     state = ar.last_values(split.where("is_train"), 2, "n_train")
     horizon = split.where("not is_train").groupBy(SERIES).agg(F.count(F.lit(1)).alias("horizon"))
     fits = state.join(horizon, SERIES).withColumns(
@@ -104,7 +104,7 @@ add("forecast_seasonal_naive", lambda spark, sf: shown(ar.forecast_seasonal_ar(s
     sql.query(*_BASE, select="""
 SELECT s.series_id, 'sarima' AS model_key, 0 AS variation, s.ts, round(t.y, 4) AS yhat
 FROM split s JOIN split t ON t.series_id = s.series_id AND t.rn = s.n_train - 12 + (s.rn - s.n_train) % 12 WHERE NOT s.is_train"""))
-add("tune_seasonal_ar", lambda spark, sf: rounded(ar.tune_seasonal_ar(split_of(p.returnflag_monthly(spark, sf)))[1].select(SERIES, TS, "params", "yhat")))
+add("tune_seasonal_ar", lambda spark, sf: rounded(ar.tune_seasonal_ar(held_split_of(p.returnflag_monthly(spark, sf)))[1].select(SERIES, TS, "params", "yhat")))
 
 # Exponential smoothing
 
@@ -121,18 +121,18 @@ add("forecast_es_simple",
     lambda spark, sf: shown(es.forecast_es(suppliers(spark, sf), [(None, None)], weights=[(a, 0.0, 0.0) for a in _ALPHAS])),
     recursive(*_BASE, _SES, select="SELECT series_id, 'es' AS model_key, 0 AS variation, ts, round(level, 2) AS yhat FROM split JOIN best USING (series_id) WHERE NOT is_train"))
 add("forecast_es", lambda spark, sf: shown(es.forecast_es(suppliers(spark, sf))))
-add("tune_es", lambda spark, sf: rounded(es.tune_es(split_of(p.returnflag_monthly(spark, sf)))[1].select(SERIES, TS, "params", "yhat")))
+add("tune_es", lambda spark, sf: rounded(es.tune_es(held_split_of(p.returnflag_monthly(spark, sf)))[1].select(SERIES, TS, "params", "yhat")))
 
 # Trend and seasonality
 
-add("forecast_trend_seasonal", lambda spark, sf: shown(trend.forecast_trend_seasonal(split_of(p.orders_daily(spark, sf)))))
-add("tune_trend_seasonal", lambda spark, sf: rounded(trend.tune_trend_seasonal(split_of(p.orders_daily(spark, sf)))[1].select(SERIES, TS, "params", "yhat")))
+add("forecast_trend_seasonal", lambda spark, sf: shown(trend.forecast_trend_seasonal(held_split_of(p.orders_daily(spark, sf)))))
+add("tune_trend_seasonal", lambda spark, sf: rounded(trend.tune_trend_seasonal(held_split_of(p.orders_daily(spark, sf)))[1].select(SERIES, TS, "params", "yhat")))
 
 # Linear models
 
 _ONE = ["lag_1"]
 add("fit_linear_one_feature",
-    lambda spark, sf: _line(split_of(p.event_readings(spark, sf))),
+    lambda spark, sf: _line(held_split_of(p.event_readings(spark, sf))),
     sql.query(p.EVENT_READINGS, sql.features(), sql.SPLIT,
               select="SELECT series_id, round(regr_slope(y, lag_1), 6) AS slope, round(regr_intercept(y, lag_1), 4) AS constant FROM split WHERE is_train GROUP BY ALL"))
 
@@ -153,9 +153,9 @@ for _name, _spec, _panel in (
     ("huber", {"loss": "huber"}, p.supplier_monthly),
     ("quantile", {"loss": "quantile"}, p.supplier_monthly),
 ):
-    add(f"fit_linear_{_name}", lambda spark, sf, spec=_spec, panel=_panel: shown(linear.forecast_linear(split_of(panel(spark, sf)), [spec])))
+    add(f"fit_linear_{_name}", lambda spark, sf, spec=_spec, panel=_panel: shown(linear.forecast_linear(held_split_of(panel(spark, sf)), [spec])))
 add("tune_linear", lambda spark, sf: rounded(linear.tune_linear(suppliers(spark, sf), "l2")[1].select(SERIES, TS, "params", "yhat")))
-add("tune_linear_l1", lambda spark, sf: rounded(linear.tune_linear(split_of(p.orders_daily(spark, sf)), "l1")[1].select(SERIES, TS, "params", "yhat")))
+add("tune_linear_l1", lambda spark, sf: rounded(linear.tune_linear(held_split_of(p.orders_daily(spark, sf)), "l1")[1].select(SERIES, TS, "params", "yhat")))
 
 # Trees: one pooled model
 
@@ -173,7 +173,7 @@ _SWEEP = ["ma", "arima", "sarima", "es", "prophet", "lr"]
 
 
 def _sweep(spark, sf):
-    split = suppliers(spark, sf).persist()
+    split = suppliers(spark, sf)
     return tidy(sweep.results(sweep.sweep(split, _SWEEP), split))
 
 
@@ -181,7 +181,7 @@ add("model_sweep", _sweep)
 
 
 def _tune_top(spark, sf):
-    split = split_of(p.returnflag_monthly(spark, sf)).persist()
+    split = held_split_of(p.returnflag_monthly(spark, sf))
     base = sweep.sweep(split, ["ma", "arima", "lr"])
     ranked = sweep.comparison(sweep.results(base, split))
     pool = [("ma", None), ("arima", None), ("lr", "l2"), ("lr", "l1")]
@@ -221,7 +221,7 @@ FROM split JOIN ends USING (series_id), (SELECT unnest([0, 1])::INTEGER AS varia
 
 def flagship(spark, sf):
     """Models swept, scored, ranked and recommended for every supplier."""
-    split = suppliers(spark, sf).persist()
+    split = suppliers(spark, sf)
     table = sweep.comparison(sweep.results(sweep.sweep(split, ["ma", "arima", "es", "lr"]), split))
     return tidy(sweep.recommendation(table)).select(
         SERIES, "model", "family", "composite_score", "rmse", "mae", "r2", "mase", "mape", "margin", "judgment"

@@ -15,7 +15,7 @@ from tidewater.session import scratch_path
 from tidewater.sinks import results as sinks
 from tidewater.workloads import panels as p
 from tidewater.workloads import sql
-from tidewater.workloads.base import flat_forecasts, flat_metrics, flat_ranked, rounded, split_of
+from tidewater.workloads.base import flat_forecasts, flat_metrics, flat_ranked, held_split_of, rounded
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,7 +27,7 @@ def add(name, run, oracle=None):
 
 
 def suppliers(spark, sf):
-    return split_of(p.supplier_monthly(spark, sf))
+    return held_split_of(p.supplier_monthly(spark, sf))
 
 
 _BASE = (p.SUPPLIER_MONTHLY, sql.features(), sql.SPLIT)
@@ -53,13 +53,13 @@ def tidy(df):
 
 add("forecast_metrics", lambda spark, sf: tidy(m.forecast_metrics(flat_forecasts(suppliers(spark, sf)))).drop("mape"),
     sql.query(*flat(), select=f"SELECT {_ID}, round(mse, 2) AS mse, round(rmse, 4) AS rmse, round(mae, 2) AS mae, round(r2, 6) AS r2 FROM metrics"))
-add("mase", lambda spark, sf: tidy(flat_metrics(split_of(p.event_readings(spark, sf)))).select(SERIES, "variation", "mase"),
+add("mase", lambda spark, sf: tidy(flat_metrics(held_split_of(p.event_readings(spark, sf)))).select(SERIES, "variation", "mase"),
     sql.query(p.EVENT_READINGS, sql.features(), sql.SPLIT, sql.flat_forecasts(), sql.METRICS,
               select="SELECT series_id, variation, round(mase, 6) AS mase FROM metrics"))
 add("mape", lambda spark, sf: tidy(m.forecast_metrics(flat_forecasts(suppliers(spark, sf)))).select(SERIES, "variation", "mape"),
     sql.query(*flat(), select="SELECT series_id, variation, round(mape, 6) AS mape FROM metrics"))
 add("nonzero_actuals",
-    lambda spark, sf: flat_forecasts(split_of(p.event_readings(spark, sf)))
+    lambda spark, sf: flat_forecasts(held_split_of(p.event_readings(spark, sf)))
     .withColumn("used", m.percentage_error(F.col(Y) - 1, F.col("yhat")).isNotNull())
     .groupBy(SERIES, "variation").agg(F.count_if("used").alias("n_used"), F.count(F.lit(1)).alias("n_rows")),
     sql.query(p.EVENT_READINGS, sql.features(), sql.SPLIT, sql.flat_forecasts(),
@@ -81,7 +81,7 @@ add("clip_metric",
         SERIES, "variation", r.clip_metric(F.col("mase") * 15, r.MASE_CAP).alias("mase"), r.clip_metric(F.col("mape") * 5, r.MAPE_CAP).alias("mape"))),
     sql.query(*flat(), select="SELECT series_id, variation, round(least(mase * 15, 10.0), 6) AS mase, round(least(mape * 5, 200.0), 6) AS mape FROM metrics"))
 add("residuals",
-    lambda spark, sf: rounded(m.residuals(flat_forecasts(split_of(p.event_readings(spark, sf))), [SERIES, "variation"], 5))
+    lambda spark, sf: rounded(m.residuals(flat_forecasts(held_split_of(p.event_readings(spark, sf))), [SERIES, "variation"], 5))
     .select(SERIES, "variation", "rn", "residual", "rolling_mean"),
     sql.query(p.EVENT_READINGS, sql.features(), sql.SPLIT, sql.flat_forecasts(), select="""
 SELECT series_id, variation, rn, round(yhat - y, 4) AS residual,
@@ -95,7 +95,7 @@ add("composite_score", lambda spark, sf: tidy(r.composite_score(flat_metrics(sup
               "round(s_mase, 6) AS s_mase, round(s_mape, 6) AS s_mape, round(composite_score, 6) AS composite_score FROM scored"))
 add("rank_models", lambda spark, sf: tidy(flat_ranked(suppliers(spark, sf))),
     sql.query(*flat(), sql.composite(), sql.ranked(), select=f"SELECT {_ID}, {_METRICS}, round(composite_score, 6) AS composite_score, rank FROM ranked"))
-add("sort_ranked", lambda spark, sf: tidy(flat_ranked(split_of(p.orders_daily(spark, sf)))).select(SERIES, "model", "composite_score", "rank")
+add("sort_ranked", lambda spark, sf: tidy(flat_ranked(held_split_of(p.orders_daily(spark, sf)))).select(SERIES, "model", "composite_score", "rank")
     .orderBy(SERIES, F.desc("composite_score"), "model"),
     sql.query(p.ORDERS_DAILY, sql.features(), sql.SPLIT, sql.flat_forecasts(), sql.METRICS, sql.composite(), sql.ranked(),
               select="SELECT series_id, model, round(composite_score, 6) AS composite_score, rank FROM ranked ORDER BY 1, 3 DESC, 2"))
@@ -186,14 +186,14 @@ fold_means AS (
 fold_rows AS (SELECT f.series_id, f.fold, f.ts, w, y, c FROM folds f JOIN fold_means USING (series_id, fold) WHERE rn >= val_start),
 fold_scores AS (SELECT series_id, fold, w, sqrt(avg((y - c) ** 2)) AS rmse FROM fold_rows GROUP BY ALL)"""
 _FOLDED = (p.ORDERS_DAILY, sql.features(), sql.SPLIT, sql.FOLDS, _FOLD_MEANS)
-add("candidate_by_fold", lambda spark, sf: rounded(_fold_means(split_of(p.orders_daily(spark, sf)))).select(SERIES, "fold", TS, "w", "yhat"),
+add("candidate_by_fold", lambda spark, sf: rounded(_fold_means(held_split_of(p.orders_daily(spark, sf)))).select(SERIES, "fold", TS, "w", "yhat"),
     sql.query(*_FOLDED, select="SELECT series_id, fold, ts, w, round(c, 4) AS yhat FROM fold_rows"))
-add("fold_score", lambda spark, sf: rounded(m.fold_score(_fold_means(split_of(p.orders_daily(spark, sf))), [SERIES, "fold", "w"])),
+add("fold_score", lambda spark, sf: rounded(m.fold_score(_fold_means(held_split_of(p.orders_daily(spark, sf))), [SERIES, "fold", "w"])),
     sql.query(*_FOLDED, select="SELECT series_id, fold, w, round(rmse, 4) AS rmse FROM fold_scores"))
 for _method, _fn in (("mean", "avg"), ("median", "median")):
     add("aggregate_folds" + ("" if _method == "mean" else "_median"),
         lambda spark, sf, method=_method: rounded(m.aggregate_folds(
-            m.fold_score(_fold_means(split_of(p.orders_daily(spark, sf))), [SERIES, "fold", "w"]), [SERIES, "w"], method)),
+            m.fold_score(_fold_means(held_split_of(p.orders_daily(spark, sf))), [SERIES, "fold", "w"]), [SERIES, "w"], method)),
         sql.query(*_FOLDED, select=f"SELECT series_id, w, round({_fn}(rmse), 4) AS rmse FROM fold_scores GROUP BY ALL"))
 
 
@@ -222,7 +222,7 @@ grid AS (SELECT DISTINCT series_id, run, model_key, model_order, variation FROM
 add("task_grid", lambda spark, sf: sweep.task_grid(suppliers(spark, sf), _TASKS, 3).select(SERIES, "run", "model_key", "model_order", "variation"),
     sql.query(*_BASE, _TASK_CTE, select="SELECT series_id, run, model_key, model_order, variation FROM grid"))
 add("order_tasks",
-    lambda spark, sf: sweep.task_grid(split_of(p.returnflag_monthly(spark, sf)), _TASKS, 3)
+    lambda spark, sf: sweep.task_grid(held_split_of(p.returnflag_monthly(spark, sf)), _TASKS, 3)
     .select(SERIES, "run", "model_key", "model_order", "variation").orderBy(SERIES, "run", "model_order", "variation"),
     sql.query(p.RETURNFLAG_MONTHLY, sql.features(), sql.SPLIT, _TASK_CTE,
               select="SELECT series_id, run, model_key, model_order, variation FROM grid ORDER BY 1, 2, 4, 5"))
@@ -345,7 +345,7 @@ def _trellis(split):
     return rounded(report.chart_trellis(flat_ranked(split), forecasts, split))
 
 
-add("chart_top3", lambda spark, sf: _top3(split_of(p.orders_daily(spark, sf))),
+add("chart_top3", lambda spark, sf: _top3(held_split_of(p.orders_daily(spark, sf))),
     sql.query(p.ORDERS_DAILY, sql.features(), sql.SPLIT, sql.flat_forecasts(), sql.METRICS, sql.composite(), sql.ranked(), select="""
 SELECT l.series_id, l.ts, line, round("value", 4) AS "value",
   NOT s.is_train AND s.rn - s.n_train >= (s.n - s.n_train) // 2 - (s.n - s.n_train) // 4 AND s.rn - s.n_train < (s.n - s.n_train) // 2 + (s.n - s.n_train) // 4 AS zoom
@@ -365,7 +365,7 @@ SELECT series_id, model, rank, rank <= 3 AS top3, metric, round("value", 2) AS "
   coalesce(CASE metric WHEN 'r2' THEN "value" < 0 WHEN 'mase' THEN "value" > 1 ELSE false END, false) AS warn
 FROM (SELECT series_id, model, rank, unnest(['composite_score', 'rmse', 'mae', 'r2', 'mase', 'mape']) AS metric,
         unnest([composite_score, rmse, mae, r2, coalesce(mase, 10.0), least(mape, 200.0)]) AS "value" FROM ranked)"""))
-add("chart_clip", lambda spark, sf: rounded(report.chart_performance(flat_ranked(split_of(p.event_readings(spark, sf))))
+add("chart_clip", lambda spark, sf: rounded(report.chart_performance(flat_ranked(held_split_of(p.event_readings(spark, sf))))
                                             .where("metric in ('mase', 'mape')")).select(SERIES, "model", "metric", "value"),
     sql.query(p.EVENT_READINGS, sql.features(), sql.SPLIT, sql.flat_forecasts(), sql.METRICS, select="""
 SELECT series_id, model, unnest(['mase', 'mape']) AS metric, round(unnest([coalesce(mase, 10.0), least(mape, 200.0)]), 4) AS "value" FROM metrics"""))
