@@ -3,9 +3,10 @@
 A panel with a DATE time column holds one row per series and date, so a series can never have more
 rows than the calendar has days; a plain per-series window is bounded by that. A panel with a
 timestamp column has no such bound: one sensor may hold a third of all rows. For those panels rows
-are numbered per (series, day) plus a running offset of day counts, and neighbour windows run over
+are numbered per (series, hour) plus a running offset of hour counts, and neighbour windows run over
 fixed-size blocks of consecutive rows, each block also receiving the few rows it needs from the
-block before or after it. No task ever sees more than one day or one block of a series.
+block before or after it. No task has to take more than one hour or one block of a series, and the
+counts of a series are at most as many as the calendar has hours.
 """
 
 from __future__ import annotations
@@ -40,20 +41,21 @@ def number_rows(df: DataFrame) -> DataFrame:
                 "n": F.count(F.lit(1)).over(per_series),
             }
         )
-    days = df.groupBy(SERIES, F.to_date(TS).alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = per_series.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = days.select(
-        SERIES,
-        "_day",
+    hour = {"_day": F.to_date(TS), "_hour": F.hour(TS)}
+    slot = [SERIES, *hour]
+    hours = df.groupBy(SERIES, *[c.alias(k) for k, c in hour.items()]).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = per_series.orderBy(*hour).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hours.select(
+        *slot,
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_rows").over(per_series).alias("n"),
     )
-    within_day = Window.partitionBy(SERIES, "_day").orderBy(*_time_order(df))
+    within = Window.partitionBy(*slot).orderBy(*_time_order(df))
     return (
-        df.withColumn("_day", F.to_date(TS))
-        .join(offsets, [SERIES, "_day"])
-        .withColumn("rn", (F.col("_offset") + F.row_number().over(within_day) - 1).cast("bigint"))
-        .drop("_day", "_offset")
+        df.withColumns(hour)
+        .join(offsets, slot)
+        .withColumn("rn", (F.col("_offset") + F.row_number().over(within) - 1).cast("bigint"))
+        .drop(*hour, "_offset")
     )
 
 

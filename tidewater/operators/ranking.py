@@ -32,13 +32,13 @@ def mean_of_present(columns: list[Column]) -> Column:
 def score_columns(metrics: DataFrame, by: list[str]) -> DataFrame:
     """Five 0-1 scores (1 is best), min-max normalised inside every ranking set."""
     w = Window.partitionBy(*by)
-    for name in METRICS:
-        if name in metrics.columns:
-            metrics = metrics.withColumn(name, no_nan(F.col(name)))
+    present = [c for c in METRICS if c in metrics.columns]
+    missing = F.lit(None).cast("double")
     clean = metrics.withColumns(
         {
-            "_mase": clip_metric(F.col("mase"), MASE_CAP) if "mase" in metrics.columns else F.lit(None).cast("double"),
-            "_mape": clip_metric(F.col("mape"), MAPE_CAP) if "mape" in metrics.columns else F.lit(None).cast("double"),
+            **{c: no_nan(F.col(c)) for c in present},
+            "_mase": clip_metric(F.col("mase"), MASE_CAP) if "mase" in present else missing,
+            "_mape": clip_metric(F.col("mape"), MAPE_CAP) if "mape" in present else missing,
         }
     )
 

@@ -76,19 +76,17 @@ def tune_models(split: DataFrame, chosen: list[tuple[str, str | None]]) -> tuple
 def tune_top_models(split: DataFrame, ranked: DataFrame, n: int, pool: list[tuple[str, str | None]]) -> DataFrame:
     """Tuned forecasts of the models ranked in the first n of each series.
 
-    ``pool`` lists the (model_key, loss) pairs that may be tuned. Every pair is tuned for the whole
-    panel in one go and kept for the series whose ranking asks for it.
+    ``pool`` lists the (model_key, loss) pairs that may be tuned; each is tuned for the series whose
+    ranking asks for it.
     """
     # A few rows per series that every pair is matched with: computed once.
-    wanted = cut_lineage(
-        tune_candidates(ranked, n).select(SERIES, "model_key", F.coalesce("loss", F.lit("")).alias("_loss"))
-    )
+    wanted = cut_lineage(tune_candidates(ranked, n).select(SERIES, "model_key", "loss"))
     parts = []
     for model_key, loss in pool:
-        _, forecasts = tune_models(split, [(model_key, loss)])
-        parts.append(forecasts.withColumn("_loss", F.lit(loss or "")))
-    tuned = reduce(DataFrame.unionByName, parts)
-    return tuned.join(wanted, [SERIES, "model_key", "_loss"], "left_semi").drop("_loss")
+        asked = wanted.where((F.col("model_key") == model_key) & F.col("loss").eqNullSafe(F.lit(loss)))
+        _, forecasts = tune_models(split.join(asked, SERIES, "left_semi"), [(model_key, loss)])
+        parts.append(forecasts)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def union_tuned(base: DataFrame, tuned: DataFrame) -> DataFrame:

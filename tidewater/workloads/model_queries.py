@@ -98,7 +98,34 @@ rolled AS (SELECT series_id, h, 0::BIGINT AS step, y0, y1 FROM ends
   UNION ALL SELECT series_id, h, step + 1, 10000 + 0.5::DOUBLE * y0 + 0.1::DOUBLE * y1, y0 FROM rolled WHERE step < h)""",
               select="SELECT series_id, step, round(y0, 2) AS yhat FROM rolled WHERE step > 0"))
 add("tune_ar", lambda spark, sf: rounded(ar.tune_ar(suppliers(spark, sf))[1].select(SERIES, TS, "params", "yhat")))
-add("forecast_seasonal_ar", lambda spark, sf: shown(ar.forecast_seasonal_ar(suppliers(spark, sf))))
+# Twice differenced, the three seasonal variations are regressions on one or two earlier differences.
+_SEASONAL_FITS = """
+train AS (SELECT series_id, rn, y, y - lag(y) OVER s - lag(y, 12) OVER s + lag(y, 13) OVER s AS w FROM split WHERE is_train WINDOW s AS (PARTITION BY series_id ORDER BY rn)),
+lagged AS (SELECT *, lag(w) OVER s AS w1, lag(w, 2) OVER s AS w2, lag(w, 12) OVER s AS w12 FROM train WINDOW s AS (PARTITION BY series_id ORDER BY rn)),
+one AS (SELECT series_id, sum(w * w1) / sum(w1 * w1) AS p1 FROM lagged WHERE w1 IS NOT NULL GROUP BY ALL),
+two AS (
+  SELECT series_id, sum(w1 * w1) AS a, sum(w1 * w2) AS b, sum(w2 * w2) AS c, sum(w * w1) AS d, sum(w * w2) AS e
+  FROM lagged WHERE w2 IS NOT NULL GROUP BY ALL),
+far AS (
+  SELECT series_id, sum(w1 * w1) AS a, sum(w1 * w12) AS b, sum(w12 * w12) AS c, sum(w * w1) AS d, sum(w * w12) AS e
+  FROM lagged WHERE w12 IS NOT NULL GROUP BY ALL),
+fits AS (
+  SELECT series_id, one.p1, (far.d * far.c - far.e * far.b) / (far.a * far.c - far.b * far.b) AS f1, (far.a * far.e - far.b * far.d) / (far.a * far.c - far.b * far.b) AS f12,
+    (two.d * two.c - two.e * two.b) / (two.a * two.c - two.b * two.b) AS t1, (two.a * two.e - two.b * two.d) / (two.a * two.c - two.b * two.b) AS t2
+  FROM one JOIN two USING (series_id) JOIN far USING (series_id)),
+ends AS (SELECT series_id, max(n - n_train) AS h, list(y ORDER BY rn) AS l FROM split WHERE is_train AND rn >= n_train - 27 GROUP BY ALL),
+rolled AS (
+  SELECT series_id, h, 0 AS k, l AS x, l AS y, l AS z FROM ends
+  UNION ALL
+  SELECT r.series_id, h, k + 1,
+    list_append(x, x[-1] + x[-12] - x[-13] + p1 * (x[-1] - x[-2] - x[-13] + x[-14])),
+    list_append(y, y[-1] + y[-12] - y[-13] + f1 * (y[-1] - y[-2] - y[-13] + y[-14]) + f12 * (y[-12] - y[-13] - y[-24] + y[-25])),
+    list_append(z, z[-1] + z[-12] - z[-13] + t1 * (z[-1] - z[-2] - z[-13] + z[-14]) + t2 * (z[-2] - z[-3] - z[-14] + z[-15]))
+  FROM rolled r JOIN fits USING (series_id) WHERE k < h)"""
+add("forecast_seasonal_ar", lambda spark, sf: shown(ar.forecast_seasonal_ar(suppliers(spark, sf))),
+    recursive(*_BASE, _SEASONAL_FITS, select="""
+SELECT s.series_id, 'sarima' AS model_key, v.variation, s.ts, round(CASE v.variation WHEN 0 THEN x[-1] WHEN 1 THEN r.y[-1] ELSE z[-1] END, 2) AS yhat
+FROM split s JOIN rolled r ON r.series_id = s.series_id AND r.k = s.rn - s.n_train + 1, (SELECT unnest([0, 1, 2])::INTEGER AS variation) v WHERE NOT s.is_train"""))
 # With no autoregressive part a seasonal difference alone repeats the last season.
 add("forecast_seasonal_naive", lambda spark, sf: shown(ar.forecast_seasonal_ar(suppliers(spark, sf), [ar.order(0, 0, 0, 1)], 12), 4),
     sql.query(*_BASE, select="""
@@ -120,6 +147,20 @@ best AS (SELECT series_id, level FROM smoothed WHERE rn = n_train - 1 QUALIFY ro
 add("forecast_es_simple",
     lambda spark, sf: shown(es.forecast_es(suppliers(spark, sf), [(None, None)], weights=[(a, 0.0, 0.0) for a in _ALPHAS])),
     recursive(*_BASE, _SES, select="SELECT series_id, 'es' AS model_key, 0 AS variation, ts, round(level, 2) AS yhat FROM split JOIN best USING (series_id) WHERE NOT is_train"))
+_HOLT = [(0.3, 0.1), (0.5, 0.3), (0.8, 0.05)]
+add("forecast_es_trend",
+    lambda spark, sf: shown(es.forecast_es(suppliers(spark, sf), [("add", None)], weights=[(a, b, 0.0) for a, b in _HOLT])),
+    recursive(*_BASE, f"""
+grid AS (SELECT * FROM (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in _HOLT)}) AS t(alpha, beta)),
+states AS (
+  SELECT s.series_id, alpha, beta, -1::BIGINT AS rn, s.n_train, s.y AS level, t.y - s.y AS slope, 0.0::DOUBLE AS sse
+  FROM split s JOIN split t ON t.series_id = s.series_id AND s.rn = 0 AND t.rn = 1, grid
+  UNION ALL
+  SELECT m.series_id, alpha, beta, s.rn, m.n_train, alpha * s.y + (1 - alpha) * (level + slope),
+    beta * (alpha * s.y + (1 - alpha) * (level + slope) - level) + (1 - beta) * slope, sse + (s.y - level - slope) ** 2
+  FROM states m JOIN split s ON s.series_id = m.series_id AND s.rn = m.rn + 1 AND s.is_train),
+best AS (SELECT series_id, level, slope FROM states WHERE rn = n_train - 1 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sse) = 1)""",
+              select="SELECT series_id, 'es' AS model_key, 0 AS variation, ts, round(level + slope * (rn - n_train + 1), 2) AS yhat FROM split JOIN best USING (series_id) WHERE NOT is_train"))
 add("forecast_es", lambda spark, sf: shown(es.forecast_es(suppliers(spark, sf))))
 add("tune_es", lambda spark, sf: rounded(es.tune_es(held_split_of(p.returnflag_monthly(spark, sf)))[1].select(SERIES, TS, "params", "yhat")))
 
@@ -147,6 +188,22 @@ add("one_step_forecast",
     lambda spark, sf: shown(linear.forecast_linear(suppliers(spark, sf), [{"loss": "l2"}], _ONE)),
     sql.query(*_BASE, "fits AS (SELECT series_id, regr_slope(y, lag_1) AS b, regr_intercept(y, lag_1) AS a FROM split WHERE is_train GROUP BY ALL)",
               select="SELECT series_id, 'lr' AS model_key, 0 AS variation, ts, round(a + b * lag_1, 2) AS yhat FROM split JOIN fits USING (series_id) WHERE NOT is_train"))
+_FOLD_LINE = """
+sides AS (SELECT series_id, fold, avg(lag_1) AS mx, avg(y) AS my, covar_pop(y, lag_1) AS cxy, var_pop(lag_1) AS cxx, count(*) AS m FROM folds WHERE rn < val_start GROUP BY ALL),
+lines AS (SELECT *, {slope} AS b FROM sides, (SELECT unnest([{alphas}])::DOUBLE AS alpha, unnest([0, 1, 2])::INTEGER AS candidate_no)),
+scores AS (
+  SELECT f.series_id, candidate_no, f.fold, sqrt(avg((y - my - b * (lag_1 - mx)) ** 2)) AS rmse
+  FROM folds f JOIN lines l USING (series_id, fold) WHERE rn >= val_start GROUP BY ALL)"""
+for _loss, _alphas, _slope in (
+    ("l2", [0.0, 5e4, 5e6], "m * cxy / (m * cxx + alpha)"),
+    ("l1", [0.1, 20.0, 100.0], "sign(cxy) * greatest(abs(cxy) - alpha, 0) / cxx"),
+):
+    add(f"linear_fold_scores_{_loss}",
+        lambda spark, sf, loss=_loss, alphas=_alphas: rounded(linear.linear_candidates(
+            held_split_of(p.event_readings(spark, sf)), loss, [{"alpha": a} for a in alphas], columns=_ONE).drop("params")),
+        sql.query(p.EVENT_READINGS, sql.features(), sql.SPLIT, sql.FOLDS,
+                  _FOLD_LINE.format(slope=_slope, alphas=", ".join(map(str, _alphas))),
+                  select="SELECT series_id, candidate_no, fold, round(rmse, 4) AS rmse FROM scores"))
 for _name, _spec, _panel in (
     ("l2", {"loss": "l2"}, p.supplier_monthly),
     ("l1", {"loss": "l1", "alpha": 0.1}, p.supplier_monthly),
