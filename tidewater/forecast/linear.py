@@ -236,7 +236,7 @@ def fit_reweighted(train: DataFrame, specs: list[dict], columns: list[str]) -> D
 
 def _fit_by_passes(train: DataFrame, specs: list[dict], columns: list[str]) -> DataFrame:
     """Re-weighting as Spark jobs: a pass adds up the sums of all specs per series, the small solves
-    follow per series, and the state between passes (a few numbers per series) is checkpointed."""
+    follow per series, and the state between passes (a few numbers per series) is written out."""
     keys, k, n_specs = [SERIES, "y_mean", "y_std"], len(columns) + 1, len(specs)
     ends = {s["upto"] for s in specs if s["upto"]}
     train = train.select(*keys, "rn", "x", "z", *ends).persist()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -59,10 +58,11 @@ def spread(df, *keys):
 
 
 def cut_lineage(df):
-    """Write a small intermediate table to the checkpoint folder and continue from the file."""
-    shared_folder(df.sparkSession)
-    written = df.checkpoint(eager=True)
-    # Loops call this once per pass. Frames of finished passes sit in reference cycles here and keep
-    # their broadcast tables alive in the JVM until they are collected.
-    gc.collect()
-    return written
+    """Write a small intermediate table to the shared folder and continue from the files.
+
+    A table read back has the size of its files. A checkpointed frame keeps the estimates of the plan
+    it came from, which multiply with every join of a loop until planning takes longer than the work.
+    """
+    path = scratch_path(df.sparkSession, "pass")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
