@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import langid, licenses, merkle, mixing, neardup_vectors, pieces, quality, sharding, simhash
+from tidewater.llm import langid, licenses, lm, merkle, mixing, neardup_vectors, pieces, quality, sharding, simhash
 from tidewater.llm.common import table
 
 
@@ -29,6 +29,13 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), _part() != 1)
+    return scored.select(
+        F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -75,6 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pieces": op2_pieces,
+    "op3_lm": op3_lm,
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
