@@ -24,12 +24,12 @@ def ring(spark: SparkSession, shards: int, replicas: int = REPLICAS, cells: int
         .groupBy("cell").agg(F.min("owner").alias("owner"))
     )
     lowest = nodes.agg(F.min_by("owner", "cell").alias("first_owner"), F.min("cell").alias("first_cell"))
-    ahead = Window.orderBy("cell").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
     placed = spark.range(cells).select(F.col("id").alias("cell")).join(nodes, "cell", "left").join(F.broadcast(lowest))
     node = F.when(F.col("owner").isNotNull(), F.col("cell"))
     return placed.select(
-        "cell", F.coalesce(F.first(node, True).over(ahead), F.lit(cells)).alias("arc"),
-        F.coalesce(F.first("owner", True).over(ahead), "first_owner").alias("owner"),
+        "cell", F.coalesce(F.last(node, True).over(ahead), F.lit(cells)).alias("arc"),
+        F.coalesce(F.last("owner", True).over(ahead), "first_owner").alias("owner"),
     )
 
 
