@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fingerpri
 
 
 def _order(docs: DataFrame) -> DataFrame:
-    """``doc_id, prev, need``: for every id the id before it (the last before the first) and its cut length."""
+    """``id, prev, need``: for every id the id before it (the last before the first) and the length of its cut."""
     ids = docs.groupBy("id").agg(F.max(F.length("text")).alias("n"))
     ranged = cut_lineage(ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()))
     ends = ranged.groupBy("part").agg(F.max(F.struct("id", "n")).alias("last"))
@@ -100,9 +100,10 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     known = docs.filter("id is not null")
     order = cut_lineage(_order(known))
+    # The text hash is taken above the join, so that both uses of the text ask for the same exchange.
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"))) == 1
     sent = (
-        known.withColumn("first", first).filter("first").join(order, "id")
+        known.join(order, "id").withColumn("first", first).filter("first")
         .select(F.col("prev").alias("id"), F.expr("left(text, need)").alias("head"), fingerprint(tree(F.col("text"))).alias("next_print"))
     )
     joined = known.join(sent, "id").unionByName(
