@@ -39,20 +39,26 @@ def r2_from_sums(n: Column, sse: Column, sst: Column) -> Column:
 
 
 def forecast_metrics(forecasts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """mse, rmse, mae, r2 and mape per key in one pass; rows without a forecast are not scored."""
+    """mse, rmse, mae, r2 and mape per key in one pass.
+
+    Rows without an actual value are not scored. A forecast that misses any of the others is a failed
+    fit: its key gets no metrics, so it cannot win a ranking on the rows it has.
+    """
     keys = keys or [c for c in FORECAST_KEYS if c in forecasts.columns]
     y, yhat = no_nan(F.col(Y)), no_nan(F.col("yhat"))
     err = y - yhat
     sums = (
-        forecasts.where(yhat.isNotNull() & y.isNotNull())
+        forecasts.where(y.isNotNull())
         .groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("_n"),
+            F.count(F.lit(1)).alias("_rows"),
+            F.count(yhat).alias("_n"),
             F.avg(err * err).alias("mse"),
             F.avg(F.abs(err)).alias("mae"),
             F.var_pop(y).alias("_var"),
             F.avg(percentage_error(y, yhat)).alias("mape"),
         )
+        .where("_n = _rows")
     )
     n = F.col("_n")
     return sums.select(
@@ -85,19 +91,25 @@ def evaluate(forecasts: DataFrame, split: DataFrame, keys: list[str] | None = No
     return scored.select(*[c for c in scored.columns if c not in METRICS], *METRICS)
 
 
+def _complete() -> Column:
+    """Every row of the group that has an actual value has a forecast."""
+    y, yhat = no_nan(F.col(Y)), no_nan(F.col("yhat"))
+    return F.count(F.when(y.isNotNull(), yhat)) == F.count(y)
+
+
 def pinball_loss(forecasts: DataFrame, keys: list[str], quantile: float = 0.5) -> DataFrame:
-    """Mean of max(q * error, (q - 1) * error)."""
+    """Mean of max(q * error, (q - 1) * error); NULL for a forecast that misses rows."""
     err = F.col(Y) - F.col("yhat")
     return forecasts.groupBy(*keys).agg(
-        F.avg(F.greatest(quantile * err, (quantile - 1) * err)).alias("pinball")
+        F.when(_complete(), F.avg(F.greatest(quantile * err, (quantile - 1) * err))).alias("pinball")
     )
 
 
 def fold_score(validation: DataFrame, keys: list[str]) -> DataFrame:
-    """RMSE per key; plus infinity when nothing could be scored."""
+    """RMSE per key; plus infinity when nothing could be scored or a forecast is missing."""
     err = F.col(Y) - F.col("yhat")
     return validation.groupBy(*keys).agg(
-        F.coalesce(F.sqrt(F.avg(err * err)), F.lit(float("inf"))).alias("rmse")
+        F.coalesce(F.when(_complete(), F.sqrt(F.avg(err * err))), F.lit(float("inf"))).alias("rmse")
     )
 
 

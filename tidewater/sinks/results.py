@@ -16,8 +16,13 @@ def results_layout(df: DataFrame, dataset: str, run_date: str | None = None) ->
     return df.withColumns({"dataset": F.lit(dataset), "run_date": F.date_format(day, "yyyy-MM-dd")})
 
 
+def _replace(df: DataFrame, *folders: str):
+    """A writer that replaces only the folders it writes to; other datasets, dates and models stay."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders)
+
+
 def _partitioned(df: DataFrame, dataset: str, run_date: str | None):
-    return results_layout(df, dataset, run_date).write.mode("overwrite").partitionBy("dataset", "run_date")
+    return _replace(results_layout(df, dataset, run_date), "dataset", "run_date")
 
 
 def write_comparison(ranked: DataFrame, path: str, dataset: str, run_date: str | None = None) -> None:
@@ -28,9 +33,9 @@ def write_comparison(ranked: DataFrame, path: str, dataset: str, run_date: str |
 
 
 def write_configs(configs: DataFrame, ranked: DataFrame, path: str, dataset: str, run_date: str | None = None) -> None:
-    """The configuration of the best variation of every ranked model, as JSON lines."""
+    """The configuration of the best variation of every ranked model, as JSON lines; one without stays, without fields."""
     best = ranked.select(SERIES, "rank", "model_key", F.col("best_variation").alias("variation"))
-    chosen = best.join(configs, [SERIES, "model_key", "variation"]).select(SERIES, "rank", "config.*")
+    chosen = best.join(configs, [SERIES, "model_key", "variation"], "left").select(SERIES, "rank", "config.*")
     _partitioned(chosen.sortWithinPartitions(SERIES, "rank"), dataset, run_date).json(path)
 
 
@@ -67,7 +72,7 @@ def write_summary(rows: DataFrame, path: str, dataset: str, run_date: str | None
 def write_candidates(candidates: DataFrame, path: str) -> None:
     """Tuning candidates, best first within every series, one folder per model."""
     ordered = candidates.repartition("model_key", SERIES).sortWithinPartitions("model_key", SERIES, "rmse")
-    ordered.write.mode("overwrite").partitionBy("model_key").parquet(path)
+    _replace(ordered, "model_key").parquet(path)
 
 
 def validation_summary(candidates: DataFrame) -> DataFrame:
