@@ -228,19 +228,30 @@ def decode_ids(ids: np.ndarray | None, model: PieceModel) -> str | None:
 
 
 
+SLICE = 256
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str = PIECE_FILE) -> DataFrame:
-    """Add ``_tw_pieces``: ``ids`` and ``score``, the sum of the piece scores of the best segmentation.
+    """Add ``_tw_pieces``: ``ids``, ``score`` (the sum of the piece scores) and ``round_trip``.
 
-    Every whole text is encoded. Null texts get null ids, empty texts no ids; repeated rows get equal
-    ids, and all columns of ``docs`` stay.
+    Every whole text is encoded, 256 texts at a time to bound a worker's memory. ``round_trip`` says that
+    decoding the ids gave the text back. Null texts get null ids, empty texts no ids; repeated rows get
+    equal ids, and all columns of ``docs`` stay.
     """
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
 
-    @F.arrow_udf("ids array<int>, score double")
+    @F.arrow_udf("ids array<int>, score double, round_trip boolean")
     def run(texts: pa.Array) -> pa.Array:
-        ids, scores = encode_texts(texts.to_pylist(), held.value)
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(scores)], names=["ids", "score"])
+        parts, model = [], held.value
+        for k in range(0, max(len(texts), 1), SLICE):
+            own = texts.slice(k, SLICE).to_pylist()
+            ids, scores = encode_texts(own, model)
+            same = [decode_ids(i, model) == t for i, t in zip(ids, own)]
+            parts.append(pa.StructArray.from_arrays(
+                [pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.float64()), pa.array(same, pa.bool_())], names=["ids", "score", "round_trip"]
+            ))
+        return pa.concat_arrays(parts)
 
     return docs.withColumn("_tw_pieces", run(F.col(text_col)))
 

@@ -29,7 +29,7 @@ def text_features(text: str | None, known: dict[str, tuple[int, ...]]) -> np.nda
         slots = known.get(word)
         if slots is None:
             slots = known[word] = _word_features(word)
-            if len(known) > 400_000:
+            if len(known) > 100_000:
                 known.clear()
         found.update(slots)
     n = len(words)
