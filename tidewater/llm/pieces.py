@@ -16,13 +16,18 @@ from tidewater.llm.common import bound_batches
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_LEAD = np.uint64(44)
 
 
 @dataclass
 class PieceModel:
-    """Sorted hashes of the pieces with their ids and scores, and the bytes of every id."""
+    """Sorted hashes of the pieces with their ids and scores, and the bytes of every id.
+
+    ``leads`` marks the leading 20 bits that occur among the keys: most probes end there.
+    """
 
     keys: np.ndarray
+    leads: np.ndarray
     ids: np.ndarray
     scores: np.ndarray
     longest: int
@@ -87,8 +92,10 @@ def load_pieces(path: str = PIECE_FILE) -> PieceModel:
     hashes = np.array([substring_hashes(_codes([p]), len(p))[0] for p in whole], dtype=np.uint64)
     order = np.argsort(hashes)
     scores = np.array([s for _, _, s in plain])
+    leads = np.zeros(1 << 20, bool)
+    leads[hashes >> _LEAD] = True
     return PieceModel(
-        hashes[order], np.array([i for _, i, _ in plain])[order], scores[order], max(map(len, whole)), reader.unk_id(),
+        hashes[order], leads, np.array([i for _, i, _ in plain])[order], scores[order], max(map(len, whole)), reader.unk_id(),
         scores.min() - 10, byte_ids if (byte_ids >= 0).all() else None, np.frombuffer(b"".join(spelled), np.uint8),
         np.cumsum([len(s) for s in spelled]), np.array([s.startswith(SPACE.encode()) for s in spelled]), chunk,
     )
@@ -133,19 +140,24 @@ def viterbi(words: list[str], model: PieceModel) -> tuple[np.ndarray, np.ndarray
     best[0] = 0
     back, token = np.zeros((size + 1, n), np.int32), np.zeros((size + 1, n), np.int64)
     last = len(model.keys) - 1
+    columns = np.arange(n)
     for e in range(1, size + 1):
-        reach = range(min(e, model.longest), 0, -1)
-        probe = np.stack([_mix(prefix[e] - prefix[e - k] * power[k] + np.uint64(k)) for k in reach])
-        at = np.minimum(np.searchsorted(model.keys, probe), last)
-        found = model.keys[at] == probe
-        score = np.where(found, model.scores[at], -np.inf)
-        score[-1] = np.where(found[-1], score[-1], model.unknown_score)
-        score += best[e - len(reach) : e]
+        low = max(0, e - model.longest)
+        reach = np.arange(e - low, 0, -1, dtype=np.uint64)[:, None]
+        probe = _mix(prefix[e] - prefix[low:e] * power[reach] + reach)
+        maybe = np.flatnonzero(model.leads[probe >> _LEAD])
+        wanted = probe.ravel()[maybe]
+        at = np.minimum(np.searchsorted(model.keys, wanted), last)
+        held = model.keys[at] == wanted
+        maybe, at = maybe[held], at[held]
+        score, piece = np.full(probe.shape, -np.inf), np.full(probe.shape, -1)
+        score.flat[maybe], piece.flat[maybe] = model.scores[at], model.ids[at]
+        alone = piece[-1] < 0
+        score[-1, alone] = model.unknown_score
+        piece[-1, alone] = -1 - codes[alone, e - 1].astype(np.int64)
+        score += best[low:e]
         pick = score.argmax(axis=0)
-        columns = np.arange(n)
-        best[e], back[e] = score[pick, columns], e - len(reach) + pick
-        single = (pick == len(reach) - 1) & ~found[-1]
-        token[e] = np.where(single, -1 - codes[:, e - 1].astype(np.int64), model.ids[at[pick, columns]])
+        best[e], back[e], token[e] = score[pick, columns], low + pick, piece[pick, columns]
     taken, row, at = [], np.arange(n), np.full(n, size)
     while len(row):
         taken.append((row, token[at, row]))
