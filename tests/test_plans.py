@@ -23,7 +23,7 @@ def swept(split):
 def test_selection():
     assert sweep.select_models(["MA", "nope"]) == ["ma"]
     assert set(sweep.select_models(["all"])) >= set(catalog.VARIATIONS)
-    assert sweep.select_models() == ["rf", "xgb", "lr"]
+    assert sweep.select_models() == sweep.select_models(["all"])
     assert tuning.losses_for("ma") == [None] and tuning.losses_for("rf", ["huber", "l1"]) == ["l1"]
 
 
@@ -47,10 +47,9 @@ def test_comparison_and_recommendation(split, swept):
 def test_tuning_the_best(split, swept):
     ranked = sweep.comparison(sweep.results(swept, split))
     wanted = tuning.tune_candidates(ranked, 2).toPandas()
-    tuned = tuning.tune_top_models(split, ranked, 2, [("ma", None), ("arima", None), ("lr", "l2"), ("lr", "l1")])
+    tuned = tuning.tune_top_models(split, ranked, 2)
     got = tuned.select("series_id", "model_key", "model").distinct().toPandas()
-    want = wanted[~((wanted.model_key == "lr") & (wanted.loss == "huber"))]
-    assert len(got) == len(want) and got.model.str.contains("Tuned").all()
+    assert len(got) == len(wanted) and got.model.str.contains("Tuned").all()
     again = tuning.union_tuned(swept, tuned)
     assert again.count() == swept.count() + tuned.count()
 
@@ -66,15 +65,38 @@ def test_tuned_names_are_not_tuned_again(spark):
 
 def test_user_model_joins_the_sweep(split):
     forecaster = sweep.per_series_forecaster("naive", lambda y, h, spec: np.full(h, y[-1] * spec["k"]))
-    sweep.register_forecaster("naive", forecaster, [{"k": 1.0}, {"k": 2.0}])
-    try:
-        table = sweep.results(sweep.sweep(split, ["naive", "ma"]), split)
-        assert table.where("model_key = 'naive' and rmse > 0").count() == 4
-        with pytest.raises(ValueError):
-            sweep.run_forecaster(split.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "naive")
-    finally:
-        sweep._FORECASTERS.pop("naive")
-        catalog.VARIATIONS.pop("naive")
+    known = sweep.register_forecaster("naive", forecaster, [{"k": 1.0}, {"k": 2.0}])
+    table = sweep.results(sweep.sweep(split, ["naive", "ma"], registry=known), split)
+    assert table.where("model_key = 'naive' and rmse > 0").count() == 4
+    with pytest.raises(ValueError):
+        sweep.run_forecaster(split.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "naive", registry=known)
+    assert "naive" not in sweep.select_models() and "naive" not in catalog.VARIATIONS
+
+
+def test_failed_fits_stay_as_rows_without_rank(split):
+    def half(y, h, spec):
+        out = np.full(h, y[-1])
+        out[spec["from"] :] = np.nan
+        return out
+
+    def absent(split, specs):
+        return sweep.union_forecasts([sweep.failed_fit(split, "absent", i, "no such loss") for i in range(len(specs))])
+
+    known = sweep.register_forecaster("half", sweep.per_series_forecaster("half", half), [{"from": 1}, {"from": 10_000}])
+    known = sweep.register_forecaster("absent", absent, [{}], known)
+    scored = sweep.results(sweep.sweep(split, ["half", "absent", "ma"], 2, known), split).persist()
+    rows = {(x.model_key, x.variation): x for x in scored.where("series_id = 'a'").collect()}
+    assert len(rows) == 6
+    assert rows["absent", 0].error == "no such loss" and rows["half", 0].error == "the forecast misses rows"
+    for x in (rows["absent", 0], rows["half", 0]):
+        assert x["rank"] is None and x.rmse is None and x.composite_score is None
+    assert sorted(x["rank"] for x in rows.values() if x.error is None) == [1, 2, 3, 4]
+    assert "absent" not in sweep.comparison(scored).toPandas().model_key.tolist()
+
+
+def test_tuning_without_known_models_gives_no_rows(spark, split):
+    ranked = spark.createDataFrame([("a", 1, "Odd")], "series_id string, rank int, model string")
+    assert tuning.tune_top_models(split, ranked, 3).count() == 0
 
 
 def test_task_grid_order(split):

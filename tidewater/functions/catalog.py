@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,10 @@ from pyspark.sql import functions as F
 DEFAULT_SETUP = {
     "test_size": 0.2,
     "lags": 7,
-    "lags_options": [3, 5, 7],
     "rolling_window": 3,
-    "n_steps_univariate": 5,
-    "n_steps_feature": 5,
     "ma_window": 5,
     "n_runs": 3,
 }
-TUNING_SETUP = {"n_splits": 3, "val_frac": 0.2, "selection_metric": "rmse"}
 
 # Three variations per model.
 VARIATIONS = {
@@ -52,8 +49,7 @@ VARIATIONS = {
     ],
 }
 
-# Metadata of the models that are built.
-_TABULAR = {"scaling": "none", "scaling_description": None, "input_type": "tabular"}
+# Parameters of the models that are built, before any variation.
 DEFAULT_HYPERPARAMETERS = {
     "arima": {"order": [5, 1, 0]},
     "sarima": {"order": [1, 1, 1], "seasonal_order": [1, 1, 1, 12]},
@@ -64,7 +60,6 @@ DEFAULT_HYPERPARAMETERS = {
     "xgb": {"loss": "l2"},
     "lr": {"loss": "l2"},
 }
-METADATA = {key: dict(_TABULAR, default_hyperparameters=hp) for key, hp in DEFAULT_HYPERPARAMETERS.items()}
 
 # Display names, families, losses.
 DISPLAY_NAMES = {
@@ -84,16 +79,6 @@ DISPLAY_NAMES = {
     "rnn_feat": "RNN-feat",
     "cnn1d": "CNN-1D",
 }
-FIRST_WORD_TO_KEY = {
-    "moving": "ma",
-    "exponential": "es",
-    "random": "rf",
-    "xgboost": "xgb",
-    "lstm-feat": "lstm_feat",
-    "rnn-feat": "rnn_feat",
-    "cnn-1d": "cnn1d",
-    "linear": "lr",
-}
 FAMILIES = {
     "arima": "Statistical", "sarima": "Statistical", "ma": "Statistical", "es": "Statistical",
     "prophet": "Statistical",
@@ -113,14 +98,13 @@ LOSSES_BY_MODEL = {
     "xgb": ["l1", "l2", "huber", "quantile"],
     "rf": ["l1", "l2"],
 }
-# Models run when none are asked for; the ones without a Spark form are filtered by select_models.
-DEFAULT_MODELS = ["rf", "svr", "xgb", "lr", "rnn", "lstm", "mlp", "lstm_feat", "rnn_feat", "cnn1d"]
+# Columns of a report.
 REPORT_COLUMNS = ["model", "composite_score", "rmse", "mae", "r2", "mase", "mape"]
 
 
-def params_of(model_key: str = "model_key", variation: str = "variation") -> Column:
+def params_of(variations: Mapping[str, list[dict]] = VARIATIONS, model_key: str = "model_key", variation: str = "variation") -> Column:
     """Parameters (JSON) of a model's variation; an empty object where there are none."""
-    known = {f"{k}/{i}": json.dumps(spec) for k, specs in VARIATIONS.items() for i, spec in enumerate(specs)}
+    known = {f"{k}/{i}": json.dumps(spec) for k, specs in variations.items() for i, spec in enumerate(specs)}
     table = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
     return F.coalesce(F.try_element_at(table, F.concat_ws("/", model_key, variation)), F.lit("{}"))
 

@@ -38,15 +38,17 @@ def r2_from_sums(n: Column, sse: Column, sst: Column) -> Column:
     return F.when(n >= 2, F.when(sst == 0, constant).otherwise(1 - sse / sst))
 
 
-def forecast_metrics(forecasts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def forecast_metrics(forecasts: DataFrame, keys: list[str] | None = None, failed: bool = False) -> DataFrame:
     """mse, rmse, mae, r2 and mape per key in one pass.
 
     Rows without an actual value are not scored. A forecast that misses any of the others is a failed
-    fit: its key gets no metrics, so it cannot win a ranking on the rows it has.
+    fit: its key gets no metrics, so it cannot win a ranking on the rows it has. With ``failed`` its key
+    stays, without metrics, and column ``error`` says why (NULL for a complete forecast).
     """
     keys = keys or [c for c in FORECAST_KEYS if c in forecasts.columns]
     y, yhat = no_nan(F.col(Y)), no_nan(F.col("yhat"))
     err = y - yhat
+    reason = F.max("error") if "error" in forecasts.columns else F.lit(None).cast("string")
     sums = (
         forecasts.where(y.isNotNull())
         .groupBy(*keys)
@@ -57,18 +59,21 @@ def forecast_metrics(forecasts: DataFrame, keys: list[str] | None = None) -> Dat
             F.avg(F.abs(err)).alias("mae"),
             F.var_pop(y).alias("_var"),
             F.avg(percentage_error(y, yhat)).alias("mape"),
+            reason.alias("_reason"),
         )
-        .where("_n = _rows")
-    )
-    n = F.col("_n")
-    return sums.select(
-        *keys,
-        "mse",
-        F.sqrt("mse").alias("rmse"),
-        "mae",
-        r2_from_sums(n, F.col("mse") * n, F.col("_var") * n).alias("r2"),
-        "mape",
     )
+    n, whole = F.col("_n"), F.col("_n") == F.col("_rows")
+    values = {
+        "mse": F.col("mse"),
+        "rmse": F.sqrt("mse"),
+        "mae": F.col("mae"),
+        "r2": r2_from_sums(n, F.col("mse") * n, F.col("_var") * n),
+        "mape": F.col("mape"),
+    }
+    if not failed:
+        return sums.where(whole).select(*keys, *[v.alias(c) for c, v in values.items()])
+    error = F.when(~whole, F.coalesce("_reason", F.lit("the forecast misses rows")))
+    return sums.select(*keys, error.alias("error"), *[F.when(whole, v).alias(c) for c, v in values.items()])
 
 
 def naive_scale(split: DataFrame) -> DataFrame:
@@ -85,9 +90,9 @@ def add_mase(metrics: DataFrame, scale: DataFrame) -> DataFrame:
     ).drop("naive_scale")
 
 
-def evaluate(forecasts: DataFrame, split: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """All six metrics per series, model, variation and run."""
-    scored = add_mase(forecast_metrics(forecasts, keys), naive_scale(split))
+def evaluate(forecasts: DataFrame, split: DataFrame, keys: list[str] | None = None, failed: bool = False) -> DataFrame:
+    """All six metrics per series, model, variation and run; ``failed`` keeps failed fits, with their error."""
+    scored = add_mase(forecast_metrics(forecasts, keys, failed), naive_scale(split))
     return scored.select(*[c for c in scored.columns if c not in METRICS], *METRICS)
 
 

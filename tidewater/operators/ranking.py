@@ -109,7 +109,8 @@ def lead_margin(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
 def aggregate_runs(metrics: DataFrame, with_composite_std: bool = False) -> DataFrame:
     """Mean of every metric over runs and the population deviation of rmse (0 for one run).
 
-    ``with_composite_std`` adds the deviation of the per-run composite in the same pass.
+    ``with_composite_std`` adds the deviation of the per-run composite in the same pass. A column
+    ``error`` stays for variations that failed in every run; the other runs of a variation count.
     """
     keys = [c for c in (SERIES, "model", "model_key", "variation") if c in metrics.columns]
 
@@ -119,8 +120,14 @@ def aggregate_runs(metrics: DataFrame, with_composite_std: bool = False) -> Data
     extra = []
     if with_composite_std:
         by_name = Window.partitionBy(SERIES, "run", "model").orderBy("model_key", "variation")
-        metrics = run_composites(metrics).withColumn("_run_score", F.first("composite_score").over(by_name))
+        own = F.col("composite_score")
+        if "error" in metrics.columns:
+            own = F.when(F.col("error").isNull(), own)
+        first = F.first(own, ignorenulls=True).over(by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        metrics = run_composites(metrics).withColumn("_run_score", first)
         extra = [deviation(F.col("_run_score")).alias("composite_std")]
+    if "error" in metrics.columns:
+        extra.append(F.when(F.count_if(F.col("error").isNull()) == 0, F.max("error")).alias("error"))
     return metrics.groupBy(*keys).agg(
         *[F.avg(no_nan(F.col(c))).alias(c) for c in METRICS if c in metrics.columns],
         deviation(no_nan(F.col("rmse"))).alias("rmse_std"),

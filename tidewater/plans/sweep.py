@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.forecast import ar, es, linear, ma, trees, trend
-from tidewater.forecast.common import HORIZON, forecast_rows
+from tidewater.forecast.common import HORIZON, forecast_rows, test_rows
 from tidewater.functions import catalog
 from tidewater.functions.names import attach_family, display_name, judgment_text
 from tidewater.operators import ranking
@@ -20,17 +21,22 @@ from tidewater.operators.positions import SERIES, TS, Y, one_row_per_date
 from tidewater.operators.splits import PERIOD_SQL
 
 # The extension point: model key -> function(split, specs) returning forecast rows, where specs are
-# the variations to run. User models register here and take part in sweeps and rankings.
+# the variations to run.
 Forecaster = Callable[[DataFrame, list[dict]], DataFrame]
-_FORECASTERS: dict[str, Forecaster] = {}
 
 
-def register_forecaster(model_key: str, forecaster: Forecaster, variations: list[dict] | None = None) -> None:
-    _FORECASTERS[model_key] = forecaster
-    if variations is not None:
-        catalog.VARIATIONS[model_key] = variations
-    catalog.DISPLAY_NAMES.setdefault(model_key, model_key)
-    catalog.FAMILIES.setdefault(model_key, "Other")
+@dataclass(frozen=True)
+class Registry:
+    """The models a sweep can run and their variations. Adding a model gives a new registry."""
+
+    forecasters: Mapping[str, Forecaster]
+    variations: Mapping[str, list[dict]]
+
+
+def register_forecaster(model_key: str, forecaster: Forecaster, variations: list[dict], registry: Registry | None = None) -> Registry:
+    """The registry (default: the models built here) with one more model, or with one replaced."""
+    known = registry or BUILT_IN
+    return Registry({**known.forecasters, model_key: forecaster}, {**known.variations, model_key: variations})
 
 
 def per_series_forecaster(model_key: str, predict: Callable) -> Forecaster:
@@ -61,6 +67,16 @@ def per_series_forecaster(model_key: str, predict: Callable) -> Forecaster:
     return forecaster
 
 
+def failed_fit(split: DataFrame, model_key: str, variation: int, error: str) -> DataFrame:
+    """The test rows without a forecast, and why."""
+    rows = test_rows(split).withColumn("variation", F.lit(variation))
+    return forecast_rows(rows, model_key, F.lit(None).cast("double")).withColumn("error", F.lit(error))
+
+
+def union_forecasts(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def _orders(specs):
     return [ar.order(s["order"][0], s["order"][1]) for s in specs]
 
@@ -77,45 +93,44 @@ def _trees(model_key):
         for i, spec in enumerate(specs):
             try:
                 parts.append(trees.forecast_trees(split, model_key, spec, i))
-            except ValueError:
-                # A loss MLlib does not offer: the variation has no forecast, as a failed fit has none.
-                continue
-        return reduce(DataFrame.unionByName, parts)
+            except ValueError as reason:  # a loss MLlib does not offer
+                parts.append(failed_fit(split, model_key, i, str(reason)))
+        return union_forecasts(parts)
 
     return forecaster
 
 
-register_forecaster("ma", lambda split, specs: ma.forecast_ma(split, [s["window"] for s in specs]))
-register_forecaster("arima", lambda split, specs: ar.forecast_ar(split, _orders(specs)))
-register_forecaster("sarima", lambda split, specs: ar.forecast_seasonal_ar(split, _seasonal_orders(specs)))
-register_forecaster("es", lambda split, specs: es.forecast_es(split, [(s["trend"], s["seasonal"]) for s in specs]))
-register_forecaster("prophet", trend.forecast_trend_seasonal)
-register_forecaster("lr", linear.forecast_linear)
-register_forecaster("rf", _trees("rf"))
-register_forecaster("xgb", _trees("xgb"))
-
-
-def available_models() -> list[str]:
-    return list(_FORECASTERS)
+BUILT_IN = Registry(
+    {
+        "ma": lambda split, specs: ma.forecast_ma(split, [s["window"] for s in specs]),
+        "arima": lambda split, specs: ar.forecast_ar(split, _orders(specs)),
+        "sarima": lambda split, specs: ar.forecast_seasonal_ar(split, _seasonal_orders(specs)),
+        "es": lambda split, specs: es.forecast_es(split, [(s["trend"], s["seasonal"]) for s in specs]),
+        "prophet": trend.forecast_trend_seasonal,
+        "lr": linear.forecast_linear,
+        "rf": _trees("rf"),
+        "xgb": _trees("xgb"),
+    },
+    catalog.VARIATIONS,
+)
 
 
-def select_models(requested: list[str] | None = None) -> list[str]:
-    """The requested models that exist, lower-cased, in request order; None is the default list."""
-    requested = catalog.DEFAULT_MODELS if requested is None else requested
-    if "all" in requested:
-        return available_models()
-    return [m.lower() for m in requested if m.lower() in _FORECASTERS]
+def select_models(requested: list[str] | None = None, registry: Registry = BUILT_IN) -> list[str]:
+    """The requested models that exist, lower-cased, in request order; None or "all" is every model."""
+    if requested is None or "all" in requested:
+        return list(registry.forecasters)
+    return [m.lower() for m in requested if m.lower() in registry.forecasters]
 
 
-def run_forecaster(split: DataFrame, model_key: str, specs: list[dict] | None = None) -> DataFrame:
-    return _FORECASTERS[model_key](split, specs or catalog.VARIATIONS[model_key])
+def run_forecaster(split: DataFrame, model_key: str, specs: list[dict] | None = None, registry: Registry = BUILT_IN) -> DataFrame:
+    return registry.forecasters[model_key](split, specs or registry.variations[model_key])
 
 
-def task_grid(split: DataFrame, models: list[str] | None = None, n_runs: int = 1) -> DataFrame:
+def task_grid(split: DataFrame, models: list[str] | None = None, n_runs: int = 1, registry: Registry = BUILT_IN) -> DataFrame:
     """One row per series, run, model and variation, in the order models were asked for."""
-    names = select_models(models)
+    names = select_models(models, registry)
     tasks = [
-        (m, order, i, json.dumps(spec)) for order, m in enumerate(names) for i, spec in enumerate(catalog.VARIATIONS[m])
+        (m, order, i, json.dumps(spec)) for order, m in enumerate(names) for i, spec in enumerate(registry.variations[m])
     ]
     literal = F.array(
         *[
@@ -131,32 +146,42 @@ def task_grid(split: DataFrame, models: list[str] | None = None, n_runs: int = 1
     )
 
 
-def name_forecasts(forecasts: DataFrame, split: DataFrame) -> DataFrame:
+def name_forecasts(forecasts: DataFrame, split: DataFrame, registry: Registry = BUILT_IN) -> DataFrame:
     """Add params (JSON of the variation) and the display name."""
     if "n_train" not in forecasts.columns:
         forecasts = forecasts.join(split.groupBy(SERIES).agg(F.max("n_train").alias("n_train")), SERIES)
-    named = forecasts.withColumn("params", catalog.params_of())
+    named = forecasts.withColumn("params", catalog.params_of(registry.variations))
     return named.withColumn("model", display_name("model_key", "params", PERIOD_SQL)).drop("n_train")
 
 
-def sweep(split: DataFrame, models: list[str] | None = None, n_runs: int = 1) -> DataFrame:
-    """Forecast rows of all models and variations. The models here are deterministic, so further
-    runs repeat the first; user models may differ from run to run."""
-    parts = [run_forecaster(split, m) for m in select_models(models)]
-    forecasts = reduce(DataFrame.unionByName, parts)
+def sweep(split: DataFrame, models: list[str] | None = None, n_runs: int = 1, registry: Registry = BUILT_IN) -> DataFrame:
+    """Forecast rows of all models and variations; a failed variation has rows without forecast and an
+    ``error``. The models here are deterministic, so further runs repeat the first; user models may
+    differ from run to run."""
+    forecasts = union_forecasts([run_forecaster(split, m, None, registry) for m in select_models(models, registry)])
+    if "error" not in forecasts.columns:
+        forecasts = forecasts.withColumn("error", F.lit(None).cast("string"))
     runs = F.explode(F.sequence(F.lit(1), F.lit(n_runs)))
-    return name_forecasts(forecasts.withColumn("run", runs), split)
+    return name_forecasts(forecasts.withColumn("run", runs), split, registry)
 
 
 def results(forecasts: DataFrame, split: DataFrame) -> DataFrame:
-    """One row per series, model and variation: metrics averaged over runs, their deviation, composite, rank."""
-    merged = ranking.aggregate_runs(evaluate(forecasts, split), with_composite_std=True)
-    return ranking.rank_models(ranking.composite_score(merged))
+    """One row per series, model and variation: metrics averaged over runs, their deviation, composite, rank.
+
+    A variation that failed, or whose forecast misses rows, has an ``error`` and neither score nor rank.
+    """
+    merged = ranking.aggregate_runs(evaluate(forecasts, split, failed=True), with_composite_std=True)
+    fitted = F.col("error").isNull()
+    scored = ranking.composite_score(merged).withColumns(
+        {c: F.when(fitted, F.col(c)) for c in ("composite_score", "composite_std", "rmse_std")}
+    )
+    return ranking.rank_models(scored).withColumn("rank", F.when(fitted, F.col("rank")))
 
 
 def comparison(scored: DataFrame) -> DataFrame:
-    """One row per series and model name: medians over variations, best variation, rank."""
-    return attach_family(ranking.rank_models(ranking.merge_variations(scored)))
+    """One row per series and model name that was fitted: medians over variations, best variation, rank."""
+    fitted = scored.where(F.col("error").isNull()) if "error" in scored.columns else scored
+    return attach_family(ranking.rank_models(ranking.merge_variations(fitted)))
 
 
 def recommendation(table: DataFrame) -> DataFrame:
@@ -166,6 +191,6 @@ def recommendation(table: DataFrame) -> DataFrame:
     return judgment_text(ranking.lead_margin(rescored))
 
 
-def attach_config(rows: DataFrame) -> DataFrame:
+def attach_config(rows: DataFrame, registry: Registry = BUILT_IN) -> DataFrame:
     """Parameters of the variation by key; an empty object where there are none."""
-    return rows.withColumn("params", catalog.params_of())
+    return rows.withColumn("params", catalog.params_of(registry.variations))

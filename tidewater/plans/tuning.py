@@ -73,20 +73,21 @@ def tune_models(split: DataFrame, chosen: list[tuple[str, str | None]]) -> tuple
     return reduce(DataFrame.unionByName, candidates), reduce(DataFrame.unionByName, forecasts)
 
 
-def tune_top_models(split: DataFrame, ranked: DataFrame, n: int, pool: list[tuple[str, str | None]]) -> DataFrame:
+def tune_top_models(split: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
     """Tuned forecasts of the models ranked in the first n of each series.
 
-    ``pool`` lists the (model_key, loss) pairs that may be tuned; each is tuned for the series whose
-    ranking asks for it.
+    Every pair of model and loss that some series ranks there is tuned for the series that rank it: the
+    pairs are at most as many as there are tuners and losses. Models without a tuner stay untuned.
     """
     # A few rows per series that every pair is matched with: computed once.
     wanted = cut_lineage(tune_candidates(ranked, n).select(SERIES, "model_key", "loss"))
+    pairs = wanted.where(F.col("model_key").isin(list(TUNERS))).select("model_key", "loss").distinct().collect()
     parts = []
-    for model_key, loss in pool:
+    for model_key, loss in sorted((tuple(x) for x in pairs), key=str):
         asked = wanted.where((F.col("model_key") == model_key) & F.col("loss").eqNullSafe(F.lit(loss)))
         _, forecasts = tune_models(split.join(asked, SERIES, "left_semi"), [(model_key, loss)])
         parts.append(forecasts)
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts or [tune_models(split.where(F.lit(False)), [("ma", None)])[1]])
 
 
 def union_tuned(base: DataFrame, tuned: DataFrame) -> DataFrame:

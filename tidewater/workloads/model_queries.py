@@ -226,12 +226,9 @@ add("tune_boosted", lambda spark, sf: rounded(trees.tune_trees(suppliers(spark,
 
 # Sweeps, tuning of the best, user models
 
-_SWEEP = ["ma", "arima", "sarima", "es", "prophet", "lr"]
-
-
 def _sweep(spark, sf):
     split = suppliers(spark, sf)
-    return tidy(sweep.results(sweep.sweep(split, _SWEEP), split))
+    return tidy(sweep.results(sweep.sweep(split), split))
 
 
 add("model_sweep", _sweep)
@@ -241,8 +238,7 @@ def _tune_top(spark, sf):
     split = held_split_of(p.returnflag_monthly(spark, sf))
     base = sweep.sweep(split, ["ma", "arima", "lr"])
     ranked = sweep.comparison(sweep.results(base, split))
-    pool = [("ma", None), ("arima", None), ("lr", "l2"), ("lr", "l1")]
-    return tuning.tune_top_models(split, ranked, 3, pool), base, split
+    return tuning.tune_top_models(split, ranked, 3), base, split
 
 
 add("tune_top_models", lambda spark, sf: rounded(_tune_top(spark, sf)[0].select(SERIES, "model", TS, "yhat")))
@@ -265,8 +261,8 @@ def drift(y: np.ndarray, horizon: int, spec: dict) -> np.ndarray:
 
 
 def _user_model(spark, sf):
-    sweep.register_forecaster("drift", sweep.per_series_forecaster("drift", drift), [{"share": 1.0}, {"share": 0.5}])
-    return shown(sweep.run_forecaster(suppliers(spark, sf), "drift"))
+    known = sweep.register_forecaster("drift", sweep.per_series_forecaster("drift", drift), [{"share": 1.0}, {"share": 0.5}])
+    return shown(sweep.run_forecaster(suppliers(spark, sf), "drift", registry=known))
 
 
 add("register_forecaster", _user_model,
