@@ -1,6 +1,7 @@
 """Sharding, Merkle fingerprints and mixing against plain Python."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,3 +152,29 @@ def test_mixed_rows_repeat_whole_rows(documents, empty):
 
 def test_merkle_of_empty_table(empty):
     assert merkle.compare_edits(empty).count() == 0
+
+
+def counted_blocks(text):
+    return Counter(b for line in text.split("\n") for b in re.findall(r"\s*(?:\S+\s*){1,4}|\s+", line))
+
+
+def test_likeness_counts_repeats_and_descends(spark):
+    line = "one two three four five six seven eight\n"
+    first = "\n\n".join(f"{k}a b c d {k}e f g h\nnext {k} of it" for k in range(6))
+    pairs = [
+        (line * 1000, line), (line * 953 + "a b c d", line * 700 + "e f g h"), (first, first.replace("3e f", "3e x")), (first, "new words come first\n\n" + first),
+        (first, "\n\n".join(reversed(first.split("\n\n")))), ("", "a b c"), (first, first), (first, first.replace("1a", "1z").replace("4e", "4z")),
+    ]
+    frame = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(pairs)], "k int, x string, y string")
+    prints = merkle.fingerprints(merkle.fingerprints(frame, "x", "p"), "y", "q")
+    rows = prints.select("k", merkle.likeness(F.col("p"), F.col("q")).alias("near"), merkle.differing(F.col("p"), F.col("q")).alias("d")).orderBy("k").collect()
+    for row, (x, y) in zip(rows, pairs):
+        a, b = counted_blocks(x), counted_blocks(y)
+        want = 1.0 if x == y else (a & b).total() / max(a.total(), b.total())
+        assert row["near"] == pytest.approx(want, abs=1e-9), row["k"]
+    got = [{level: (part["was"], part["now"]) for level, part in row["d"].asDict().items()} for row in rows]
+    assert got[2] == {"sections": ([3], [3]), "paragraphs": ([6], [6]), "blocks": ([10], [10])}
+    assert got[3] == {"sections": ([], [0]), "paragraphs": ([], [0]), "blocks": ([], [0])}
+    assert got[4]["sections"] == ([0, 1, 2, 3, 4, 5], [0, 1, 2, 3, 4, 5])
+    assert all(not was and not now for was, now in got[6].values())
+    assert got[7]["sections"] == ([1, 4], [1, 4]) and got[7]["blocks"] == ([3, 13], [3, 13])

@@ -58,15 +58,109 @@ def fingerprint(nodes: Column) -> Column:
     return F.element_at(bound, 1)
 
 
+def _span(x: Column, y: Column, front: Column, back: Column) -> Column:
+    """``front, back``: equal nodes at both ends of two lists, given how many the level above has settled."""
+    def equal(p, q, known):
+        rest = F.array_position(F.zip_with(F.slice(p, known + 1, F.size(p)), F.slice(q, known + 1, F.size(q)), lambda m, n: m.eqNullSafe(n)), False)
+        return known + F.when(rest == 0, F.greatest(F.size(p) - known, F.lit(0))).otherwise(rest.cast("int") - 1)
+
+    least = F.least(F.size(x), F.size(y))
+    ends = F.struct(equal(x, y, front).alias("front"), equal(F.reverse(x), F.reverse(y), back).alias("back"))
+    return _bind(ends, lambda e: F.struct(e["front"].alias("front"), F.least(e["back"], least - e["front"]).alias("back")))
+
+
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a one-element array is transformed."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _children(nodes: Column, count: Column) -> Column:
+    """How many children the first ``count`` nodes have."""
+    return F.aggregate(F.slice(nodes, 1, count), F.lit(0), lambda n, node: n + F.substring_index(node, "x", -1).cast("int"))
+
+
+def _descend(a: Column, b: Column, use) -> Column:
+    """``use`` of the levels ``sections, paragraphs, blocks`` of two fingerprints: lists ``x, y`` and their ``span``.
+
+    Branches whose nodes are equal at either end of a level are not entered: their children are taken
+    as equal, and the level below is compared between them only.
+    """
+    def lists(k):
+        return F.struct(*[F.split(F.split_part(s, F.lit("/"), F.lit(k)), ",").alias(n) for s, n in ((a, "x"), (b, "y"))])
+
+    def below(level, span, lower):
+        front = _children(level["x"], span["front"])
+        back = _children(F.reverse(level["x"]), span["back"])
+        return _span(lower["x"], lower["y"], front, back)
+
+    def with_span(level, span):
+        return F.struct(level["x"].alias("x"), level["y"].alias("y"), span.alias("span"))
+
+    none = F.lit(0)
+    return _bind(F.struct(lists(2).alias("s"), lists(3).alias("p"), lists(4).alias("l")), lambda t: _bind(
+        _span(t["s"]["x"], t["s"]["y"], none, none), lambda s: _bind(
+            below(t["s"], s, t["p"]), lambda p: _bind(
+                below(t["p"], p, t["l"]), lambda l: use(with_span(t["s"], s), with_span(t["p"], p), with_span(t["l"], l))
+            ))))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Branches in which two fingerprints differ: ``sections, paragraphs, blocks``, each with positions ``was`` and ``now``.
+
+    Positions count from 0 over the whole text, ``was`` in ``a`` and ``now`` in ``b``. Nodes are aligned
+    from both ends of a level; between, equally many nodes are aligned one to one and equal ones left
+    out, otherwise all of them differ. Equal fingerprints have no positions.
+    """
+    def positions(level):
+        span, nx, ny = level["span"], F.size(level["x"]), F.size(level["y"])
+
+        def run(n):
+            end = n - span["back"]
+            return F.when(end > span["front"], F.sequence(span["front"], end - 1)).otherwise(F.array().cast("array<int>"))
+
+        def kept(n):
+            return F.filter(run(n), lambda i: (nx != ny) | (F.get(level["x"], i) != F.get(level["y"], i)))
+
+        return F.struct(kept(nx).alias("was"), kept(ny).alias("now"))
+
+    return _descend(a, b, lambda s, p, l: F.struct(
+        _bind(s, positions).alias("sections"), _bind(p, positions).alias("paragraphs"), _bind(l, positions).alias("blocks")
+    ))
+
+
+def _common(x: Column, y: Column) -> Column:
+    """How many entries two lists have in common, repeats counted: both are sorted and walked once."""
+    def walk(both):
+        def step(at):
+            return _bind(F.struct(F.get(both["x"], at["i"]).alias("p"), F.get(both["y"], at["j"]).alias("q")), lambda e: F.struct(
+                (at["i"] + (e["p"] <= e["q"]).cast("int")).alias("i"), (at["j"] + (e["q"] <= e["p"]).cast("int")).alias("j"),
+                (at["n"] + (e["p"] == e["q"]).cast("int")).alias("n"),
+            ))
+
+        nx, ny, start = F.size(both["x"]), F.size(both["y"]), F.struct(*[F.lit(0).alias(c) for c in "ijn"])
+        return F.aggregate(
+            F.sequence(F.lit(1), nx + ny), start, lambda at, _: F.when((at["i"] < nx) & (at["j"] < ny), step(at)).otherwise(at), lambda at: at["n"]
+        )
+
+    walked = _bind(F.struct(F.sort_array(x).alias("x"), F.sort_array(y).alias("y")), walk)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0).otherwise(walked)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Share of distinct leaves that two fingerprints have in common, of the larger one; 1 for equal roots."""
-    def leaves(x):
-        return F.array_distinct(F.split(F.substring_index(x, "/", -1), ","))
+    """Share of blocks, repeats counted, that two fingerprints have in common, of the larger one; 1 for equal roots.
 
-    both = F.element_at(F.transform(F.array(F.struct(leaves(a).alias("a"), leaves(b).alias("b"))), lambda x: (
-        F.size(F.array_intersect(x["a"], x["b"])) / F.greatest(F.size(x["a"]), F.size(x["b"]))
-    )), 1)
-    return F.when(F.substring_index(a, "/", 1) == F.substring_index(b, "/", 1), 1.0).otherwise(both)
+    Blocks outside the differing span that the descent finds are common as they are; those inside are
+    matched in any order.
+    """
+    def share(s, p, l):
+        def middle(x):
+            return F.slice(x, l["span"]["front"] + 1, F.size(x) - l["span"]["front"] - l["span"]["back"])
+
+        return (l["span"]["front"] + l["span"]["back"] + _common(middle(l["x"]), middle(l["y"]))) / F.greatest(F.size(l["x"]), F.size(l["y"]))
+
+    return F.when(F.substring_index(a, "/", 1) == F.substring_index(b, "/", 1), 1.0).otherwise(
+        _descend(a, b, lambda s, p, l: _bind(l, lambda bound: share(s, p, bound)))
+    )
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fingerprint") -> DataFrame:
@@ -93,7 +187,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The last quarter of the code points is replaced by the first as many of the next document in
     ascending id order, the first one after the last. Of several rows with one id, the one with the
-    smallest text hash is the next document. A null text is empty. A row without an id has no next
+    smallest text hash is the next document. ``edited_branches`` are the branches that the edit changed. A null text is empty. A row without an id has no next
     document: its last quarter is cut, and ``near_next`` is 0. Repeated rows give equal results; an
     empty table gives no rows; other columns are not read.
     """
@@ -123,4 +217,5 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.coalesce(likeness(F.col("fingerprint"), F.col("next_print")), F.lit(0.0)).alias("near_next"),
+        differing(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edited_branches"),
     )
