@@ -198,3 +198,14 @@ def test_pipeline_of_odd_and_empty_rows(spark, odd, empty):
 def test_registry_holds_the_queries():
     names = entry_points.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} <= {f"op{k}" for k in range(1, 11)}
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    own = [(f"{a}{b}{c}" * 3, "xx") for a in "abcdefg" for b in "hijklm" for c in "nopqrst"]
+    docs = spark.createDataFrame(own + [("copied words", "xx")] * 5000 + [("other words", "yy")] * 5, "text string, lang string")
+    model = langid.fit_languages(docs, sample=400)
+    logs = model.logs[:, model.languages.index("xx")]
+    learned = [logs[langid.word_ngrams([t])[0]].min() > logs.min() for t, _ in own]
+    assert len(own) == 294 and all(learned)
+    once = langid.fit_languages(docs.distinct(), sample=400)
+    assert once.languages == model.languages and (once.logs == model.logs).all()

@@ -45,14 +45,14 @@ class LanguageModel:
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Trigram profiles from about ``sample`` hash-picked labelled documents of every language, whole texts.
+    """Trigram profiles from about ``sample`` hash-picked distinct labelled texts of every language, whole texts.
 
-    Rows with a null text or language teach nothing. Without any such row there are no languages.
+    Copies of a text within a language count once, both for its size and in its profile. Rows with a null text or language teach nothing. Without any such row there are no languages.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    picked = rows.join(F.broadcast(sizes), "lang").filter(hash_share(sample, F.col("size"), "text")).select("text", "lang")
+    sizes = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("size"))
+    picked = rows.join(F.broadcast(sizes), "lang").filter(hash_share(sample, F.col("size"), "text")).select("text", "lang").distinct()
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
