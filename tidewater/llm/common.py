@@ -47,6 +47,29 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
+# A group with at least this share of all rows is hot; there are at most as many hot groups.
+HOT_GROUPS = 1000
+
+
+def attach_by_key(rows: DataFrame, groups: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the columns of their group; rows without a group get nulls.
+
+    ``groups`` has one row per value of ``key`` (null is a value) and in ``weight`` its number of rows. Groups
+    that hold a thousandth of all rows or more are at most a thousand: they are broadcast, so that their rows
+    stay where they are, and only the rows of other groups are dealt out by key. ``rows`` is read twice.
+    """
+    groups = cut_lineage(groups)
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_GROUPS >= total
+    named = groups.withColumnRenamed(key, "_tw_key").withColumn("_tw_found", F.lit(True))
+    same = F.col(key).eqNullSafe(F.col("_tw_key"))
+    extra = [c for c in groups.columns if c not in (key, weight)]
+    marked = rows.join(F.broadcast(named.filter(hot).drop(weight)), same, "left")
+    large = marked.filter("_tw_found").select(*rows.columns, *extra)
+    others = marked.filter("_tw_found is null").select(*rows.columns)
+    return large.unionByName(others.join(named.filter(~hot).drop(weight), same, "left").select(*rows.columns, *extra))
+
+
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components of a link table: ``node`` and ``root``, its smallest reachable node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import langid, licenses, lm, merkle, mixing, neardup_vectors, pieces, quality, sharding, simhash
+from tidewater.llm import codes, langid, licenses, lm, merkle, mixing, neardup_vectors, pieces, quality, queries_sql, sharding, simhash, variants, warc
 from tidewater.llm.common import table
 
 
@@ -78,6 +78,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.word_counts(table(spark, sf_dir, "documents"), slip=97))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256")
+    )
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, bodies=False).select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers_to_page").cast("long").alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pieces": op2_pieces,
@@ -89,5 +108,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_vectors": op9_vectors,
     "op10_mixing": op10_mixing,
+    "op11_variants": op11_variants,
+    "op12_codes": op12_codes,
+    "op13_warc": op13_warc,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op11_variants": queries_sql.VARIANTS, "op12_codes": queries_sql.CODES, "op13_warc": queries_sql.ARCHIVE}
