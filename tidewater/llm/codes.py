@@ -84,6 +84,7 @@ def assign(tree: Boxes, book: np.ndarray, own: Boxes) -> tuple[np.ndarray, list]
     at, e_level = 0, 0
     p, e = np.zeros(1, np.int64), np.zeros(1, np.int64)
     last_p, last_e = len(tree.levels) - 1, len(own.levels) - 1
+    name = own.order[own.levels[last_e][:-1]]  # of the leaves; empty ones are never visited
     while True:
         low, high = tree.low[at][p], tree.high[at][p]
         e_low, e_high = own.low[e_level][e], own.high[e_level][e]
@@ -99,8 +100,8 @@ def assign(tree: Boxes, book: np.ndarray, own: Boxes) -> tuple[np.ndarray, list]
             single = left[p] == 1
             edges = tree.levels[at]
             for node, leaf in zip(p[single], e[single]):
-                entry[edges[node] : edges[node + 1]] = own.order[leaf]
-                whole.append((edges[node], edges[node + 1], own.order[leaf]))
+                entry[edges[node] : edges[node + 1]] = name[leaf]
+                whole.append((edges[node], edges[node + 1], name[leaf]))
             p, e = p[~single], e[~single]
         if not len(p) or (at == last_p and e_level == last_e):
             break
@@ -114,7 +115,7 @@ def assign(tree: Boxes, book: np.ndarray, own: Boxes) -> tuple[np.ndarray, list]
             at += 1
             p, e = np.stack([2 * p, 2 * p + 1], axis=1).ravel(), np.repeat(e, 2)
     if len(p):
-        _compare(tree, at, p, own.order[e], book, entry)
+        _compare(tree, at, p, name[e], book, entry)
     return entry, whole
 
 
