@@ -79,7 +79,7 @@ def test_autoregression_matches_least_squares(split):
 
 
 def test_ar_tuning_scores_the_holdout_only(dated_split):
-    candidates, tuned = ar.tune_ar(dated_split)
+    candidates, tuned = ar.tune_ar(dated_split, ar.PLAIN_GRID)
     rows, chosen = candidates.toPandas(), forecasts_of(tuned)
     for sid, (train, test) in parts(dated_split).items():
         y = train.y.to_numpy()

@@ -21,7 +21,10 @@ def swept(split):
 
 
 def test_selection():
-    assert sweep.select_models(["MA", "nope"]) == ["ma"]
+    with pytest.warns(UserWarning, match="nope"):
+        assert sweep.select_models(["MA", "nope"]) == ["ma"]
+    with pytest.raises(ValueError, match="known are ma"):
+        sweep.select_models(["nope"])
     assert set(sweep.select_models(["all"])) >= set(catalog.VARIATIONS)
     assert sweep.select_models() == sweep.select_models(["all"])
     assert tuning.losses_for("ma") == [None] and tuning.losses_for("rf", ["huber", "l1"]) == ["l1"]

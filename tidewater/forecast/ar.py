@@ -1,7 +1,10 @@
-"""Autoregression with differencing, plain and seasonal, by conditional least squares.
+"""Autoregression with differencing and moving-average terms, plain and seasonal, by least squares.
 
 A fit is reduced to one linear recursion on the (standardised) series, whatever its differences, so
-that one rollout serves all orders.
+that one rollout serves all orders. Orders with moving-average terms take two regressions: a long
+autoregression, solved from sums, gives every row its residual; then the differenced series is regressed
+on its lags and on lags of those residuals, which again needs sums only. Each regression is one pass
+over the rows for all orders together, and the lags come from windows over blocks of neighbouring rows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewater.forecast.common import forecast_rows, test_rows, train_scale
 from tidewater.forecast.gram import centred, cross_products, partial_sums, solve_sym, square
-from tidewater.forecast.rollout import recursive_rollout, roll
+from tidewater.forecast.rollout import recursive_rollout
 from tidewater.operators.positions import SERIES, TS, Y, over_neighbours
 from tidewater.operators.ranking import best_candidate, mark_chosen
 from tidewater.operators.splits import period_for_training
@@ -24,8 +27,12 @@ from tidewater.session import spread
 PERIODS = (4, 12, 52)
 
 
-def order(p: int, d: int, P: int = 0, D: int = 0) -> dict:
-    return {"p": p, "d": d, "P": P, "D": D}
+# Lags of the long autoregression behind the residuals, the first that leaves enough rows: this many rows a term.
+LONG_LAGS, LONG_ROWS = (12, 4), 3
+
+
+def order(p: int, d: int, P: int = 0, D: int = 0, q: int = 0, Q: int = 0) -> dict:
+    return {"p": p, "d": d, "P": P, "D": D, "q": q, "Q": Q}
 
 
 # The variations' orders without their moving-average terms.
@@ -81,9 +88,11 @@ def design(values: dict[int, np.ndarray], spec: dict, period: int) -> np.ndarray
     return np.column_stack([np.ones(len(columns[0])), *columns])
 
 
-def solve(gram: np.ndarray, spec: dict, period: int) -> tuple[float, np.ndarray] | None:
-    """(intercept, recursion coefficients); a constant is fitted only where nothing is differenced."""
-    k = spec["p"] + spec["P"]
+def solve(gram: np.ndarray, spec: dict, period: int) -> tuple | None:
+    """(intercept, recursion coefficients), and the weights of the residuals 1, 2, ... rows back for orders that
+    have any; a constant is fitted only where nothing is differenced."""
+    n_ar, n_ma = spec["p"] + spec["P"], spec["q"] + spec["Q"]
+    k = n_ar + n_ma
     if gram[0, 0] < k + 1:
         return None
     if spec["d"] + spec["D"] == 0:
@@ -93,7 +102,14 @@ def solve(gram: np.ndarray, spec: dict, period: int) -> tuple[float, np.ndarray]
     else:
         coef = solve_sym(gram[1 : k + 1, 1 : k + 1], gram[1 : k + 1, k + 1]) if k else np.zeros(0)
         intercept = 0.0
-    return intercept, polynomial(spec, period, coef[: spec["p"]], coef[spec["p"] :])
+    recursion = polynomial(spec, period, coef[: spec["p"]], coef[spec["p"] : n_ar])
+    if not n_ma:
+        return intercept, recursion
+    theta = np.zeros(max(spec["q"], spec["Q"] * period))
+    theta[: spec["q"]] = coef[n_ar : n_ar + spec["q"]]
+    if spec["Q"]:
+        theta[period - 1] += coef[-1]
+    return intercept, recursion, theta
 
 
 def with_period(split: DataFrame, period: int | None) -> DataFrame:
@@ -103,60 +119,164 @@ def with_period(split: DataFrame, period: int | None) -> DataFrame:
     return split.withColumn("period", chosen.cast("int"))
 
 
+def moving(specs: list[dict]) -> list[dict]:
+    """The orders that have moving-average terms."""
+    return [s for s in specs if s["q"] or s["Q"]]
+
+
+def long_orders(specs: list[dict], long: tuple = LONG_LAGS) -> dict[tuple, list[dict]]:
+    """Per pair of differences in use, the autoregressions to try for its residuals, longest first."""
+    out = {}
+    for s in moving(specs):
+        seasonal = any(x["P"] or x["D"] or x["Q"] for x in moving(specs))
+        tries = [order(long[0], s["d"], 1, s["D"])] if seasonal else []
+        out[s["d"], s["D"]] = tries + [order(k, s["d"], 0, s["D"]) for k in long]
+    return out
+
+
+def is_seasonal(specs: list[dict]) -> bool:
+    return any(s["P"] or s["D"] or s["Q"] for s in specs)
+
+
+def lags_by_period(specs: list[dict], period: int | None) -> dict[int, list[int]]:
+    periods = [period] if period else list(PERIODS)
+    return {m: needed_lags(specs, m) for m in (periods if is_seasonal(specs) else [1])}
+
+
+def _by_period(by_period: dict[int, list], make):
+    """``make(list)`` of the row's period; of the only list where the orders have no season."""
+    if list(by_period) == [1]:
+        return make(by_period[1])
+    pick = F
+    for m, items in by_period.items():
+        pick = pick.when(F.col("period") == m, make(items))
+    return pick
+
+
 def lag_rows(split: DataFrame, specs: list[dict], period: int | None) -> DataFrame:
     """Training rows with the raw lags the orders need, as one array (lags differ by period)."""
-    periods = [period] if period else list(PERIODS)
-    seasonal = any(s["P"] or s["D"] for s in specs)
-    by_period = {m: needed_lags(specs, m) for m in (periods if seasonal else [1])}
-    deepest = max(max(lags) for lags in by_period.values())
+    by_period = lags_by_period(specs, period)
     train = with_period(split, period).where("is_train").join(train_scale(split), SERIES)
     z = train.select(
-        SERIES, TS, "rn", "period", "y_mean", "y_std", ((F.col(Y) - F.col("y_mean")) / F.col("y_std")).alias(Y)
+        SERIES, TS, "rn", "n_train", "period", "y_mean", "y_std", ((F.col(Y) - F.col("y_mean")) / F.col("y_std")).alias(Y)
     )
 
     def build(rows, w):
-        def lagged(lags):
-            return F.array(*[F.lag(Y, k).over(w) if k else F.col(Y) for k in lags])
+        return rows.withColumn("lags", _by_period(by_period, lambda lags: F.array(*[F.lag(Y, k).over(w) if k else F.col(Y) for k in lags])))
+
+    return over_neighbours(z, build, behind=max(max(lags) for lags in by_period.values()))
 
-        if not seasonal:
-            return rows.withColumn("lags", lagged(by_period[1]))
-        pick = None
-        for m, lags in by_period.items():
-            pick = F.when(F.col("period") == m, lagged(lags)) if pick is None else pick.when(
-                F.col("period") == m, lagged(lags)
-            )
-        return rows.withColumn("lags", pick)
 
-    return over_neighbours(z, build, behind=deepest)
+def _values(arrays: pd.Series, lags: list[int]) -> dict[int, np.ndarray]:
+    return dict(zip(lags, np.array(arrays.tolist(), dtype=float).T))
 
 
-def _values(arrays: pd.Series, specs: list[dict], period: int) -> dict[int, np.ndarray]:
-    stacked = np.array([[np.nan if v is None else v for v in a] for a in arrays], dtype=float)
-    seasonal = any(s["P"] or s["D"] for s in specs)
-    return dict(zip(needed_lags(specs, period if seasonal else 1), stacked.T))
+def _lags_of(specs: list[dict], period: int) -> list[int]:
+    return needed_lags(specs, period if is_seasonal(specs) else 1)
 
 
 def gram_widths(specs: list[dict]) -> list[int]:
-    return [2 + s["p"] + s["P"] for s in specs]
+    return [2 + s["p"] + s["P"] + s["q"] + s["Q"] for s in specs]
+
+
+def error_shifts(specs: list[dict], period: int) -> list[int]:
+    """How far back the moving-average terms reach, one entry per lag of the residuals."""
+    deepest = max([s["q"] for s in specs], default=0)
+    return [*range(1, deepest + 1), *([period] if any(s["Q"] for s in specs) else [])]
+
+
+def with_errors(design_: np.ndarray, errors: dict[int, np.ndarray], spec: dict, period: int) -> np.ndarray:
+    """The design with the lagged residuals of an order before its target."""
+    shifts = [*range(1, spec["q"] + 1), *([period] if spec["Q"] else [])]
+    return np.column_stack([design_[:, :-1], *[errors[k] for k in shifts], design_[:, -1]])
 
 
-def ar_grams(rows: DataFrame, specs: list[dict]) -> DataFrame:
-    """One row per series: the flattened cross products of every order, end to end."""
+KEYS = [SERIES, "period", "y_mean", "y_std"]
+
+
+def ar_grams(rows: DataFrame, specs: list[dict], known: list[dict] | None = None, families: list[tuple] = ()) -> DataFrame:
+    """One row per series: the flattened cross products of every order, end to end.
+
+    ``known`` are the orders that the array of lags was made for, ``families`` the pairs of differences whose
+    lagged residuals stand end to end in ``errors``.
+    """
+    known = known or specs
 
     def payload(pdf):
         period = int(pdf["period"].iloc[0])
-        values = _values(pdf["lags"], specs, period)
-        return np.concatenate([cross_products(design(values, s, period)) for s in specs])
+        values = _values(pdf["lags"], _lags_of(known, period))
+        out, errors = [], {}
+        if families:
+            shifts = error_shifts(specs, period)
+            stacked = np.array(pdf["errors"].tolist(), dtype=float).T.reshape(len(families), len(shifts), -1)
+            errors = {f: dict(zip(shifts, stacked[i])) for i, f in enumerate(families)}
+        for s in specs:
+            x = design(values, s, period)
+            out.append(cross_products(with_errors(x, errors[s["d"], s["D"]], s, period) if s["q"] or s["Q"] else x))
+        return np.concatenate(out)
+
+    return partial_sums(rows.select(*KEYS, "lags", *(["errors"] if families else [])), KEYS, payload)
+
+
+def residual_filters(grams: DataFrame, tries: dict[tuple, list[dict]], known: list[dict]) -> DataFrame:
+    """(series_id, filters): per pair of differences the weights of the raw lags and a constant that make the
+    residual of the longest autoregression the series has rows for; null where it has too few."""
+    flat = [s for specs in tries.values() for s in specs]
+    widths = gram_widths(flat)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                lags = _lags_of(known, row.period)
+                solved = [(s, g, solve(g, s, row.period)) for s, g in zip(flat, _split_grams(row.gram, widths))]
+                filters = []
+                for family in tries:
+                    fit = next(
+                        (fit for s, g, fit in solved if (s["d"], s["D"]) == family and fit and g[0, 0] >= LONG_ROWS * (s["p"] + s["P"] + 1)), None
+                    )
+                    weights = dict(enumerate(-fit[1], start=1)) if fit else {}
+                    filters.append([1.0, *[weights.get(k, 0.0) for k in lags[1:]], fit[0]] if fit else None)
+                out.append((row.series_id, filters))
+            yield pd.DataFrame(out, columns=[SERIES, "filters"])
+
+    return spread(grams, SERIES).mapInPandas(run, f"{SERIES} string, filters array<array<double>>")
+
+
+def error_rows(rows: DataFrame, filters: DataFrame, specs: list[dict], families: list[tuple], period: int | None) -> DataFrame:
+    """``rows`` with ``residuals`` (one per pair of differences) and their lags in ``errors``.
+
+    Residuals of the first rows, which lack lags, count as zero, their expected value.
+    """
+    joined = rows.join(filters, SERIES)
+
+    def residual(i):
+        weights = F.col("filters")[i]
+        # a weight of zero belongs to a lag that this autoregression doesn't use: it may be missing
+        terms = F.zip_with("lags", F.slice(weights, 1, F.size("lags")), lambda v, w: F.when(w == 0, 0.0).otherwise(v * w))
+        return F.when(weights.isNotNull(), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) - F.element_at(weights, -1))
+
+    made = joined.withColumn("residuals", F.array(*[residual(i) for i in range(len(families))]))
+    periods = [period] if period else list(PERIODS)
+    shifts = {m: error_shifts(specs, m) for m in (periods if any(s["Q"] for s in specs) else [1])}
 
-    keys = [SERIES, "period", "y_mean", "y_std"]
-    return partial_sums(rows.select(*keys, "lags"), keys, payload)
+    def build(part, w):
+        def lagged(own):
+            return F.array(*[
+                F.when(F.col("filters")[i].isNotNull(), F.coalesce(F.lag(F.col("residuals")[i], k).over(w), F.lit(0.0)))
+                for i in range(len(families)) for k in own
+            ])
 
+        return part.withColumn("errors", _by_period(shifts, lagged))
 
-def last_values(rows: DataFrame, depth: int, upto: str) -> DataFrame:
+    return over_neighbours(made, build, behind=max(max(x) for x in shifts.values())).drop("filters")
+
+
+def last_values(rows: DataFrame, depth: int, upto: str, column: str = Y, name: str = "state") -> DataFrame:
     """The ``depth`` values before position ``upto``, newest first."""
     tail = rows.where((F.col("rn") < F.col(upto)) & (F.col("rn") >= F.col(upto) - depth))
-    newest = F.sort_array(F.collect_list(F.struct("rn", Y)), asc=False)
-    return tail.groupBy(SERIES).agg(F.transform(newest, lambda s: s[Y]).alias("state"))
+    newest = F.sort_array(F.collect_list(F.struct("rn", column)), asc=False)
+    return tail.groupBy(SERIES).agg(F.transform(newest, lambda s: s[column]).alias(name))
 
 
 def _split_grams(flat, widths):
@@ -166,11 +286,25 @@ def _split_grams(flat, widths):
         at += w * w
 
 
-def fit_ar(split: DataFrame, specs: list[dict], period: int | None = None) -> DataFrame:
-    """(series_id, variation, intercept, coef, state) of every order that the series is long enough for."""
+def fit_ar(split: DataFrame, specs: list[dict], period: int | None = None, long: tuple = LONG_LAGS) -> DataFrame:
+    """(series_id, variation, intercept, coef, state, theta, shocks) of every order that the series is long enough for.
+
+    ``theta`` weighs the residuals 1, 2, ... rows back, ``shocks`` holds the last ones, newest first.
+    """
     depth = max(reach(s, m) for s in specs for m in ([period] if period else PERIODS))
     state = last_values(split.where("is_train"), depth, "n_train")
-    grams = ar_grams(lag_rows(split, specs, period), specs).join(state, SERIES)
+    tries = long_orders(specs, long)
+    families = list(tries)
+    known = [*specs, *[s for own in tries.values() for s in own]]
+    rows = lag_rows(split, known, period)
+    if families:
+        filters = residual_filters(ar_grams(rows, [s for own in tries.values() for s in own], known), tries, known)
+        rows = error_rows(rows, filters, specs, families, period)
+        shown = max(max(error_shifts(specs, m)) for m in ([period] if period else PERIODS))
+        state = state.join(last_values(rows, shown, "n_train", "residuals", "shocks"), SERIES, "left")
+    else:
+        state = state.withColumn("shocks", F.lit(None).cast("array<array<double>>"))
+    grams = ar_grams(rows, specs, known, families).join(state, SERIES)
     widths = gram_widths(specs)
 
     def run(batches):
@@ -181,13 +315,17 @@ def fit_ar(split: DataFrame, specs: list[dict], period: int | None = None) -> Da
                     fit = solve(g, s, row.period) if len(row.state) >= reach(s, row.period) else None
                     if fit is None:
                         continue
-                    intercept, coef = fit
+                    intercept, coef, *theta = fit
                     if s["d"] + s["D"] == 0:
                         intercept = row.y_std * intercept + row.y_mean * (1.0 - coef.sum())
-                    out.append((row.series_id, i, intercept, coef.tolist(), list(row.state)))
-            yield pd.DataFrame(out, columns=[SERIES, "variation", "intercept", "coef", "state"])
-
-    schema = f"{SERIES} string, variation int, intercept double, coef array<double>, state array<double>"
+                    shocks = []
+                    if theta:
+                        at = families.index((s["d"], s["D"]))
+                        shocks = [row.y_std * (0.0 if e[at] is None or np.isnan(e[at]) else e[at]) for e in row.shocks[: len(theta[0])]]
+                    out.append((row.series_id, i, intercept, coef.tolist(), list(row.state), theta[0].tolist() if theta else [], shocks))
+            yield pd.DataFrame(out, columns=[SERIES, "variation", "intercept", "coef", "state", "theta", "shocks"])
+
+    schema = f"{SERIES} string, variation int, intercept double, coef array<double>, state array<double>, theta array<double>, shocks array<double>"
     return spread(grams, SERIES).mapInPandas(run, schema)
 
 
@@ -199,23 +337,27 @@ def forecast_fits(split: DataFrame, fits: DataFrame, model_key: str) -> DataFram
     return forecast_rows(rows.join(rolled, [SERIES, "step"]), model_key, F.col("yhat"))
 
 
-def forecast_ar(split: DataFrame, specs: list[dict] | None = None) -> DataFrame:
-    return forecast_fits(split, fit_ar(split, specs or PLAIN, None), "arima")
+def forecast_ar(split: DataFrame, specs: list[dict] | None = None, long: tuple = LONG_LAGS) -> DataFrame:
+    return forecast_fits(split, fit_ar(split, specs or PLAIN, None, long), "arima")
 
 
 def forecast_seasonal_ar(split: DataFrame, specs: list[dict] | None = None, period: int | None = None) -> DataFrame:
     return forecast_fits(split, fit_ar(split, specs or SEASONAL, period), "sarima")
 
 
-# The parts of the two grids without moving-average terms.
+# The two grids, and their parts without moving-average terms.
+GRID = [order(p, d, q=q) for p in range(5) for d in range(2) for q in range(5)]
+SEASONAL_FULL_GRID = [
+    order(p, d, P, D, q, Q) for p in range(3) for d in range(2) for q in range(3) for P in range(2) for D in range(2) for Q in range(2)
+]
 PLAIN_GRID = [order(p, d) for p in range(5) for d in range(2)]
 SEASONAL_GRID = [order(p, d, P, D) for p in range(3) for d in range(2) for P in range(2) for D in range(2)]
 
 
 def order_json(spec: dict, period: int, seasonal: bool) -> str:
-    out = {"order": [spec["p"], spec["d"], 0]}
+    out = {"order": [spec["p"], spec["d"], spec["q"]]}
     if seasonal:
-        out["seasonal_order"] = [spec["P"], spec["D"], 0, period]
+        out["seasonal_order"] = [spec["P"], spec["D"], spec["Q"], period]
     return json.dumps(out)
 
 
@@ -271,7 +413,7 @@ def refit_chosen(split: DataFrame, candidates: DataFrame, grid: list[dict], peri
 
 def tune_ar(split: DataFrame, grid: list[dict] | None = None, val_frac: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(candidates, forecasts of the best order refitted on all training rows)."""
-    grid = grid or PLAIN_GRID
+    grid = grid or GRID
     candidates = ar_candidates(split, grid, None, val_frac)
     return candidates, refit_chosen(split, candidates, grid, None, "arima")
 
@@ -279,12 +421,6 @@ def tune_ar(split: DataFrame, grid: list[dict] | None = None, val_frac: float =
 def tune_seasonal_ar(
     split: DataFrame, grid: list[dict] | None = None, period: int | None = None, val_frac: float = 0.2
 ) -> tuple[DataFrame, DataFrame]:
-    grid = grid or SEASONAL_GRID
+    grid = grid or SEASONAL_FULL_GRID
     candidates = ar_candidates(split, grid, period, val_frac, seasonal=True)
     return candidates, refit_chosen(split, candidates, grid, period, "sarima")
-
-
-__all__ = [
-    "PLAIN", "PLAIN_GRID", "SEASONAL", "SEASONAL_GRID", "ar_candidates", "fit_ar", "forecast_ar",
-    "forecast_seasonal_ar", "order", "roll", "tune_ar", "tune_seasonal_ar",
-]

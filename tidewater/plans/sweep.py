@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -78,13 +79,12 @@ def union_forecasts(parts: list[DataFrame]) -> DataFrame:
 
 
 def _orders(specs):
-    return [ar.order(s["order"][0], s["order"][1]) for s in specs]
-
-
-def _seasonal_orders(specs):
-    return [
-        ar.order(s["order"][0], s["order"][1], s["seasonal_order"][0], s["seasonal_order"][1]) for s in specs
-    ]
+    """The orders as named: (p, d, q), and (P, D, Q) where there is a season."""
+    out = []
+    for s in specs:
+        (p, d, q), (P, D, Q) = s["order"], s.get("seasonal_order", [0, 0, 0])[:3]
+        out.append(ar.order(p, d, P, D, q, Q))
+    return out
 
 
 def _trees(model_key):
@@ -104,7 +104,7 @@ BUILT_IN = Registry(
     {
         "ma": lambda split, specs: ma.forecast_ma(split, [s["window"] for s in specs]),
         "arima": lambda split, specs: ar.forecast_ar(split, _orders(specs)),
-        "sarima": lambda split, specs: ar.forecast_seasonal_ar(split, _seasonal_orders(specs)),
+        "sarima": lambda split, specs: ar.forecast_seasonal_ar(split, _orders(specs)),
         "es": lambda split, specs: es.forecast_es(split, [(s["trend"], s["seasonal"]) for s in specs]),
         "prophet": trend.forecast_trend_seasonal,
         "lr": linear.forecast_linear,
@@ -116,10 +116,20 @@ BUILT_IN = Registry(
 
 
 def select_models(requested: list[str] | None = None, registry: Registry = BUILT_IN) -> list[str]:
-    """The requested models that exist, lower-cased, in request order; None or "all" is every model."""
+    """The requested models that exist, lower-cased, in request order; None or "all" is every model.
+
+    Names that don't exist are warned about; if none is left, that is an error.
+    """
     if requested is None or "all" in requested:
         return list(registry.forecasters)
-    return [m.lower() for m in requested if m.lower() in registry.forecasters]
+    names = [m.lower() for m in requested]
+    unknown = [m for m in names if m not in registry.forecasters]
+    message = f"unknown models: {', '.join(unknown)}; known are {', '.join(registry.forecasters)}"
+    if len(unknown) == len(names):
+        raise ValueError(message)
+    if unknown:
+        warnings.warn(message, stacklevel=2)
+    return [m for m in names if m in registry.forecasters]
 
 
 def run_forecaster(split: DataFrame, model_key: str, specs: list[dict] | None = None, registry: Registry = BUILT_IN) -> DataFrame:

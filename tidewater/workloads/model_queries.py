@@ -126,6 +126,64 @@ add("forecast_seasonal_ar", lambda spark, sf: shown(ar.forecast_seasonal_ar(supp
     recursive(*_BASE, _SEASONAL_FITS, select="""
 SELECT s.series_id, 'sarima' AS model_key, v.variation, s.ts, round(CASE v.variation WHEN 0 THEN x[-1] WHEN 1 THEN r.y[-1] ELSE z[-1] END, 2) AS yhat
 FROM split s JOIN rolled r ON r.series_id = s.series_id AND r.k = s.rn - s.n_train + 1, (SELECT unnest([0, 1, 2])::INTEGER AS variation) v WHERE NOT s.is_train"""))
+# Moving-average terms: the residuals of a long autoregression, then a regression on lags of them.
+_MOVING = [ar.order(0, 0, q=1), ar.order(0, 1, q=1), ar.order(1, 1, q=1)]
+
+
+def _long_sql(name: str, column: str, lags: int, constant: bool) -> tuple[str, str, str]:
+    """Design, sums and solution of the autoregression of ``column`` with this many lags."""
+    terms = [*(["1.0"] if constant else []), *[f"lag({column}, {k}) OVER s" for k in range(1, lags + 1)], column]
+    size = len(terms)
+    rows = f"""
+{name}_rows AS (
+  SELECT series_id, rn, x FROM (
+    SELECT series_id, rn, lag({column}, {lags}) OVER s AS oldest, [{", ".join(terms)}]::DOUBLE[] AS x
+    FROM moves WINDOW s AS (PARTITION BY series_id ORDER BY rn))
+  WHERE oldest IS NOT NULL)"""
+    return rows, sql.gram(f"{name}_sums", f"{name}_rows", size), sql.solved(name, f"{name}_sums", size - 1)
+
+
+def _errors_sql(name: str, column: str, constant: bool) -> tuple[str, ...]:
+    """Residuals of the long autoregression with twelve lags, or with four where there are too few rows."""
+    parts = [x for lags in ar.LONG_LAGS for x in _long_sql(f"{name}{lags}", column, lags, constant)]
+    a, b = (f"{name}{lags}" for lags in ar.LONG_LAGS)
+    enough = f"(SELECT series_id FROM {a}_sums GROUP BY series_id HAVING max(m) >= {ar.LONG_ROWS * (ar.LONG_LAGS[0] + 1)})"
+    residual = "x[-1] - list_dot_product(x[1:len(coef)], coef)"
+    return (*parts, f"""
+{name}_errors AS (
+  SELECT series_id, rn, {residual} AS e FROM {a}_rows JOIN {a} USING (series_id) WHERE series_id IN {enough}
+  UNION ALL SELECT series_id, rn, {residual} FROM {b}_rows JOIN {b} USING (series_id) WHERE series_id NOT IN {enough}),
+{name}_lagged AS (
+  SELECT m.series_id, m.rn, m.z, m.d, lag(m.d) OVER s AS d1, coalesce(lag(e.e) OVER s, 0) AS e1, coalesce(e.e, 0) AS e
+  FROM moves m LEFT JOIN {name}_errors e USING (series_id, rn) WINDOW s AS (PARTITION BY m.series_id ORDER BY m.rn))""")
+
+
+_ARMA = (
+    """
+moves AS (
+  SELECT series_id, rn, y - avg(y) OVER (PARTITION BY series_id) AS z, y - lag(y) OVER (PARTITION BY series_id ORDER BY rn) AS d FROM split WHERE is_train)""",
+    *_errors_sql("plain", "z", True), *_errors_sql("moved", "d", False),
+    """
+a_rows AS (SELECT series_id, [1.0, e1, z]::DOUBLE[] AS x FROM plain_lagged),
+b_rows AS (SELECT series_id, [e1, d]::DOUBLE[] AS x FROM moved_lagged WHERE d IS NOT NULL),
+c_rows AS (SELECT series_id, [d1, e1, d]::DOUBLE[] AS x FROM moved_lagged WHERE d1 IS NOT NULL)""",
+    sql.gram("a_sums", "a_rows", 3), sql.solved("a", "a_sums", 2), sql.gram("b_sums", "b_rows", 2), sql.solved("b", "b_sums", 1),
+    sql.gram("c_sums", "c_rows", 3), sql.solved("c", "c_sums", 2), """
+ends AS (
+  SELECT p.series_id, max_by(p.e, p.rn) AS pe, max_by(m.e, m.rn) AS me, max_by(m.d, m.rn) AS d
+  FROM plain_lagged p JOIN moved_lagged m USING (series_id, rn) GROUP BY ALL),
+train AS (SELECT series_id, avg(y) AS mean, max_by(y, rn) AS y FROM split WHERE is_train GROUP BY ALL),
+steps AS (SELECT series_id, ts, rn - n_train + 1 AS h FROM split WHERE NOT is_train)""",
+)
+add("forecast_arma", lambda spark, sf: shown(ar.forecast_ar(suppliers(spark, sf), _MOVING)),
+    sql.query(*_BASE, *_ARMA, select="""
+SELECT series_id, 'arima' AS model_key, v.variation, ts, round(CASE v.variation
+    WHEN 0 THEN mean + a.coef[1] + CASE WHEN h = 1 THEN a.coef[2] * pe ELSE 0 END
+    WHEN 1 THEN t.y + b.coef[1] * me
+    ELSE t.y + (c.coef[1] * d + c.coef[2] * me) * (1 - c.coef[1] ** h) / (1 - c.coef[1]) END, 2) AS yhat
+FROM steps JOIN train t USING (series_id) JOIN ends USING (series_id) JOIN a USING (series_id) JOIN b USING (series_id) JOIN c USING (series_id),
+  (SELECT unnest([0, 1, 2])::INTEGER AS variation) v"""))
+add("forecast_seasonal_arma", lambda spark, sf: shown(sweep.run_forecaster(suppliers(spark, sf), "sarima")))
 # With no autoregressive part a seasonal difference alone repeats the last season.
 add("forecast_seasonal_naive", lambda spark, sf: shown(ar.forecast_seasonal_ar(suppliers(spark, sf), [ar.order(0, 0, 0, 1)], 12), 4),
     sql.query(*_BASE, select="""

@@ -116,3 +116,33 @@ def ranked(source: str = "scored", by: str = "series_id", order: str = "model, m
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY round(composite_score, 9) DESC NULLS LAST, {order}) AS INTEGER) AS rank
   FROM {source})"""
+
+
+def gram(name: str, source: str, size: int, keys: str = "series_id") -> str:
+    """Sums of products of the columns of a design held as list ``x`` with ``size`` entries, the target last:
+    a row per pair i, j up to the unknowns, and the target's products as column ``size``."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT {keys}, i, j, sum(x[i] * x[j]) AS v, count(*) AS m
+  FROM {source}, (SELECT unnest(range(1, {size})) AS i), (SELECT unnest(range(1, {size} + 1)) AS j) GROUP BY ALL)"""
+
+
+def solved(name: str, source: str, unknowns: int, keys: tuple = ("series_id",)) -> str:
+    """Coefficients ``coef`` (a list) of the least-squares system in ``source`` (see :func:`gram`), by Gauss-Jordan
+    elimination, one pivot after the other; a pivot of about nothing leaves its coefficient at zero."""
+    steps, at = [], source
+    using = ", ".join(keys)
+    for k in range(1, unknowns + 1):
+        steps.append(f"""
+{name}_{k} AS MATERIALIZED (
+  SELECT {", ".join("a." + c for c in keys)}, a.i, a.j,
+    CASE WHEN abs(d.v) <= 1e-10 * o.v THEN CASE WHEN a.i = {k} THEN 0 ELSE a.v END
+         WHEN a.i = {k} THEN a.v / d.v ELSE a.v - c.v * r.v / d.v END AS v
+  FROM {at} a
+  JOIN {at} r ON {" AND ".join(f"r.{x} = a.{x}" for x in keys)} AND r.i = {k} AND r.j = a.j
+  JOIN {at} c ON {" AND ".join(f"c.{x} = a.{x}" for x in keys)} AND c.i = a.i AND c.j = {k}
+  JOIN {at} d ON {" AND ".join(f"d.{x} = a.{x}" for x in keys)} AND d.i = {k} AND d.j = {k}
+  JOIN {source} o ON {" AND ".join(f"o.{x} = a.{x}" for x in keys)} AND o.i = {k} AND o.j = {k})""")
+        at = f"{name}_{k}"
+    return ",".join(steps) + f""",
+{name} AS MATERIALIZED (SELECT {using}, list(v ORDER BY i) AS coef FROM {at} WHERE j = {unknowns + 1} GROUP BY {using})"""
