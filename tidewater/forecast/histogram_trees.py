@@ -12,8 +12,11 @@ block of rows or less, its rows meet in one task, which grows the rest with exac
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ BINS, TARGET_BINS = 32, 64
 BLOCK_ROWS = 65_536
 # Rounds between two writings of the scores, and values that the search for a quantile may hand to the driver.
 WRITE_ROUNDS, HELD_VALUES = 10, 4096
+# Numbers in all partial sums of a pass that the driver adds up itself.
+DIRECT_SUMS = 1 << 22
 # The weight that shrinks leaves, and the residual at which pseudo-Huber turns linear.
 LEAF_WEIGHT, HUBER_SLOPE = 1.0, 1.0
 
@@ -73,17 +78,15 @@ def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(edges)]).astype(np.uint8)
 
 
-def blocks_of(rows: DataFrame, edges: list[np.ndarray], start: float = 0.0) -> DataFrame:
-    """``block, n, bins, z, score``: rows in blocks, as bytes; every row begins with the score ``start``."""
+def blocks_of(rows: DataFrame, edges: list[np.ndarray]) -> Blocks:
+    """``block, n, bins, z, score``: rows in blocks, as bytes; every row begins with the score zero."""
 
     def run(batches):
-        from pyspark import TaskContext
-
         number, held, n = TaskContext.get().partitionId() << 32, [], 0
 
         def block():
             bins, z = (np.concatenate(x) for x in zip(*held))
-            return pd.DataFrame({"block": [number], "n": [len(z)], "bins": [bins.tobytes()], "z": [z.tobytes()], "score": [np.full(len(z), start).tobytes()]})
+            return pd.DataFrame({"block": [number], "n": [len(z)], "bins": [bins.tobytes()], "z": [z.tobytes()], "score": [np.zeros(len(z)).tobytes()]})
 
         for pdf in batches:
             if not len(pdf):
@@ -97,7 +100,8 @@ def blocks_of(rows: DataFrame, edges: list[np.ndarray], start: float = 0.0) -> D
             yield block()
 
     arrays = rows.where("z is not null").select(vector_to_array("vector").alias("x"), "z")
-    return cut_lineage(arrays.mapInPandas(run, "block long, n long, bins binary, z binary, score binary"))
+    written = cut_lineage(arrays.mapInPandas(run, "block long, n long, bins binary, z binary, score binary"))
+    return Blocks(written, written.count())
 
 
 def opened(row, trees: list[Tree], rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,20 +113,36 @@ def opened(row, trees: list[Tree], rate: float) -> tuple[np.ndarray, np.ndarray,
     return bins, np.frombuffer(row.z), score
 
 
-def total_of(blocks: DataFrame, add, size: int) -> np.ndarray:
-    """Sum of ``add(block row)`` (flat arrays of this size) over all blocks."""
+class Blocks(NamedTuple):
+    """A table of blocks and how many there are."""
+
+    frame: DataFrame
+    count: int
+
+
+def total_of(blocks: Blocks, add, size: int) -> np.ndarray:
+    """Sum of ``add(block row)`` (flat arrays of this size) over all blocks.
+
+    A task gives one partial sum. There are at most as many as blocks: if that many fit the driver they are added
+    up there, which spares a shuffle; otherwise Spark adds them up.
+    """
 
     def run(batches):
-        total = np.zeros(size)
+        total = None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                total += add(row)
-        yield pd.DataFrame({"gram": [total.tolist()]})
+                part = add(row)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"gram": [total.tolist()]})
 
-    return np.array(summed(blocks.mapInPandas(run, "gram array<double>"), []).first()[0], dtype=float)
+    partial = blocks.frame.mapInPandas(run, "gram array<double>")
+    if blocks.count * size <= DIRECT_SUMS:
+        return sum((np.array(r[0], dtype=float) for r in partial.collect()), np.zeros(size))
+    return np.array(summed(partial, []).first()[0], dtype=float)
 
 
-def leaf_quantiles(blocks: DataFrame, value_of, leaves: list[int], share: float) -> dict[int, float]:
+def leaf_quantiles(blocks: Blocks, value_of, share: float) -> dict[int, float]:
     """The value of rank ceil(share * n) of every leaf that has rows, exactly.
 
     ``value_of(block row)`` gives leaf and value of its rows. Each leaf has a bracket of values that is cut to the
@@ -135,7 +155,7 @@ def leaf_quantiles(blocks: DataFrame, value_of, leaves: list[int], share: float)
                 leaf, value = value_of(row)
                 yield pd.DataFrame({"leaf": leaf, "value": value}).groupby("leaf").value.agg(["size", "min", "max"]).reset_index()
 
-    made = blocks.mapInPandas(ranges, "leaf long, size long, min double, max double")
+    made = blocks.frame.mapInPandas(ranges, "leaf long, size long, min double, max double")
     found = {r["leaf"]: r for r in made.groupBy("leaf").agg(F.sum("size").alias("size"), F.min("min").alias("min"), F.max("max").alias("max")).collect()}
     # leaf -> (least, first above, rows below, rows inside, wanted rank from 0)
     open_ = {x: (r["min"], np.nextafter(r["max"], np.inf), 0, r["size"], max(int(np.ceil(share * r["size"])) - 1, 0)) for x, r in found.items()}
@@ -173,7 +193,7 @@ def leaf_quantiles(blocks: DataFrame, value_of, leaves: list[int], share: float)
                     yield pd.DataFrame({"leaf": np.full(len(own), x), "value": own})
 
     held: dict[int, list] = {}
-    for r in blocks.mapInPandas(inside, "leaf long, value double").collect():
+    for r in blocks.frame.mapInPandas(inside, "leaf long, value double").collect():
         held.setdefault(r["leaf"], []).append(r["value"])
     return {x: sorted(held[x])[o[4] - o[2]] if x in few else o[0] for x, o in open_.items()}
 
@@ -224,7 +244,7 @@ class Booster:
         p, width = self.params, len(edges)
         blocks = blocks_of(rows, edges)
         share = self.quantile if self.loss == "quantile" else 0.5
-        start = leaf_quantiles(blocks, lambda row: (np.zeros(row.n, np.int64), np.frombuffer(row.z)), [0], share)[0]
+        start = leaf_quantiles(blocks, lambda row: (np.zeros(row.n, np.int64), np.frombuffer(row.z)), share).get(0, 0.0)
         trees: list[Tree] = []
         recent: list[Tree] = [_constant(start / p["learning_rate"])]  # the start is the first tree until scores are written
         losses = []
@@ -234,7 +254,7 @@ class Booster:
             tree, loss = self._grow(blocks, recent, round_, columns)
             losses.append(loss)
             if self.loss == "quantile":
-                values = leaf_quantiles(blocks, self._residuals(recent, tree), [], share)
+                values = leaf_quantiles(blocks, self._residuals(recent, tree), share)
                 for leaf, value in values.items():
                     tree.value[leaf] = value
             trees.append(tree)
@@ -253,7 +273,7 @@ class Booster:
 
         return value_of
 
-    def _written(self, blocks: DataFrame, recent: list[Tree]) -> DataFrame:
+    def _written(self, blocks: Blocks, recent: list[Tree]) -> Blocks:
         rate = self.params["learning_rate"]
 
         def run(batches):
@@ -262,9 +282,9 @@ class Booster:
                 pdf["score"] = [opened(row, recent, rate)[2].tobytes() for row in pdf.itertuples(index=False)]
                 yield pdf
 
-        return cut_lineage(blocks.mapInPandas(run, blocks.schema))
+        return Blocks(cut_lineage(blocks.frame.mapInPandas(run, blocks.frame.schema)), blocks.count)
 
-    def _grow(self, blocks: DataFrame, recent: list[Tree], round_: int, columns: np.ndarray) -> tuple[Tree, float]:
+    def _grow(self, blocks: Blocks, recent: list[Tree], round_: int, columns: np.ndarray) -> tuple[Tree, float]:
         """One tree, a job per level; leaves take a Newton step. Also the mean loss before it."""
         p, tree, active, mean_loss = self.params, Tree(), [0], 0.0
         seed, subsample, rate, slopes = self.seed, p["subsample"], p["learning_rate"], self.slopes
@@ -379,11 +399,12 @@ class MedianForest:
         blocks = blocks_of(rows, edges)
         trees = [Tree() for _ in range(count)]
         depth = {(t, 0): 0 for t in range(count)}
-        self._split_large(blocks, trees, depth, len(edges))
-        self._grow_small(blocks, trees, depth)
+        done = self._split_large(blocks, trees, depth, len(edges))
+        self._large_values(blocks, trees, done)
+        self._grow_small(blocks, trees, depth, done)
         return BinnedModel(edges, trees, 0.0, 1.0 / count)
 
-    def _rows_of(self, blocks: DataFrame, trees: list[Tree], open_: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    def _rows_of(self, blocks: Blocks, trees: list[Tree], open_: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
         """Drawn rows of open nodes."""
         place = {x: i for i, x in enumerate(open_)}
 
@@ -391,7 +412,7 @@ class MedianForest:
             bins, drawn, out = np.frombuffer(row.bins, np.uint8).reshape(row.n, -1), self.weights(row, len(trees)), np.zeros(len(open_))
             for t in {t for t, _ in open_}:
                 leaf = trees[t].leaves_of(bins)
-                for node, n in zip(*np.unique(leaf, return_inverse=False, return_counts=True)):
+                for node in np.unique(leaf):
                     if (t, node) in place:
                         out[place[t, node]] = drawn[leaf == node, t].sum()
             return out
@@ -399,14 +420,14 @@ class MedianForest:
         total = total_of(blocks, add, len(open_))
         return {x: int(total[i]) for x, i in place.items()}
 
-    def _split_large(self, blocks: DataFrame, trees: list[Tree], depth: dict, width: int) -> None:
-        """Split nodes of more than a block of rows on sums over bins of the feature and of the target."""
-        p, rows = self.params, None
-        open_ = list(depth)
-        targets = None
+    def _split_large(self, blocks: Blocks, trees: list[Tree], depth: dict, width: int) -> list[tuple[int, int]]:
+        """Split nodes of more than a block of rows on sums over bins of the feature and of the target; the nodes of
+        as many rows that stay leaves."""
+        p, open_, done, targets = self.params, list(depth), [], None
         while open_:
             rows = self._rows_of(blocks, trees, open_)
             large = [x for x in open_ if rows[x] > self.block_rows and depth[x] < p["max_depth"]]
+            done += [x for x in open_ if rows[x] > self.block_rows and depth[x] >= p["max_depth"]]
             if targets is None and large:
                 targets = self._target_edges(blocks)
             open_ = []
@@ -430,33 +451,52 @@ class MedianForest:
                     n, s = counts[0].sum(axis=0), sums[0].sum(axis=0)
                     values = np.where(n > 0, s / np.maximum(n, 1), 0.0)  # the mean target of each target bin
                     split = absolute_split(counts, sums, values, p["min_samples_leaf"], p["min_samples_split"])
-                    if split is not None:
-                        for child in trees[t].split(node, *split):
-                            depth[t, child] = depth[t, node] + 1
-                            open_.append((t, child))
+                    if split is None:
+                        done.append((t, node))
+                        continue
+                    for child in trees[t].split(node, *split):
+                        depth[t, child] = depth[t, node] + 1
+                        open_.append((t, child))
+        return done
+
+    def _large_values(self, blocks: Blocks, trees: list[Tree], done: list[tuple[int, int]]) -> None:
+        """Exact medians of leaves whose rows are too many for one task."""
+        if not done:
+            return
 
-    def _target_edges(self, blocks: DataFrame) -> np.ndarray:
+        def value_of(row):
+            bins, z, drawn = np.frombuffer(row.bins, np.uint8).reshape(row.n, -1), np.frombuffer(row.z), self.weights(row, len(trees))
+            leaf, value = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for i, (t, node) in enumerate(done):
+                times = np.where(trees[t].leaves_of(bins) == node, drawn[:, t], 0)
+                value.append(np.repeat(z, times))
+                leaf.append(np.full(len(value[-1]), i))
+            return np.concatenate(leaf), np.concatenate(value)
+
+        for i, median in leaf_quantiles(blocks, value_of, 0.5).items():
+            t, node = done[i]
+            trees[t].value[node] = float(median)
+
+    def _target_edges(self, blocks: Blocks) -> np.ndarray:
         """Upper edges of the target bins: exact quantiles."""
         value_of = lambda row: (np.zeros(row.n, np.int64), np.frombuffer(row.z))
-        return np.unique([leaf_quantiles(blocks, value_of, [0], k / TARGET_BINS)[0] for k in range(1, TARGET_BINS)])
+        return np.unique([leaf_quantiles(blocks, value_of, k / TARGET_BINS)[0] for k in range(1, TARGET_BINS)])
 
-    def _grow_small(self, blocks: DataFrame, trees: list[Tree], depth: dict) -> None:
+    def _grow_small(self, blocks: Blocks, trees: list[Tree], depth: dict, done: list[tuple[int, int]]) -> None:
         """Bring the rows of every remaining leaf together and grow the rest of the tree there."""
-        seed_weights, p, limit = self.weights, self.params, self.block_rows
-        deep = {x: d for x, d in depth.items()}
+        weights, p, large = self.weights, self.params, set(done)
 
         def deal(batches):
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
-                    bins, z, drawn = np.frombuffer(row.bins, np.uint8).reshape(row.n, -1), np.frombuffer(row.z), seed_weights(row, len(trees))
-                    out = []
+                    bins, z, drawn = np.frombuffer(row.bins, np.uint8).reshape(row.n, -1), np.frombuffer(row.z), weights(row, len(trees))
                     for t, tree in enumerate(trees):
-                        leaf = tree.leaves_of(bins)
+                        leaf, out = tree.leaves_of(bins), []
                         for node in np.unique(leaf):
                             use = (leaf == node) & (drawn[:, t] > 0)
-                            if use.any():
+                            if use.any() and (t, node) not in large:
                                 out.append((t, int(node), int(use.sum()), bins[use].tobytes(), z[use].tobytes(), drawn[use, t].astype(np.int32).tobytes()))
-                    yield pd.DataFrame(out, columns=["tree", "node", "n", "bins", "z", "drawn"])
+                        yield pd.DataFrame(out, columns=["tree", "node", "n", "bins", "z", "drawn"])
 
         def grow(pdf):
             t, node = int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0])
@@ -464,10 +504,10 @@ class MedianForest:
             bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(n, -1)
             z, drawn = np.frombuffer(b"".join(pdf["z"])), np.frombuffer(b"".join(pdf["drawn"]), np.int32).astype(float)
             order = np.lexsort((*bins.T, z))
-            tree = grow_exact(bins[order], z[order], drawn[order], p, deep[t, node], limit)
+            tree = grow_exact(bins[order], z[order], drawn[order], p, depth[t, node])
             return pd.DataFrame({"tree": [t], "node": [node], **{k: [getattr(tree, k)] for k in ("feature", "cut", "left", "right", "value")}})
 
-        dealt = blocks.mapInPandas(deal, "tree int, node int, n int, bins binary, z binary, drawn binary")
+        dealt = blocks.frame.mapInPandas(deal, "tree int, node int, n int, bins binary, z binary, drawn binary")
         schema = "tree int, node int, feature array<int>, cut array<int>, left array<int>, right array<int>, value array<double>"
         for r in dealt.groupBy("tree", "node").applyInPandas(grow, schema).collect():
             _graft(trees[r["tree"]], r["node"], r)
@@ -482,7 +522,7 @@ def _graft(tree: Tree, node: int, grown) -> None:
             places[grown["left"][i]], places[grown["right"][i]] = tree.split(places[i], feature, cut)
 
 
-def grow_exact(bins: np.ndarray, z: np.ndarray, drawn: np.ndarray, params: dict, depth: int, limit: int = BLOCK_ROWS) -> Tree:
+def grow_exact(bins: np.ndarray, z: np.ndarray, drawn: np.ndarray, params: dict, depth: int) -> Tree:
     """A tree over rows in the order of their target; every split is the best one, every leaf value a median."""
     tree, todo = Tree(), [(0, np.arange(len(z)), depth)]
     width = bins.shape[1]
@@ -491,7 +531,7 @@ def grow_exact(bins: np.ndarray, z: np.ndarray, drawn: np.ndarray, params: dict,
         values, weight = z[rows], drawn[rows]
         upto = np.cumsum(weight)
         tree.value[node] = float(values[np.argmax(2 * upto >= upto[-1])])
-        if level >= params["max_depth"] or values[0] == values[-1] or len(rows) > limit:
+        if level >= params["max_depth"] or values[0] == values[-1]:
             continue
         best = None
         step = max(1, (1 << 22) // (BINS * len(rows)))  # features at a time, for memory

@@ -2,7 +2,8 @@
 
 Features and target are put in units of each series' training mean and deviation, so that series of
 different size share one model; with a single series this is the per-series model. MLlib spreads the
-rows of every fit over the cluster.
+rows of every fit over the cluster. Losses that it lacks (absolute error in forests, pseudo-Huber and
+quantile in boosting) are grown on histograms, in the same units.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.forecast.common import ONE_STEP, forecast_rows
+from tidewater.forecast.histogram_trees import Booster, MedianForest
 from tidewater.forecast.linear import standardised
 from tidewater.operators.features import feature_names
 from tidewater.operators.positions import SERIES
@@ -54,23 +56,28 @@ def grid_candidates(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def forest(params: dict, loss: str = "l2") -> RandomForestRegressor:
-    if loss != "l2":
-        raise ValueError("forests are grown on squared error only")
+def forest(params: dict, loss: str = "l2") -> RandomForestRegressor | MedianForest:
     p = {**FOREST, **params}
+    p["max_depth"] = min(p["max_depth"] or DEEPEST, DEEPEST)
+    if loss == "l1":
+        return MedianForest(p, SEED)
+    if loss != "l2":
+        raise ValueError("forests know the losses l2, l1")
     # MLlib sets a minimum per child only; half of the minimum to split is the closest it has.
     leaf = max(p["min_samples_leaf"], p["min_samples_split"] // 2)
     return RandomForestRegressor(
         featuresCol="vector", labelCol="z", predictionCol="zhat", seed=SEED, featureSubsetStrategy="all",
-        numTrees=p["n_estimators"], maxDepth=min(p["max_depth"] or DEEPEST, DEEPEST),
+        numTrees=p["n_estimators"], maxDepth=p["max_depth"],
         minInstancesPerNode=leaf,
     )
 
 
-def boosted(params: dict, loss: str = "l2") -> GBTRegressor:
-    if loss not in GBT_LOSS:
-        raise ValueError(f"boosted trees know the losses {', '.join(GBT_LOSS)}")
+def boosted(params: dict, loss: str = "l2") -> GBTRegressor | Booster:
     p = {**BOOSTED, **params}
+    if loss in ("huber", "quantile"):
+        return Booster(p, loss, seed=SEED)
+    if loss not in GBT_LOSS:
+        raise ValueError(f"boosted trees know the losses {', '.join(GBT_LOSS)}, huber, quantile")
     share = p["colsample_bytree"]
     return GBTRegressor(
         featuresCol="vector", labelCol="z", predictionCol="zhat", seed=SEED, lossType=GBT_LOSS[loss],
@@ -124,7 +131,7 @@ def feature_importance(spark: SparkSession, model, lags: int | None = None, top:
 def tree_candidates(
     split: DataFrame, model_key: str, loss: str = "l2", grid: dict | None = None, n_splits: int = 3, parallel: int = 4,
 ) -> DataFrame:
-    """Mean RMSE over expanding folds of every candidate, per series: (series_id, candidate_no, params, rmse).
+    """RMSE of every candidate per series and expanding fold: (series_id, candidate_no, params, fold, rmse, scaled).
 
     Folds are cut per series, every candidate is one pooled MLlib fit per fold, and the fits are
     submitted a few at a time.
@@ -142,7 +149,10 @@ def tree_candidates(
         model = BUILDERS[model_key](params, loss).fit(rows.where(F.col("rn") < start).select("vector", "z"))
         held = model.transform(rows.where((F.col("rn") >= start) & (F.col("rn") < start + size)))
         err = F.col("y_std") * (F.col("z") - F.col("zhat"))
-        scores = held.groupBy(SERIES).agg(F.sqrt(F.avg(err * err)).alias("rmse"))
+        complete = F.count("zhat") == F.count("z")
+        scores = held.groupBy(SERIES).agg(
+            F.when(complete, F.sqrt(F.avg(err * err))).alias("rmse"), F.when(complete, F.sqrt(F.avg(err * err)) / F.any_value("y_std")).alias("scaled")
+        )
         scores.withColumn("params", F.lit(json.dumps(params))).write.parquet(f"{path}/candidate_no={number}/fold={fold}")
 
     tasks = [(i, p, f) for i, p in enumerate(candidates) for f in range(n_splits)]
@@ -150,13 +160,14 @@ def tree_candidates(
         list(pool.map(score, tasks))
     rows.unpersist()
     written = split.sparkSession.read.parquet(path)
-    return written.select(SERIES, "candidate_no", "params", "fold", "rmse")
+    return written.select(SERIES, "candidate_no", "params", "fold", "rmse", "scaled")
 
 
 def best_tree_params(candidates: DataFrame) -> dict:
-    """The pooled model has one parameter set: lowest RMSE averaged over series and folds."""
-    ranked = candidates.groupBy("candidate_no", "params").agg(F.avg("rmse").alias("rmse"))
-    return json.loads(ranked.orderBy("rmse", "candidate_no").select("params").first()[0])
+    """The pooled model has one parameter set: lowest RMSE averaged over series and folds, each in units of
+    its series' training deviation, so that no series decides by its size."""
+    ranked = candidates.where("scaled is not null").groupBy("candidate_no", "params").agg(F.avg("scaled").alias("scaled"))
+    return json.loads(ranked.orderBy("scaled", "candidate_no").select("params").first()[0])
 
 
 def tune_trees(

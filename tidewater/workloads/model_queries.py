@@ -276,6 +276,10 @@ add("tune_linear_l1", lambda spark, sf: rounded(linear.tune_linear(held_split_of
 
 add("fit_forest", lambda spark, sf: shown(trees.forecast_trees(suppliers(spark, sf), "rf", {"loss": "l2", "lags": 3})))
 add("fit_boosted", lambda spark, sf: shown(trees.forecast_trees(suppliers(spark, sf), "xgb", {"loss": "l2", "lags": 3})))
+# Losses of the other default variations, and quantile loss: no SQL, see the tests.
+add("fit_forest_l1", lambda spark, sf: shown(trees.forecast_trees(suppliers(spark, sf), "rf", {"loss": "l1", "lags": 5})))
+add("fit_boosted_huber", lambda spark, sf: shown(trees.forecast_trees(suppliers(spark, sf), "xgb", {"loss": "huber", "lags": 7})))
+add("fit_boosted_quantile", lambda spark, sf: shown(trees.forecast_trees(suppliers(spark, sf), "xgb", {"loss": "quantile", "lags": 7})))
 add("feature_importance", lambda spark, sf: trees.feature_importance(spark, trees.fit_trees(suppliers(spark, sf), "rf", params={"n_estimators": 20})))
 _SMALL_FOREST = {"n_estimators": [10, 20], "max_depth": [5, 10]}
 _SMALL_BOOSTED = {"n_estimators": [10], "learning_rate": [0.1, 0.2], "max_depth": [3]}
