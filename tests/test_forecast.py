@@ -326,3 +326,40 @@ def test_short_series_are_left_out_not_broken(spark):
     assert ar.forecast_ar(split, [ar.order(4, 1)]).count() == 0
     assert es.forecast_es(split, [("add", "add")], 12).count() == 0
     assert ma.forecast_ma(split, [7]).where(F.col("yhat").isNotNull()).count() == 0
+
+
+def test_smoothing_maps_equal_steps():
+    from tidewater.forecast.smoothing_maps import Maps
+
+    rng = np.random.default_rng(2)
+    y = rng.normal(10, 2, 203)
+    for trend_kind, seasonal in ((None, None), ("add", None), (None, "add"), ("add", "add")):
+        grid = es.weight_grid(trend_kind, seasonal)
+        level, slope, season = es.start_state(y, trend_kind, seasonal, 5)
+        x = np.concatenate([[level], [slope] if trend_kind else [], season])
+        for chunk in (64, 16, 24):
+            m = Maps(grid, trend_kind is not None, seasonal is not None, 5 if seasonal else 1, chunk)
+            state, sse = m.run(y, np.tile(x, (m.points, 1)))
+            zeros = np.zeros(grid.shape[1])
+            want = es.smooth(y, 0, zeros + level, zeros + slope, np.tile(season, (grid.shape[1], 1)), zeros, grid, trend_kind, seasonal)
+            np.testing.assert_allclose(state[:, 0], want[0], rtol=1e-9)
+            np.testing.assert_allclose(sse, want[3], rtol=1e-9)
+            if seasonal:
+                np.testing.assert_allclose(np.roll(state[:, m.size - 5 :], len(y) % 5, axis=1), want[2], rtol=1e-8, atol=1e-9)
+            # two runs compose: the later one moves the state of the earlier and adds its own
+            half, _ = m.run(y[:96], np.tile(x, (m.points, 1)))
+            own, _ = m.run(y[96:], np.zeros((m.points, m.size)), errors=False)
+            np.testing.assert_allclose(m.ahead(half, len(y) - 96) + own, state, rtol=1e-9)
+
+
+def test_smoothing_of_a_long_series_in_blocks(spark):
+    y = series(1500, 8, "season")
+    split = chrono_split(stamped_frame(spark, {"a": y}))
+    combos = [("add", "add"), ("add", None), (None, "add"), (None, None)]
+    train = split.where("is_train").withColumn("period", F.lit(12))
+    whole = {r.variation: r for r in es.fit_smoothing(train, combos, None, 65_536).collect()}
+    cut = {r.variation: r for r in es.fit_smoothing(train, combos, None, 128).collect()}
+    for v in range(4):
+        assert whole[v].point == cut[v].point
+        np.testing.assert_allclose([whole[v].level, whole[v].slope, whole[v].sse], [cut[v].level, cut[v].slope, cut[v].sse], rtol=1e-7)
+        np.testing.assert_allclose(whole[v].season, cut[v].season, rtol=1e-6, atol=1e-8)

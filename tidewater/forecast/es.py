@@ -1,14 +1,16 @@
 """Exponential smoothing with additive, multiplicative or no trend and seasonality.
 
-The smoothing weights come from a grid: all grid points of a series are carried side by side through
-one ordered pass, and the point with the smallest one-step squared error wins. The recursion is
-sequential in time, so a series of timestamps is worked off block by block, every block of all
-series in parallel, with the small states handed on between the passes.
+The smoothing weights come from a grid, and the point with the smallest one-step squared error wins. Combinations
+of additive parts are affine in the state and run as a scan over blocks (:mod:`smoothing_maps`). Multiplicative
+parts are not: there all grid points of a series are carried side by side through one ordered pass, and
+a series of timestamps is worked off block by block, every block of all series in parallel, with the small
+states handed on between the passes.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewater.forecast.ar import with_period
 from tidewater.forecast.common import forecast_rows, test_rows
+from tidewater.forecast.smoothing_maps import additive_states
 from tidewater.operators.positions import BLOCK_ROWS, SERIES, Y, one_row_per_date
 from tidewater.operators.ranking import best_candidate, mark_chosen
 from tidewater.session import cut_lineage, spread
@@ -157,6 +160,19 @@ def smoothing_states(train: DataFrame, combos: list, weights=None, block_rows: i
 
 def fit_smoothing(train: DataFrame, combos: list, weights=None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(series_id, variation, period, level, slope, season, sse) of the best grid point."""
+    grids = dict(enumerate(_grids(combos, weights)))
+    additive = {v: c for v, c in enumerate(combos) if "mul" not in c}
+    others = [v for v in range(len(combos)) if v not in additive]
+    parts = []
+    if additive:
+        parts.append(additive_states(train, additive, {v: grids[v] for v in additive}, start_state, block_rows))
+    if others:
+        named = F.element_at(F.array(*[F.lit(v) for v in others]), F.col("variation") + 1)
+        parts.append(_fit_stepwise(train, [combos[v] for v in others], weights, block_rows).withColumn("variation", named))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fit_stepwise(train: DataFrame, combos: list, weights, block_rows: int) -> DataFrame:
     states = smoothing_states(train, combos, weights, block_rows)
 
     def run(batches):
