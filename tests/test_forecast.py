@@ -297,7 +297,9 @@ def test_unknown_loss(dated_split):
     with pytest.raises(ValueError):
         linear.fit_linear(dated_split, [{"loss": "cosh"}])
     with pytest.raises(ValueError):
-        trees.forest({}, "l1")
+        trees.forest({}, "huber")
+    with pytest.raises(ValueError):
+        trees.boosted({}, "cosh")
 
 
 def test_trees_beat_the_mean_on_a_learnable_series(spark):

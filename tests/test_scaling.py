@@ -53,6 +53,27 @@ def test_exact_quantiles(spark, n):
         assert got[p] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_quantiles_of_large_groups_are_narrowed(spark, monkeypatch, sent):
+    from tidewater.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SENT_BRACKETS", sent)
+    monkeypatch.setattr(quantiles, "BINS", 8)
+    rng = np.random.default_rng(3)
+    groups = {
+        "hot": np.concatenate([rng.normal(size=3000), np.full(900, 0.125), [1e12, -1e12]]), "ties": np.repeat([1.0, 2.0], 400),
+        "one": np.full(500, 3.0), "small": rng.normal(size=7), "even": np.arange(1000.0),
+    }
+    rows = [(k, float(v)) for k, own in groups.items() for v in own] + [("small", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(x.k, x.prob): x.value for x in exact_quantiles(df, ["k"], "v", probs, block_rows=50).collect()}
+    assert len(got) == len(groups) * len(probs)
+    for k, own in groups.items():
+        for p in probs:
+            assert got[k, p] == pytest.approx(np.quantile(own, p), rel=1e-12, abs=1e-12)
+
+
 @pytest.mark.parametrize("kind", ["standard", "minmax", "robust"])
 def test_sequences_are_scaled_by_their_flattened_rows(spark, kind):
     y = series(30, 4)
