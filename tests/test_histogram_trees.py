@@ -67,8 +67,9 @@ def test_exact_growth_equals_trying_all_splits(seed):
 
 
 @pytest.mark.parametrize("block_rows", [ht.BLOCK_ROWS, 50])
-def test_one_split_forest_equals_brute_force(spark, sample, block_rows):
+def test_one_split_forest_equals_brute_force(spark, sample, monkeypatch, block_rows):
     """With 50 rows a block the root and its children are too large for one task."""
+    monkeypatch.setattr(ht, "LOCAL_ROWS", 0)
     x, z = sample
     z = np.round(z)  # few distinct targets: the target bins are exact
     model = ht.MedianForest(FOREST, block_rows=block_rows, bootstrap=False).fit(rows_frame(spark, x, z))
@@ -90,8 +91,10 @@ def test_large_nodes_are_split_before_rows_meet(spark, sample):
     assert a < 0.75 * base and b < 0.8 * base and len(cut.trees) == 5
 
 
-def test_leaf_quantiles_are_exact(spark, monkeypatch):
+@pytest.mark.parametrize("local", [0, ht.LOCAL_ROWS])
+def test_leaf_quantiles_are_exact(spark, monkeypatch, local):
     monkeypatch.setattr(ht, "HELD_VALUES", 5)
+    monkeypatch.setattr(ht, "LOCAL_ROWS", local)
     rng = np.random.default_rng(0)
     z = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25), [1e6, -1e6]])
     frame = rows_frame(spark, np.arange(len(z))[:, None] % 3, z, 4)
@@ -107,8 +110,9 @@ def test_leaf_quantiles_are_exact(spark, monkeypatch):
             assert got[leaf] == own[max(int(np.ceil(share * len(own))) - 1, 0)]
 
 
-@pytest.mark.parametrize("loss, q", [("huber", 0.5), ("quantile", 0.5), ("quantile", 0.9)])
-def test_loss_falls_every_round(spark, sample, loss, q):
+@pytest.mark.parametrize("loss, q, local", [("huber", 0.5, 0), ("quantile", 0.5, 0), ("huber", 0.5, 400), ("quantile", 0.9, 400)])
+def test_loss_falls_every_round(spark, sample, monkeypatch, loss, q, local):
+    monkeypatch.setattr(ht, "LOCAL_ROWS", local)  # at 0 every level is a job
     x, z = sample
     booster = ht.Booster(PARAMS, loss, q)
     model = booster.fit(rows_frame(spark, x, z))
@@ -148,6 +152,15 @@ def test_samples_of_rows_and_columns_repeat(spark, sample):
     assert np.abs(first - ht.Booster({**params, "subsample": 1.0}, "huber").fit(frame).predict(x)).max() > 0
 
 
+def test_held_and_distributed_tables_give_the_same_trees(spark, sample, monkeypatch):
+    x, z = sample
+    frame = rows_frame(spark, x, z).persist()
+    held = [ht.Booster({**PARAMS, "subsample": 0.8}, loss).fit(frame).predict(x) for loss in ("huber", "quantile")]
+    monkeypatch.setattr(ht, "LOCAL_ROWS", 0)
+    for loss, want in zip(("huber", "quantile"), held):
+        np.testing.assert_allclose(ht.Booster({**PARAMS, "subsample": 0.8}, loss).fit(frame).predict(x), want, rtol=1e-9)
+
+
 def test_no_rows_and_constant_rows(spark):
     none = rows_frame(spark, np.zeros((1, 2)), [0.0]).where("z > 5")
     for estimator in (ht.Booster(PARAMS, "huber"), ht.MedianForest(FOREST)):

@@ -3,7 +3,8 @@
 Features are cut into bins once and the rows kept in blocks (bins, target, score) in the shared folder. A boosted
 tree grows a level per job: every task adds up gradients per node, feature and bin over its blocks, Spark adds the
 partial sums, and the best split of a node follows from sums of a fixed size. The score of a row is that
-of the last written round and the trees since then, so a lost executor repeats one job.
+of the last written round and the trees since then, so a lost executor repeats one job. A table no larger than one
+block is held by the driver, and its levels need no job.
 
 A tree on absolute error needs medians. Nodes of many rows are split by sums over bins of the feature and bins of
 the target, from which medians and absolute deviations follow up to the width of a target bin; once a node holds a
@@ -30,6 +31,8 @@ BLOCK_ROWS = 65_536
 WRITE_ROUNDS, HELD_VALUES = 10, 4096
 # Numbers in all partial sums of a pass that the driver adds up itself.
 DIRECT_SUMS = 1 << 22
+# Rows of a table that the driver may hold: those of one block.
+LOCAL_ROWS = BLOCK_ROWS
 # The weight that shrinks leaves, and the residual at which pseudo-Huber turns linear.
 LEAF_WEIGHT, HUBER_SLOPE = 1.0, 1.0
 
@@ -101,7 +104,8 @@ def blocks_of(rows: DataFrame, edges: list[np.ndarray]) -> Blocks:
 
     arrays = rows.where("z is not null").select(vector_to_array("vector").alias("x"), "z")
     written = cut_lineage(arrays.mapInPandas(run, "block long, n long, bins binary, z binary, score binary"))
-    return Blocks(written, written.count())
+    count, total = written.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return Blocks(written, count, list(written.toPandas().itertuples(index=False)) if total <= LOCAL_ROWS else None)
 
 
 def opened(row, trees: list[Tree], rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,18 +118,21 @@ def opened(row, trees: list[Tree], rate: float) -> tuple[np.ndarray, np.ndarray,
 
 
 class Blocks(NamedTuple):
-    """A table of blocks and how many there are."""
+    """A table of blocks, how many there are, and the rows of a table of at most ``LOCAL_ROWS`` values."""
 
     frame: DataFrame
     count: int
+    rows: list | None
 
 
 def total_of(blocks: Blocks, add, size: int) -> np.ndarray:
     """Sum of ``add(block row)`` (flat arrays of this size) over all blocks.
 
     A task gives one partial sum. There are at most as many as blocks: if that many fit the driver they are added
-    up there, which spares a shuffle; otherwise Spark adds them up.
+    up there, which spares a shuffle; otherwise Spark adds them up. A table of one block's size is summed without a job.
     """
+    if blocks.rows is not None:
+        return sum((add(row) for row in blocks.rows), np.zeros(size))
 
     def run(batches):
         total = None
@@ -149,6 +156,12 @@ def leaf_quantiles(blocks: Blocks, value_of, share: float) -> dict[int, float]:
     bin with the wanted rank until few are left; only those go to the driver.
     """
 
+    if blocks.rows is not None:
+        parts = [value_of(row) for row in blocks.rows] or [(np.zeros(0, np.int64), np.zeros(0))]
+        leaf, value = (np.concatenate(x) for x in zip(*parts))
+        own = {x: np.sort(value[leaf == x]) for x in np.unique(leaf).tolist()}
+        return {x: float(v[max(int(np.ceil(share * len(v))) - 1, 0)]) for x, v in own.items()}
+
     def ranges(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
@@ -282,7 +295,9 @@ class Booster:
                 pdf["score"] = [opened(row, recent, rate)[2].tobytes() for row in pdf.itertuples(index=False)]
                 yield pdf
 
-        return Blocks(cut_lineage(blocks.frame.mapInPandas(run, blocks.frame.schema)), blocks.count)
+        if blocks.rows is not None:
+            return blocks._replace(rows=[row._replace(score=opened(row, recent, rate)[2].tobytes()) for row in blocks.rows])
+        return blocks._replace(frame=cut_lineage(blocks.frame.mapInPandas(run, blocks.frame.schema)))
 
     def _grow(self, blocks: Blocks, recent: list[Tree], round_: int, columns: np.ndarray) -> tuple[Tree, float]:
         """One tree, a job per level; leaves take a Newton step. Also the mean loss before it."""
