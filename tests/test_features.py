@@ -64,6 +64,50 @@ def test_one_hot_series_is_numbered_like_a_plain_window(spark):
     assert got["cold"].rn.tolist() == list(range(11))
 
 
+def crowded_hour(spark, rows=3000):
+    """Two series in one hour, a third of all rows equal in time and value, and a few rows of other hours."""
+    start = dt.datetime(2024, 1, 1, 5)
+    moments = [start + dt.timedelta(microseconds=(i * 7919) % 100_003) for i in range(rows)]
+    data = [("hot" if i % 4 else "warm", m, float(i % 13)) for i, m in enumerate(moments)]
+    data += [("hot", start, 1.0)] * (rows // 2) + [("hot", start, None)] * 3
+    data += [("hot", start + dt.timedelta(hours=h), float(h)) for h in (-2, 1, 30)] + [("cold", start, 4.0)]
+    return spark.createDataFrame(data, "series_id string, ts timestamp_ntz, y double").repartition(5)
+
+
+def test_a_crowded_hour_is_numbered_in_ranges(spark):
+    panel = crowded_hour(spark).withColumns({"_note": F.lit("kept"), "n": F.lit(-1)})
+    got = number_rows(panel, block_rows=100)
+    assert got.columns == ["series_id", "ts", "y", "_note", "rn", "n"]
+    want = panel.toPandas().sort_values(["series_id", "ts", "y"], na_position="first")
+    for sid, rows in by_series(got).items():
+        own = want[want.series_id == sid]
+        assert rows.rn.tolist() == list(range(len(own))) and set(rows.n) == {len(own)}
+        assert rows.ts.tolist() == own.ts.tolist() and rows.y.fillna(-1).tolist() == own.y.fillna(-1).tolist()
+
+
+def test_a_crowded_hour_uses_all_tasks(spark):
+    """No part of the range partition takes much more than its share, equal rows included."""
+    from tidewater.operators import positions
+
+    panel = crowded_hour(spark).withColumns({"_day": F.to_date("ts"), "_hour": F.hour("ts"), "_offset": F.lit(0)})
+    size = panel.count()
+    got = positions._number_in_ranges(panel, ["series_id", "_day", "_hour"], ["ts", "y"], size)
+    parts = [r["count"] for r in got.groupBy("_part").count().collect()]
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) < 1.5 * size / len(parts)
+
+
+def test_features_of_a_crowded_hour_equal_plain_windows(spark):
+    panel = crowded_hour(spark, 600).where("y IS NOT NULL").dropDuplicates()
+    got = feat.feature_table(panel, lags=3, block_rows=50).select("series_id", "ts", "y", "lag_1", "lag_3", "rolling_mean")
+    frame = panel.toPandas().sort_values(["series_id", "ts", "y"])
+    by = frame.groupby("series_id").y
+    frame["lag_1"], frame["lag_3"] = by.shift(1), by.shift(3)
+    frame["rolling_mean"] = by.transform(lambda s: s.shift(1).rolling(3).mean())
+    want, have = frame.dropna().reset_index(drop=True), got.toPandas().sort_values(["series_id", "ts", "y"]).reset_index(drop=True)
+    assert have[["ts", "y", "lag_1", "lag_3"]].equals(want[["ts", "y", "lag_1", "lag_3"]])
+    assert abs(have.rolling_mean - want.rolling_mean).max() < 1e-9
+
+
 def test_blocks_reach_ahead_and_behind(spark):
     panel = stamped_frame(spark, {"a": range(100)})
 

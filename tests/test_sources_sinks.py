@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.calendar import calendar_factor, holiday_factor, holiday_table
 from tidewater.sinks import results as sinks
-from tidewater.sources.series import load_series, require_columns, rollup_daily, spark_time_format
+from tidewater.sources.series import load_series, require_columns, rollup_daily, series_panel, spark_time_format
 
 
 def test_csv_json_parquet_and_unknown(spark, tmp_path):
@@ -39,6 +39,30 @@ def test_missing_columns_and_bad_dates(spark, tmp_path):
     assert spark_time_format("%Y-%m-%dT%H:%M:%S") == "yyyy-MM-dd'T'HH:mm:ss"
 
 
+@pytest.mark.parametrize("form", [
+    "%d %b %Y %I:%M %p", "%B %d, %Y at %H.%M", "%Y/%j %H:%M:%S", "%y%m%dT%H%M%S.%f", "%Y-%m-%d o'clock %H:%M", "[%Y] 100%% %m #%d %H:%M",
+])
+def test_time_directives_read_what_strftime_writes(spark, form):
+    moments = [dt.datetime(2021, 3, 9, 0, 5), dt.datetime(1999 + 4, 12, 31, 12, 59), dt.datetime(2024, 2, 29, 23, 0)]
+    df = spark.createDataFrame([(m.strftime(form), float(i)) for i, m in enumerate(moments)], "t string, v double")
+    got = {r.y: r.ts for r in series_panel(df, "t", "v", date_format=form).collect()}
+    assert [got[i] for i in range(3)] == moments
+
+
+def test_unknown_directives_are_named():
+    for form in ("%Y-%m-%d %z", "%A %Y", "%Y%"):
+        with pytest.raises(ValueError, match="not supported"):
+            spark_time_format(form)
+
+
+def test_csv_without_a_schema_keeps_keys_as_written(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("code,year,v\n007,2020,1e3\n007,2021,\n7,2020,-2\n")
+    panel = load_series(spark, str(path), "year", "v", "%Y", series_cols=["code"])
+    got = [(r.series_id, r.ts.year, r.y) for r in panel.orderBy("series_id", "ts").collect()]
+    assert got == [("007", 2020, 1000.0), ("007", 2021, None), ("7", 2020, -2.0)]
+
+
 def test_rollup_daily(spark):
     rows = [("a", dt.datetime(2018, 1, 1, h), 1.0 + h, float(h)) for h in range(24)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, e double, temp double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +11,34 @@ from tidewater.operators.metrics import no_nan
 from tidewater.operators.positions import SERIES, TS, Y
 
 # Strptime directives and their Spark pattern letters.
-_DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS"}
+_DIRECTIVES = {
+    "%Y": "yyyy", "%y": "yy", "%m": "MM", "%b": "MMM", "%B": "MMMM", "%d": "dd", "%j": "DDD",
+    "%H": "HH", "%I": "hh", "%p": "a", "%M": "mm", "%S": "ss", "%f": "SSSSSS",
+}
+_FORMAT_PART = re.compile(r"(?P<text>(?:%%|[A-Za-z'\[\]{}#])+)|(?P<directive>%.?)|[^%A-Za-z'\[\]{}#]+")
 
 
 def spark_time_format(date_format: str) -> str:
-    for directive, letters in _DIRECTIVES.items():
-        date_format = date_format.replace(directive, letters)
-    return date_format.replace("T", "'T'")
+    """The Spark pattern of a strptime format; letters outside directives stand for themselves.
+
+    Other directives (weekdays and zones, which Spark does not read into a zone-free time) are an error.
+    """
+    parts = []
+    for part in _FORMAT_PART.finditer(date_format):
+        text, directive = part["text"], part["directive"]
+        if text:
+            parts.append("'" + text.replace("%%", "%").replace("'", "''") + "'")
+        elif directive and directive not in _DIRECTIVES:
+            raise ValueError(f"Time directive {directive!r} in {date_format!r} is not supported; known: {sorted(_DIRECTIVES)}")
+        else:
+            parts.append(_DIRECTIVES[directive] if directive else part[0])
+    return "".join(parts)
 
 
 def _read_csv(spark, path, schema):
+    """Without a schema every column is text: only the header line is read ahead, and the panel casts what it keeps."""
     reader = spark.read.option("header", True)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    return reader.schema(schema).csv(path) if schema else reader.csv(path)
 
 
 def _read_json(spark, path, schema, multi_line=True):
