@@ -168,3 +168,35 @@ def test_licenses_at_any_offset_and_with_changes(spark):
 
 def test_license_scan_of_odd_rows(odd):
     assert licenses.scan(odd).count() == 0
+
+
+def best_names(spark, texts, **more):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [set() for _ in texts]
+    for r in licenses.scan(rows, **more).where("best").collect():
+        out[r["id"]].add(r["license"])
+    return out
+
+
+def test_siblings_are_told_apart(spark):
+    """Every template, alone and inside other words, is named as itself and not as its siblings."""
+    known = licenses.Templates(licenses.TEMPLATES)
+    texts = [f"{'before it ' * k} {licenses.TEMPLATES[n]} {'and after ' * k}" for n in known.names for k in (0, 7, 90)]
+    got = best_names(spark, texts)
+    assert got == [{n} for n in known.names for _ in range(3)]
+    alike = {n: {known.names[j] for j in known.siblings[i]} for i, n in enumerate(known.names)}
+    assert "AGPL-3.0 header" in alike["GPL-3.0 header"] and "MPL-2.0 header" not in alike["MIT grant"]
+
+
+def test_both_of_two_licenses_in_one_text_are_best(spark):
+    both = " ".join(licenses.TEMPLATES[n] for n in ("MIT grant", "Apache-2.0 header"))
+    far = licenses.TEMPLATES["GPL-3.0 header"] + " word" * 400 + " " + licenses.TEMPLATES["AGPL-3.0 header"]
+    assert best_names(spark, [both, far]) == [{"MIT grant", "Apache-2.0 header"}, {"GPL-3.0 header", "AGPL-3.0 header"}]
+
+
+def test_short_notices_word_by_word(spark, odd, empty):
+    texts = ["x. All rights\nreserved.", "cc by-sa 4.0", "CC BY 4.0 and CC-BY-NC-ND-3.0", "all rights are reserved", "", None, "ISC", "isc license; ISC License"]
+    got = best_names(spark, texts, notices=licenses.SHORT_NOTICES)
+    assert got == [{"All rights reserved"}, {"CC BY-SA 4.0 name"}, {"CC BY 4.0 name", "CC BY-NC-ND 3.0 name"}, set(), set(), set(), set(), {"ISC name"}]
+    for frame in (odd, empty):
+        assert licenses.scan(frame, notices=licenses.SHORT_NOTICES).count() == 0

@@ -36,7 +36,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return licenses.scan(table(spark, sf_dir, "documents"), notices=licenses.SHORT_NOTICES).withColumnRenamed("id", "doc_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
