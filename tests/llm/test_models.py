@@ -107,6 +107,36 @@ def test_language_of_odd_rows(odd, empty, larger):
     assert langid.select_identified(empty, model).count() == 0
 
 
+UNLEARNED = [
+    "Съешь же ещё этих мягких французских булок, да выпей чаю.", "日本語の文章です いろはにほへとちりぬるを", "Η γρήγορη καφέ αλεπού πηδάει πάνω",
+    "Zażółć gęślą jaźń i wszystko będzie dobrze", "pvcd lrtcbvltb hvpdjb nxkglbgl qwrtz kkjhgf zxcvb",
+]
+
+
+def test_unlearned_languages_and_random_letters_go(spark, larger):
+    model = langid.fit_languages(larger)
+    odd = spark.createDataFrame([(t,) for t in UNLEARNED], "text string")
+    found = langid.identify(odd, model).select("_tw_language.*").collect()
+    assert all(r["lang"] in model.languages and r["known"] < 0.01 for r in found)
+    assert langid.select_identified(odd, model).count() == 0
+    assert langid.select_identified(larger, model).count() >= 0.98 * larger.filter(r"text rlike '\\p{L}'").count()
+
+
+def test_known_share_of_a_mixed_text(larger):
+    """Half learned and half random words: the background takes the random half, as plain EM does."""
+    model = langid.fit_languages(larger)
+    words = langid.letter_words(larger.orderBy("doc_id").first()["text"])[:40]
+    mixed = words + langid.letter_words(" ".join(UNLEARNED) * 5)[:40]
+    shares, known = langid.fit_mixtures([mixed, words, []], model)
+    logs = np.array([[model.logs[langid.word_ngrams([w])[0], j].sum(dtype=float) for j in range(len(model.languages))] for w in mixed])
+    spoken = np.logaddexp.reduce(np.where(shares[0] > 0, np.log(np.maximum(shares[0], 1e-300)) + logs, -np.inf), axis=1)
+    noise = np.array([-np.log(langid.SLOTS) * len(langid.word_ngrams([w])[0]) for w in mixed])
+    share = 0.5
+    for _ in range(24):
+        share = np.mean(1 / (1 + np.exp(np.clip(noise - spoken, -60, 60)) * (1 - share) / share))
+    assert known[0] == pytest.approx(share, abs=1e-3) and 0.4 < known[0] < 0.62 and known[1] > 0.95 and known[2] == 0
+
+
 def brute_viterbi(text, known, model):
     """Best score of a text by plain dynamic programming, and one best segmentation."""
     if not text:
@@ -197,7 +227,7 @@ def test_pipeline_of_odd_and_empty_rows(spark, odd, empty):
 
 def test_registry_holds_the_queries():
     names = entry_points.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} <= {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_copies_do_not_crowd_out_a_language(spark):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,23 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
 
 
+class Shipped:
+    """An object every executor gets once, its class included: the package need not be importable there.
+
+    A plain broadcast pickles classes by reference. The object is rebuilt once per Python worker.
+    """
+
+    def __init__(self, spark: SparkSession, thing):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    @property
+    def value(self):
+        kept = getattr(self.held, "_tw_rebuilt", None)
+        if kept is None:
+            kept = self.held._tw_rebuilt = (pickle.loads(self.held.value),)
+        return kept[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bound_batches, hash_share
+from tidewater.llm.common import Shipped, bound_batches, hash_share
 
 SLOTS = 1 << 16
 SAMPLE = 3000
@@ -91,24 +91,34 @@ def _expect(p: np.ndarray, n: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
 
 
 def mixtures(docs: list[list[str]], model: LanguageModel, steps: int = 6, penalty: float = 2.0) -> np.ndarray:
-    """Language shares of documents given as words; zero outside the chosen set of languages.
+    """Language shares of documents given as words; see ``fit_mixtures``."""
+    return fit_mixtures(docs, model, steps, penalty)[0]
+
+
+def fit_mixtures(docs: list[list[str]], model: LanguageModel, steps: int = 6, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Language shares of documents given as words, zero outside the chosen set, and the known share of the words.
 
     Words are the units of a document and n-gram likelihoods their evidence. EM over all languages
     ranks them; the set grows from the best one in that order, with EM anew for every set, while
     the log likelihood gains more than ``penalty * log(words + 1)`` per language.
+
+    The known share comes from a last mixture of two components, the chosen languages and a background
+    in which every n-gram slot is equally likely: unlearned scripts and random letters fall to it.
     """
     k = len(model.languages)
     out = np.zeros((len(docs), k))
     full = [i for i, words in enumerate(docs) if words]
+    known = np.zeros(len(docs))
     if not full or not k:
-        return out
+        return out, known
     number, names = pd.factorize(np.array([w for i in full for w in docs[i]], dtype=object))
     sizes = np.array([len(docs[i]) for i in full])
     key, n = np.unique(np.repeat(np.arange(len(full)), sizes) * len(names) + number, return_counts=True)
     owner, word = key // len(names), key % len(names)
     slots, at = word_ngrams(list(names))
     logs = np.column_stack([np.bincount(at, model.logs[slots, j], len(names)) for j in range(k)])
-    evidence = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60))
+    top = logs.max(axis=1)
+    evidence = np.exp(np.maximum(logs - top[:, None], -60))
     p, n = evidence[word], n.astype(float)
     sizes = np.bincount(owner, minlength=len(full))
     starts = np.cumsum(sizes) - sizes
@@ -134,22 +144,27 @@ def mixtures(docs: list[list[str]], model: LanguageModel, steps: int = 6, penalt
             break
         best[open_], reached[open_] = got, now
     out[full] = best
-    return out
+    spoken = np.log(np.maximum((p * np.repeat(best, sizes, axis=0)).sum(axis=1), 1e-300)) + top[word]
+    noise = -np.log(SLOTS) * np.bincount(at, minlength=len(names))[word]
+    against = np.exp(np.clip(np.column_stack([spoken - noise, noise - spoken]), -60, 0))
+    known[full] = _expect(against, n, starts, sizes, np.full((len(full), 2), 0.5), 4 * steps)[0][:, 0]
+    return out, known
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Add ``_tw_language``: ``lang`` (largest share, first in order on a tie), ``score`` (its share) and ``set``.
+    """Add ``_tw_language``: ``lang`` (largest share, first in order on a tie), ``score`` (its share), ``set`` and ``known``.
 
-    Whole texts are used. A null text, one without letters, or a model without languages gives ``und``,
-    score 0 and an empty set. Repeated rows get equal results; all columns of ``docs`` stay.
+    ``known`` is the share of the words that the chosen languages explain better than equally likely
+    n-grams do; the other fields name the nearest learned languages even where it is small. Whole texts are used. A null text, one without letters, or a model without languages gives ``und``,
+    score and known 0 and an empty set. Repeated rows get equal results; all columns of ``docs`` stay.
     """
     bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Shipped(docs.sparkSession, model)
 
-    @F.pandas_udf("lang string, score double, set array<string>")
+    @F.pandas_udf("lang string, score double, set array<string>, known double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         fit = held.value
-        shares = mixtures([letter_words(t) for t in texts], fit)
+        shares, known = fit_mixtures([letter_words(t) for t in texts], fit)
         if not fit.languages:
             shares = np.zeros((len(texts), 1))
         top, score = shares.argmax(axis=1), shares.max(axis=1)
@@ -157,14 +172,19 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             "lang": [fit.languages[t] if s > 0 else UNKNOWN for t, s in zip(top, score)],
             "score": np.minimum(score, 1.0),
             "set": [[fit.languages[j] for j in np.flatnonzero(row > 0)] for row in shares],
+            "known": np.minimum(known, 1.0),
         })
 
     return docs.withColumn("_tw_language", predict(F.col(text_col)))
 
 
 def select_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """Documents with a language that holds at least ``least`` of the text; columns as they came."""
+    """Documents in which learned languages explain at least ``least`` of the words; columns as they came.
+
+    A text in several learned languages is kept; one without letters, in an unlearned language or of
+    random letters is not.
+    """
     found = identify(docs, model)
-    return found.filter((F.col("_tw_language.lang") != UNKNOWN) & (F.col("_tw_language.score") >= least)).select(
+    return found.filter((F.col("_tw_language.lang") != UNKNOWN) & (F.col("_tw_language.known") >= least)).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )
