@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bound_batches
+from tidewater.llm.common import Shipped, bound_batches
 
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = PIECE_FILE) -> D
     equal ids, and all columns of ``docs`` stay.
     """
     bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
+    held = Shipped(docs.sparkSession, load_pieces(path))
 
     @F.arrow_udf("ids array<int>, score double, round_trip boolean")
     def run(texts: pa.Array) -> pa.Array:
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = PIECE_FILE) -> D
 
 def decode(frame: DataFrame, ids, path: str = PIECE_FILE, into: str = "decoded") -> DataFrame:
     """Add the text of an id column; null ids give null, null members count as unknown."""
-    held = frame.sparkSession.sparkContext.broadcast(load_pieces(path))
+    held = Shipped(frame.sparkSession, load_pieces(path))
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
