@@ -16,8 +16,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that holds at least a third of the text; texts without letters go."""
-    return langid.select_identified(docs, langid.fit_languages(docs), least=1 / 3)
+    """Documents of which learned languages explain at least half; unlearned ones, random letters and texts without letters go."""
+    return langid.select_identified(docs, langid.fit_languages(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
