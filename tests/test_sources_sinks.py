@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions.calendar import calendar_factor, holiday_factor, holiday_table
+from tidewater.functions.calendar import calendar_factor, holiday_factor
 from tidewater.sinks import results as sinks
 from tidewater.sources.series import load_series, require_columns, rollup_daily, series_panel, spark_time_format
 
@@ -70,14 +70,31 @@ def test_rollup_daily(spark):
     assert (row.ts, row.y, row.covariate) == (dt.date(2018, 1, 1), 300.0, 11.5)
 
 
-def test_calendar_lookups(spark):
-    rows = [("a", dt.datetime(2018, 11, 23, 19), 1.0), ("a", dt.datetime(2019, 2, 28), 1.0)]
+def test_calendar_factors_are_estimated_per_series(spark):
+    hours = [dt.datetime(2018, 1, 1) + dt.timedelta(hours=6 * i) for i in range(4 * 35)]
+    rows = [("a", h, 3.0 if h.hour == 12 else 1.0) for h in hours] + [("b", hours[0], None), ("b", hours[1], float("nan"))]
+    rows += [("c", hours[0], 1.0), ("c", hours[1], -1.0)]
     panel = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, y double")
-    a, b = calendar_factor(panel).orderBy("ts").collect()
-    assert (a.weekday_factor, a.month_factor, a.month_end_factor, a.hour_factor, a.season_factor) == (1.2, 1.5, 1.0, 1.6, 1.1)
-    assert (b.month_end_factor, b.weekend_factor) == (1.3, 1.0)
-    a, b = holiday_factor(panel, holiday_table(spark)).orderBy("ts").collect()
-    assert (a.holiday_factor, b.holiday_factor) == (2.5, 1.0)
+    got = calendar_factor(panel).collect()
+    assert len(got) == len(rows) and "_means" not in got[0]
+    for r in got:
+        if r.series_id == "a":
+            assert abs(r.hour_factor - (2.0 if r.ts.hour == 12 else 2 / 3)) < 1e-9
+            assert abs(r.weekday_factor - 1) < 1e-9 and abs(r.weekend_factor - 1) < 1e-9
+        else:  # no value is known, or the mean is zero
+            assert r.hour_factor is None and r.month_factor is None
+
+
+def test_holiday_factors_are_estimated_per_series(spark):
+    days = [dt.date(2018, 1, 1) + dt.timedelta(days=i) for i in range(730)]
+    special = {dt.date(2018, 11, 23): 50.0, dt.date(2019, 11, 29): 30.0, dt.date(2018, 5, 28): 5.0, dt.date(2019, 5, 27): 5.0}
+    rows = [("a", d, special.get(d, 10.0)) for d in days] + [("b", days[0], 4.0)]
+    got = {(r.series_id, r.ts): r.holiday_factor for r in holiday_factor(
+        spark.createDataFrame(rows, "series_id string, ts date, y double")).collect()}
+    assert got["a", dt.date(2018, 11, 23)] == got["a", dt.date(2019, 11, 29)] == 4.0
+    assert got["a", dt.date(2019, 5, 27)] == 0.5 and got["a", dt.date(2018, 12, 25)] == 1.0
+    assert got["a", dt.date(2018, 11, 30)] == 1.0 and got["a", dt.date(2018, 5, 21)] == 1.0
+    assert got["b", days[0]] is None  # no ordinary day to compare with
 
 
 def test_comparison_and_summary_files(spark, tmp_path):

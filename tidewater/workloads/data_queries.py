@@ -294,47 +294,38 @@ add(
 
 # Calendar lookups and scalar functions
 
-
-def _case(expr, values):
-    return f"CASE {expr} " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in values.items()) + " END"
-
-
+# Part of a row's calendar as SQL, for each factor.
+_PARTS = {
+    "weekday": "isodow(ts)", "weekend": "isodow(ts) >= 6", "month": "month(ts)",
+    "month_end": "last_day(ts) = CAST(ts AS DATE)", "hour": "hour(ts)", "season": "quarter(ts)",
+}
 add(
     "calendar_factor",
-    lambda spark, sf: cal.calendar_factor(p.event_readings(spark, sf)).drop(Y),
-    sql.query(p.EVENT_READINGS, select=f"""
-SELECT series_id, ts, {_case("isodow(ts) - 1", cal.RETAIL_WEEKDAY)} AS weekday_factor,
-  {_case("month(ts)", cal.RETAIL_MONTH)} AS month_factor,
-  CASE WHEN last_day(ts) = CAST(ts AS DATE) THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS month_end_factor,
-  CASE WHEN isodow(ts) >= 6 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS weekend_factor,
-  {_case("hour(ts)", cal.ENERGY_HOUR)} AS hour_factor,
-  {_case("month(ts)", cal.ENERGY_MONTH)} AS season_factor
-FROM panel"""),
+    lambda spark, sf: rounded(cal.calendar_factor(p.event_readings(spark, sf)).drop(Y)),
+    sql.query(p.EVENT_READINGS, select="SELECT series_id, ts, "
+              + ", ".join(f"round(avg(y) OVER (PARTITION BY series_id, {part}) / avg(y) OVER (PARTITION BY series_id), 4) AS {name}_factor"
+                          for name, part in _PARTS.items())
+              + " FROM panel"),
 )
 add(
     "date_parts",
-    lambda spark, sf: rounded(cal.date_parts(p.event_readings(spark, sf)).drop(Y), 6),
+    lambda spark, sf: cal.date_parts(p.event_readings(spark, sf)).drop(Y),
     sql.query(p.EVENT_READINGS, select="""
-SELECT series_id, ts, hour(ts)::INTEGER AS hour, day(ts)::INTEGER AS day, dayofyear(ts)::INTEGER AS dayofyear,
-  round(-cos(2 * pi() * dayofyear(ts) / 365) * 15 + 15, 6) AS yearly_cycle,
-  round(-cos(2 * pi() * hour(ts) / 24) * 5, 6) AS daily_cycle
-FROM panel"""),
+SELECT series_id, ts, hour(ts)::INTEGER AS hour, day(ts)::INTEGER AS day, dayofyear(ts)::INTEGER AS dayofyear FROM panel"""),
 )
 
-
-def _holidays(spark, sf):
-    # The fixed holiday dates carried over to the years of the orders table.
-    table = cal.holiday_table(spark).withColumn("day", F.add_months("day", -12 * 20))
-    return cal.holiday_factor(p.orders_daily(spark, sf), table).select(SERIES, TS, "holiday_factor")
-
-
-_HOLIDAY_ROWS = ", ".join(f"(DATE '{d}', {f}::DOUBLE)" for d, f in cal.HOLIDAYS.items())
+_HOLIDAY = """
+named AS (
+  SELECT *, CASE WHEN month(ts) = 5 AND isodow(ts) = 1 AND ts + 7 > last_day(ts) THEN 'memorial'
+    WHEN month(ts) = 11 AND ts = first + CAST(22 + (11 - isodow(first)) % 7 AS INTEGER) THEN 'friday'
+    WHEN strftime(ts, '%m-%d') IN ('01-01', '02-14', '07-04', '12-24', '12-25') THEN strftime(ts, '%m-%d') END AS holiday
+  FROM (SELECT *, CAST(date_trunc('month', ts) AS DATE) AS first FROM panel))"""
 add(
     "holiday_factor",
-    _holidays,
-    sql.query(p.ORDERS_DAILY, f"holidays(day, factor) AS (VALUES {_HOLIDAY_ROWS})",
-              select="SELECT series_id, ts, coalesce(factor, 1.0) AS holiday_factor FROM panel "
-              "LEFT JOIN holidays ON ts = CAST(day - INTERVAL 20 YEAR AS DATE)"),
+    lambda spark, sf: rounded(cal.holiday_factor(p.orders_daily(spark, sf))).drop(Y),
+    sql.query(p.ORDERS_DAILY, _HOLIDAY, select="""
+SELECT series_id, ts, CASE WHEN holiday IS NULL THEN 1.0::DOUBLE ELSE round(avg(y) OVER (PARTITION BY series_id, holiday)
+  / avg(y) FILTER (holiday IS NULL) OVER (PARTITION BY series_id), 4) END AS holiday_factor FROM named"""),
 )
 
 __all__ = ["ORACLES", "QUERIES"]
