@@ -4,7 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions import catalog
 from tidewater.functions.calendar import calendar_factor, holiday_factor
+from tidewater.functions.configs import run_config
 from tidewater.sinks import results as sinks
 from tidewater.sources.series import load_series, require_columns, rollup_daily, series_panel, spark_time_format
 
@@ -110,3 +112,36 @@ def test_comparison_and_summary_files(spark, tmp_path):
     judged = ranked.select("series_id", F.lit("good").alias("judgment"))
     row = sinks.summary(profile, judged, ranked).first()
     assert row.best_judgment == "good" and row.results[0].mape is None and row.dataset.training_samples == 8
+
+
+def test_configurations_tell_tuned_from_default(spark):
+    rows = spark.createDataFrame(
+        [("a", "lr", 1, "LR", '{"loss": "l1", "alpha": 0.1, "lags": 5}', None), ("a", "xgb", 2, "XGB", '{"loss": "huber", "lags": 7}', False),
+         ("a", "arima", 0, "ARIMA", '{"order": [2, 1, 1]}', True), ("a", "mine", 0, "Mine", '{"n_steps": 4, "scaler": " MinMax ", "feature_range": [0, 1]}', False)],
+        "series_id string, model_key string, variation int, model string, params string, tuned boolean",
+    )
+    profile = spark.createDataFrame([("a", 10, 8, 2)], "series_id string, total_samples long, training_samples long, testing_samples long")
+    source = {"file": "f.csv", "time_col": "t", "data_col": "v"}
+    variations = {**catalog.VARIATIONS, "mine": [{"n_steps": 4, "scaler": " MinMax ", "feature_range": [0, 1]}]}
+    got = {r.model_key: r.config for r in run_config(rows, profile, source, variations).collect()}
+    assert got["lr"].normalization[:2] == ("StandardScaler", "X_and_y") and not got["lr"].tuned and got["lr"].setup.lags == 5
+    assert json.loads(got["xgb"].hyperparameters) == {"loss": "huber", "lags": 7} and got["xgb"].selection_metric is None
+    tuned = got["arima"]
+    assert tuned.tuned and tuned.selection_metric == "rmse" and json.loads(tuned.hyperparameters) == {"order": [2, 1, 1]}
+    assert tuned.hyperparameters_source == "validation" and tuned.normalization.type == "none" and tuned.time_steps is None
+    assert got["mine"].time_steps.n_steps == 4 and got["mine"].shape_and_reshaping.input_shape == ["4", "n_features"]
+    assert tuple(got["mine"].normalization) == ("MinMaxScaler", "target", "Scaler from variation: minmax", [0.0, 1.0])
+
+
+def test_summary_carries_parameters_and_source(spark):
+    ranked = spark.createDataFrame(
+        [("a", 1, "M1", 0.9, 1.0, 0.5, 0.1, None, float("inf"), '{"w": 1}', "default_variation", 0.25)],
+        "series_id string, rank int, model string, composite_score double, rmse double, mae double, r2 double, mase double, mape double, params string, hyperparameters_source string, rmse_std double",
+    )
+    profile = spark.createDataFrame([("a", 10, 8, 2), ("b", 5, 4, 1)], "series_id string, total_samples long, training_samples long, testing_samples long")
+    tuned = spark.createDataFrame([("a", "M1 (Tuned)", '{"w": 2}')], "series_id string, model string, params string")
+    judged = ranked.select("series_id", F.lit("good").alias("judgment"))
+    a, b = sinks.summary(profile, judged, ranked, tuned=tuned, source={"file": "f.csv", "time_col": "t", "data_col": "v"}).orderBy("series_id").collect()
+    assert a.dataset.file == "f.csv" and a.results[0].variation_spec == '{"w": 1}' and a.results[0].rmse_std == 0.25
+    assert a.parameter_selection.metric == "rmse" and a.tuned_best_params == {"M1 (Tuned)": '{"w": 2}'}
+    assert b.results is None and b.parameter_selection is None and b.dataset.time_column == "t"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.catalog import REPORT_COLUMNS
+from tidewater.functions.configs import TUNED_NOTE
 from tidewater.operators.metrics import finite
 from tidewater.operators.positions import SERIES
 
@@ -40,14 +41,22 @@ def write_configs(configs: DataFrame, ranked: DataFrame, path: str, dataset: str
 
 
 def summary(profile: DataFrame, judged: DataFrame, ranked: DataFrame, best_per_run: DataFrame | None = None,
-            tuned: DataFrame | None = None) -> DataFrame:
-    """One nested row per series: dataset counts, recommendation, results, best per run, tuned parameters."""
-    entry = F.struct(
-        "rank", "model", F.round("composite_score", 4).alias("composite_score"), "rmse", "mae", "r2",
-        finite(F.col("mase")).alias("mase"), finite(F.col("mape")).alias("mape"),
-    )
+            tuned: DataFrame | None = None, source: dict[str, str] | None = None) -> DataFrame:
+    """One nested row per series: dataset, recommendation, results, best per run, tuned parameters.
+
+    Results carry their parameters (columns ``params``, ``hyperparameters``, ``hyperparameters_source``) and
+    their deviations over runs (``composite_std``, ``rmse_std``) where ``ranked`` has them. ``source`` names the
+    data file and its columns. Metrics that are infinite or not a number are null.
+    """
+    measured = [finite(F.col(c)).alias(c) for c in ("rmse", "mae", "r2", "mase", "mape")]
+    spread = [F.round(c, 4).alias(c) for c in ("rmse_std", "composite_std") if c in ranked.columns]
+    given = {"params": "variation_spec", "hyperparameters": "hyperparameters", "hyperparameters_source": "hyperparameters_source"}
+    settings = [F.col(c).alias(name) for c, name in given.items() if c in ranked.columns]
+    entry = F.struct("rank", "model", F.round("composite_score", 4).alias("composite_score"), *measured, *spread, *settings)
+    named = {"file": "file", "time_col": "time_column", "data_col": "data_column"}
+    origin = [F.lit(source[key]).alias(name) for key, name in named.items()] if source else []
     out = (
-        profile.withColumn("dataset", F.struct("total_samples", "training_samples", "testing_samples"))
+        profile.withColumn("dataset", F.struct(*origin, "total_samples", "training_samples", "testing_samples"))
         .select(SERIES, "dataset")
         .join(judged.select(SERIES, F.col("judgment").alias("best_judgment")), SERIES, "left")
         .join(ranked.groupBy(SERIES).agg(F.array_sort(F.collect_list(entry)).alias("results")), SERIES, "left")
@@ -61,7 +70,9 @@ def summary(profile: DataFrame, judged: DataFrame, ranked: DataFrame, best_per_r
         pairs = tuned.groupBy(SERIES).agg(
             F.map_from_entries(F.collect_list(F.struct("model", "params"))).alias("tuned_best_params")
         )
-        out = out.join(pairs, SERIES, "left")
+        selection = F.struct(F.lit("rmse").alias("metric"), F.lit(TUNED_NOTE).alias("note"))
+        chosen = F.when(F.col("tuned_best_params").isNotNull(), selection)
+        out = out.join(pairs, SERIES, "left").withColumn("parameter_selection", chosen)
     return out
 
 

@@ -310,21 +310,43 @@ def _normalization(split):
     )
 
 
+_SOURCE = {"file": "lineitem.parquet", "time_col": "l_shipdate", "data_col": "revenue"}
+
+
 def _configs(split, spark):
     rows = sweep.task_grid(split, ["ma", "lr"], 1).withColumn(
         "model", names.display_name("model_key", "params", splits.PERIOD_SQL)
     )
-    return configs.run_config(rows, splits.dataset_profile(split), {"file": "lineitem.parquet", "time_col": "l_shipdate", "data_col": "revenue"})
-
-
-add("run_config",
-    lambda spark, sf: _configs(suppliers(spark, sf), spark).select(
-        SERIES, "model_key", "variation", F.col("config.display_name").alias("model"), F.col("config.setup.lags").alias("lags"),
-        F.col("config.setup.training_samples").alias("training_samples"), F.col("config.setup.testing_samples").alias("testing_samples")),
-    sql.query(*_BASE, select="""
-SELECT series_id, model_key, variation, x.model, lags, count(*) FILTER (is_train) AS training_samples, count(*) FILTER (NOT is_train) AS testing_samples
-FROM split, (VALUES ('ma', 0, 'Moving Average (w=3)', 7), ('ma', 1, 'Moving Average (w=5)', 7), ('ma', 2, 'Moving Average (w=7)', 7),
-  ('lr', 0, 'Linear Regression (L2)', 3), ('lr', 1, 'Linear Regression (L1) (α=0.1)', 5), ('lr', 2, 'Linear Regression (Huber)', 7)) AS x(model_key, variation, model, lags)
+    return configs.run_config(rows, splits.dataset_profile(split), _SOURCE)
+
+
+def _flat_configs(spark, sf):
+    chosen = {
+        "": ("display_name", "tuned", "variation_spec", "hyperparameters", "hyperparameters_source", "selection_metric"),
+        "setup.": ("data_file", "time_column", "data_column", "test_size", "lags", "lags_built", "rolling_window", "ma_window",
+                   "n_runs", "total_samples", "training_samples", "testing_samples"),
+        "normalization.": ("type", "scope", "description"),
+    }
+    columns = [F.col(f"config.{part}{c}").alias(c) for part, fields in chosen.items() for c in fields]
+    return _configs(suppliers(spark, sf), spark).select(SERIES, "model_key", "variation", *columns)
+
+
+add("run_config", _flat_configs,
+    sql.query(*_BASE, select=f"""
+SELECT series_id, model_key, variation, display_name, false AS tuned, variation_spec, hyperparameters, 'default_variation' AS hyperparameters_source,
+  CAST(NULL AS VARCHAR) AS selection_metric, 'lineitem.parquet' AS data_file, 'l_shipdate' AS time_column, 'revenue' AS data_column,
+  0.2::DOUBLE AS test_size, lags, 7 AS lags_built, 3 AS rolling_window, 5 AS ma_window, 3 AS n_runs, count(*) AS total_samples,
+  count(*) FILTER (is_train) AS training_samples, count(*) FILTER (NOT is_train) AS testing_samples,
+  CASE model_key WHEN 'lr' THEN 'StandardScaler' ELSE 'none' END AS "type", CASE model_key WHEN 'lr' THEN 'X_and_y' END AS scope,
+  CASE model_key WHEN 'lr' THEN '{configs.PER_SERIES}' END AS description
+FROM split, (VALUES
+  ('ma', 0, 'Moving Average (w=3)', 7, '{{"window": 3}}', '{{"window": 3}}'),
+  ('ma', 1, 'Moving Average (w=5)', 7, '{{"window": 5}}', '{{"window": 5}}'),
+  ('ma', 2, 'Moving Average (w=7)', 7, '{{"window": 7}}', '{{"window": 7}}'),
+  ('lr', 0, 'Linear Regression (L2)', 3, '{{"loss": "l2", "lags": 3}}', '{{"loss": "l2", "lags": 3}}'),
+  ('lr', 1, 'Linear Regression (L1) (α=0.1)', 5, '{{"loss": "l1", "alpha": 0.1, "lags": 5}}', '{{"loss": "l1", "alpha": 0.1, "lags": 5}}'),
+  ('lr', 2, 'Linear Regression (Huber)', 7, '{{"loss": "huber", "lags": 7}}', '{{"loss": "huber", "lags": 7}}'))
+  AS x(model_key, variation, display_name, lags, variation_spec, hyperparameters)
 GROUP BY ALL"""))
 
 # Report tables
@@ -431,26 +453,38 @@ SELECT series_id, rank, model_key, model AS display_name, (SELECT count(*) FILTE
 
 
 def _written_summary(spark, sf):
+    """Every result of every series as written and read back, with its dataset and the best of its first run."""
     split = suppliers(spark, sf)
     path = scratch_path(spark, "summary")
     metrics = flat_metrics(split, 3)
     ranked = flat_ranked(split)
     judged = names.judgment_text(names.attach_family(r.lead_margin(ranked)))
-    rows = sinks.summary(splits.dataset_profile(split), judged, ranked, r.best_per_run(metrics))
+    settings = {
+        "params": catalog.params_of(), "hyperparameters": configs.hyperparameters(),
+        "hyperparameters_source": F.lit("default_variation"),
+    }
+    rows = sinks.summary(splits.dataset_profile(split), judged, ranked.withColumns(settings), r.best_per_run(metrics),
+                         source=_SOURCE)
     sinks.write_summary(rows, path, "lineitem", _DATE)
-    back = spark.read.json(path)
-    return back.select(
-        SERIES, F.col("data.training_samples").alias("training_samples"), F.size("results").cast("int").alias("n_results"),
-        F.col("results")[0]["model"].alias("best_model"), F.size("best_per_run").cast("int").alias("n_runs"),
-        F.col("best_per_run")[0]["best_model"].alias("first_run_best"),
-    )
+    back = spark.read.json(path).withColumn("_r", F.explode("results"))
+    return tidy(back.select(
+        SERIES, "data.file", "data.training_samples", F.size("best_per_run").alias("n_runs"),
+        F.col("best_per_run")[0]["best_model"].alias("first_run_best"), F.col("_r.rank").cast("int").alias("rank"),
+        "_r.model", *[F.col(f"_r.{c}") for c in ("composite_score", "rmse", "mae", "r2", "mase", "mape")],
+        "_r.variation_spec", "_r.hyperparameters", "_r.hyperparameters_source",
+    ))
 
 
 add("write_summary", _written_summary,
-    sql.query(*flat(3), _RUN_SCORED, select="""
-SELECT series_id, (SELECT count(*) FILTER (is_train) FROM split s WHERE s.series_id = b.series_id) AS training_samples,
-  3 AS n_results, model AS best_model, 3 AS n_runs, model AS first_run_best
-FROM run_scored b WHERE run = 1 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(composite_score, 9) DESC, model) = 1"""))
+    sql.query(*flat(3), "first_run AS (SELECT * FROM metrics WHERE run = 1)", sql.composite("first_run"), sql.ranked(), _RUN_SCORED, select=f"""
+SELECT series_id, 'lineitem.parquet' AS file, training_samples, n_runs, first_run_best, rank, model, round(composite_score, 4) AS composite_score,
+  {_METRICS}, '{{"window": ' || (3 + 2 * variation) || '}}' AS variation_spec, '{{"window": ' || (3 + 2 * variation) || '}}' AS hyperparameters,
+  'default_variation' AS hyperparameters_source
+FROM ranked
+JOIN (SELECT series_id, count(*) FILTER (is_train) AS training_samples FROM split GROUP BY ALL) USING (series_id)
+JOIN (SELECT series_id, CAST(count(DISTINCT run) AS INTEGER) AS n_runs FROM run_scored GROUP BY ALL) USING (series_id)
+JOIN (SELECT series_id, arg_min(model, (-round(composite_score, 9), model)) AS first_run_best FROM run_scored WHERE run = 1 GROUP BY ALL) USING (series_id)"""
+).replace("round(mse, 2) AS mse, ", ""))
 
 
 def _written_candidates(spark, sf):
