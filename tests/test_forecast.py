@@ -1,3 +1,4 @@
+import itertools
 import json
 
 import numpy as np
@@ -246,6 +247,7 @@ def test_huber_and_quantile_are_stationary_on_both_paths(spark, data):
         for fit in fits[name]:
             c = np.array(fit.coef)
             z, std = (x - fit.y_mean) / fit.y_std, fit.y_std
+            assert fit.gap == 0.0 if fit.variation == 2 else 0 <= fit.gap <= linear.TOLERANCE
             r = (y - fit.y_mean) / std - c[0] - z @ c[1:]
             if fit.variation == 1:
                 best = np.mean(np.abs(r))
@@ -263,6 +265,71 @@ def test_huber_and_quantile_are_stationary_on_both_paths(spark, data):
         np.testing.assert_allclose(a[v], b[v], atol=1e-4)
 
 
+def least_quantile_loss(x, y, q):
+    """The least mean loss, over all lines through as many rows as there are coefficients: one of them is optimal."""
+    width = x.shape[1] + 1
+    m = np.column_stack([np.ones(len(x)), x])
+    losses = []
+    for rows in itertools.combinations(range(len(x)), width):
+        chosen = m[list(rows)]
+        if abs(np.linalg.det(chosen)) > 1e-9:
+            r = y - m @ np.linalg.solve(chosen, y[list(rows)])
+            losses.append(np.mean(np.maximum(q * r, (q - 1) * r)))
+    return min(losses)
+
+
+@pytest.mark.parametrize("q", [0.5, 0.9])
+def test_quantile_gap_bounds_the_distance_to_the_least_loss(q):
+    rng = np.random.default_rng(3)
+    spec = linear.with_defaults({"loss": "quantile", "quantile": q})
+    for trial in range(5):
+        x = rng.normal(size=(24, 2))
+        y = x @ [1.0, -2.0] + rng.standard_t(2, size=24)
+        y = (y - y.mean()) / y.std()
+        if trial == 4:  # ties
+            x, y = np.round(x), np.round(y)
+        coef, gap = linear.iterate_locally(np.column_stack([np.ones(24), x, y]), spec, ["lag_1", "lag_2"], 1.0)
+        r = y - coef[0] - x @ coef[1:]
+        loss, least = np.mean(np.maximum(q * r, (q - 1) * r)), least_quantile_loss(x, y, q)
+        assert least - 1e-12 <= loss <= least + gap + 1e-12 and gap <= linear.TOLERANCE
+
+
+def slow_rows(n=200, width=8):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(n, width))
+    y = x @ rng.normal(size=width) + rng.standard_t(2, size=n)
+    return x, (y - y.mean()) / y.std()
+
+
+def test_slow_reweighted_fits_go_on_until_they_are_proven(monkeypatch):
+    x, y = slow_rows()
+    m, cols = np.column_stack([np.ones(len(x)), x, y]), [f"lag_{i + 1}" for i in range(x.shape[1])]
+    for given in ({"loss": "quantile", "quantile": 0.9}, {"loss": "huber", "epsilon": 1.0}):
+        spec = linear.with_defaults(given)
+        coef, gap = linear.iterate_locally(m, spec, cols, 1.0)
+        monkeypatch.setattr(linear, "MAX_PASSES", 40)
+        early, early_gap = linear.iterate_locally(m, spec, cols, 1.0)
+        monkeypatch.undo()
+        assert gap <= linear.TOLERANCE < early_gap
+        errors = y[:, None] - m[:, :-1] @ np.column_stack([coef, early])
+        if given["loss"] == "quantile":
+            losses = np.mean(np.maximum(0.9 * errors, -0.1 * errors), axis=0)
+        else:
+            sigmas = np.geomspace(1e-5, 1, 400)
+            losses = [min(huber_objective(r, s, spec["epsilon"], c[1:]) for s in sigmas) / len(y) for r, c in zip(errors.T, (coef, early))]
+        assert losses[0] <= losses[1] + 1e-9 and losses[1] <= losses[0] + early_gap + 1e-4
+
+
+def test_gaps_of_degenerate_series():
+    line = np.arange(30.0)
+    exact = np.column_stack([np.ones(30), line, line / 10])
+    flat = np.column_stack([np.ones(30), np.zeros(30), np.zeros(30)])
+    for loss in ("huber", "quantile"):
+        for m in (exact, flat, exact[:2]):
+            coef, gap = linear.iterate_locally(m, linear.with_defaults({"loss": loss}), ["lag_1"], 1.0)
+            assert gap <= linear.TOLERANCE and np.all(np.isfinite(coef))
+
+
 def ridge_reference(x, y, alpha):
     xc, yc = x - x.mean(axis=0), y - y.mean()
     w = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc)

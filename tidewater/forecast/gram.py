@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Groups a task holds before it hands their partial sums on; bounds its memory.
@@ -24,33 +25,45 @@ def group_positions(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple,
         yield (key if isinstance(key, tuple) else (key,)), where
 
 
-def summed(partials: DataFrame, keys: list[str], column: str = "gram") -> DataFrame:
-    """Element-wise sum of an array column per key, with map-side combine."""
-    total = vector_to_array(Summarizer.sum(array_to_vector(column)))
-    return partials.groupBy(*keys).agg(total.alias(column))
+def summed(partials: DataFrame, keys: list[str], column: str = "gram", peaks: int = 0) -> DataFrame:
+    """Element-wise sum of an array column per key, with map-side combine; its last ``peaks`` entries are largest values."""
+    vector = array_to_vector(column)
+    total = vector_to_array(Summarizer.sum(vector))
+    if not peaks:
+        return partials.groupBy(*keys).agg(total.alias(column))
+    both = partials.groupBy(*keys).agg(total.alias("_sum"), vector_to_array(Summarizer.max(vector)).alias("_max"))
+    cut = F.size("_sum") - peaks
+    return both.select(*keys, F.concat(F.slice("_sum", F.lit(1), cut), F.slice("_max", cut + 1, F.lit(peaks))).alias(column))
 
 
 def partial_sums(
-    rows: DataFrame, keys: list[str], payload: Callable[[pd.DataFrame], np.ndarray]
+    rows: DataFrame, keys: list[str], payload: Callable[[pd.DataFrame], np.ndarray], peaks: int = 0
 ) -> DataFrame:
-    """Sum ``payload(rows of one group)`` (a flat array) over all rows of every group."""
+    """Sum ``payload(rows of one group)`` (a flat array) over all rows of every group; of its last ``peaks``
+    entries the largest is kept."""
     schema = T.StructType(
         [rows.schema[k] for k in keys] + [T.StructField("gram", T.ArrayType(T.DoubleType()))]
     )
 
+    def merged(a, b):
+        out = a + b
+        if peaks:
+            out[-peaks:] = np.maximum(a[-peaks:], b[-peaks:])
+        return out
+
     def run(batches):
         held: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for key, where in group_positions(pdf, keys):
                 part = payload(pdf.iloc[where])
-                held[key] = held[key] + part if key in held else part
+                held[key] = merged(held[key], part) if key in held else part
             if len(held) > HELD_GROUPS:
                 yield held_frame(held, keys)
                 held = {}
         if held:
             yield held_frame(held, keys)
 
-    return summed(rows.mapInPandas(run, schema), keys)
+    return summed(rows.mapInPandas(run, schema), keys, peaks=peaks)
 
 
 def held_frame(held: dict[tuple, np.ndarray], keys: list[str]) -> pd.DataFrame:

@@ -35,7 +35,11 @@ GRIDS = {
     "quantile": [{"quantile": 0.5}],
 }
 VARIATIONS = [{"loss": "l2", "lags": 3}, {"loss": "l1", "alpha": 0.1, "lags": 5}, {"loss": "huber", "lags": 7}]
-MAX_PASSES, TOLERANCE = 40, 1e-6
+# A re-weighted fit has converged when its mean loss, in deviations of y, is proven to be this close to the least one.
+# It goes on until its coefficients settle too, but not beyond the least number of passes that counts as enough once
+# proven; a fit without the proof gets as many as there are, fewer where a pass is a Spark job.
+TOLERANCE, SETTLED = 1e-4, 1e-6
+ENOUGH_PASSES, MAX_PASSES, MAX_JOBS = 40, 2000, 120
 
 
 def standardised(split: DataFrame, columns: list[str]) -> DataFrame:
@@ -169,11 +173,11 @@ def reweighted_step(sums, spec: dict, use: list[int], weight, std, coef, sigma)
     keep = [0, *[u + 1 for u in use]]
     a, b = gram[np.ix_(keep, keep)].copy(), gram[keep, k].copy()
     if spec["loss"] == "huber":
+        penalty = HUBER_RIDGE / std * sigma * weight[use] ** 2
+        a[np.arange(1, len(keep)), np.arange(1, len(keep))] += penalty
         free = n - outliers * spec["epsilon"] ** 2
         if free > 0 and inlier_sq > 0:
             sigma = float(np.sqrt(inlier_sq / free))
-        penalty = HUBER_RIDGE / std * sigma * weight[use] ** 2
-        a[np.arange(1, len(keep)), np.arange(1, len(keep))] += penalty
     else:
         b += (2 * spec["quantile"] - 1) * totals[keep]
     new = np.zeros(k)
@@ -181,6 +185,60 @@ def reweighted_step(sums, spec: dict, use: list[int], weight, std, coef, sigma)
     return new, sigma
 
 
+def best_scale(r: np.ndarray, epsilon: float) -> float:
+    """The sigma that goes with these residuals: their squares in units of it, cut at epsilon squared, average one."""
+    size = np.sort(np.abs(r))
+    inliers = np.arange(1, len(r) + 1)
+    free = len(r) - (len(r) - inliers) * epsilon**2
+    scale = np.sqrt(np.cumsum(size**2) / np.where(free > 0, free, np.nan))
+    fits = (size <= epsilon * scale) & (np.append(size[1:], np.inf) > epsilon * scale)
+    return float(scale[fits][0]) if fits.any() else 0.0
+
+
+# How far a fit is from the least loss. A multiplier per row, within the bounds that the loss sets and balanced over
+# every feature, bounds the least loss from below; the weights of a pass give balanced multipliers for the
+# coefficients that they lead to, and dividing by the largest excess brings them within bounds.
+
+
+def dual_sums(m: np.ndarray, coef: np.ndarray, sigma: float, before: tuple, spec: dict) -> tuple[np.ndarray, float]:
+    """([loss, loss at sigma zero, multipliers times y, their squares, their sums over each feature], largest excess).
+
+    ``before`` holds the (coefficients, sigma, smoothing) whose weights led to ``coef``.
+    """
+    x, y = m[:, :-1], m[:, -1]
+    r, old = y - x @ coef, np.abs(y - x @ before[0])
+    if spec["loss"] == "huber":
+        eps = spec["epsilon"]
+        w = np.where(old <= eps * before[1], 1.0, eps * before[1] / np.maximum(old, 1e-300))
+        a, z = 2 * w * r / before[1], np.abs(r) / sigma
+        excess = np.abs(a) / (2 * eps)
+        loss = np.sum(sigma + sigma * np.where(z <= eps, z**2, 2 * eps * z - eps**2))
+        flat = 2 * eps * np.sum(np.abs(r))
+    else:
+        q = spec["quantile"]
+        a = (r / (old + before[2]) + 2 * q - 1) / 2
+        excess = np.maximum(a / q, a / (q - 1))
+        loss = flat = np.sum(np.maximum(q * r, (q - 1) * r))
+    return np.concatenate([[loss, flat, a @ y, a @ a], x.T @ a]), float(np.max(excess, initial=0.0))
+
+
+def proven_gap(sums, excess: float, n: float, coef, spec: dict, use: list[int], weight, std) -> float:
+    """A proven bound on the mean loss above the least possible one, penalties included."""
+    loss, flat, fitted, squares = sums[:4]
+    keep, penalty, expected = [0, *[u + 1 for u in use]], 0.0, np.zeros(len(use) + 1)
+    if spec["loss"] == "huber":
+        pull = HUBER_RIDGE / std * weight[use] ** 2 * coef[keep[1:]]
+        penalty, expected[1:] = float(pull @ coef[keep[1:]]), 2 * pull
+        excess = max(excess, np.sqrt(squares / (4 * n)))
+    loss = min(loss, flat) + penalty
+    if not np.isfinite(loss):
+        return np.inf
+    least = 0.0  # no loss is below zero
+    if excess > 0 and np.max(np.abs(sums[4:][keep] - expected)) <= 1e-8 * n:
+        least = max(least, fitted / excess - penalty / excess**2)
+    return max(loss - least, 0.0) / n
+
+
 def with_defaults(spec: dict) -> dict:
     # Epsilon 1 would make every residual an outlier of the concomitant scale; it must exceed 1.
     out = {"epsilon": EPSILON, "quantile": 0.5, "upto": None, **spec}
@@ -192,29 +250,38 @@ def smoothing(i: int) -> float:
     return max(0.1 * 0.7**i, 1e-4)
 
 
-def iterate_locally(m: np.ndarray, spec: dict, columns: list[str], std: float) -> np.ndarray:
+def iterate_locally(m: np.ndarray, spec: dict, columns: list[str], std: float) -> tuple[np.ndarray, float]:
+    """Coefficients of the rows of one series, and the proven gap of their mean loss."""
     use, weight = used_columns(spec, columns), raw_weight(columns, std)
     coef = ridge(square(cross_products(m), m.shape[1]), use, 0.0, weight)
     sigma = float(np.std(m[:, -1] - m[:, :-1] @ coef)) or 1.0
+    best, gap = coef, np.inf
     for i in range(MAX_PASSES):
-        sums = weighted_sums(m, coef, sigma, smoothing(i), spec)
-        new, sigma = reweighted_step(sums, spec, use, weight, std, coef, sigma)
-        moved = np.max(np.abs(new - coef))
-        coef = new
-        if moved < TOLERANCE:
+        before = coef, sigma, smoothing(i)
+        coef, _ = reweighted_step(weighted_sums(m, *before, spec), spec, use, weight, std, coef, sigma)
+        if spec["loss"] == "huber":
+            sigma = max(best_scale(m[:, -1] - m[:, :-1] @ coef, spec["epsilon"]), smoothing(i))
+        now = proven_gap(*dual_sums(m, coef, sigma, before, spec), len(m), coef, spec, use, weight, std)
+        if now <= max(gap, TOLERANCE):  # once proven, the last one counts
+            best, gap = coef, now
+        # Looked at as often as where it takes a job, so that both stop at the same coefficients.
+        settled = i + 1 >= ENOUGH_PASSES or np.max(np.abs(coef - before[0])) < SETTLED
+        if i % 5 == 4 and gap <= TOLERANCE and settled:
             break
-    return coef
+    return best, gap
 
 
 def _in_fit(pdf: pd.DataFrame, spec: dict) -> np.ndarray:
     return (pdf["rn"] < pdf[spec["upto"]]).to_numpy() if spec["upto"] else np.ones(len(pdf), dtype=bool)
 
 
-COEF_SCHEMA = f"{SERIES} string, variation int, y_mean double, y_std double, coef array<double>"
+COEF_SCHEMA = f"{SERIES} string, variation int, y_mean double, y_std double, coef array<double>, gap double"
 
 
 def fit_reweighted(train: DataFrame, specs: list[dict], columns: list[str]) -> DataFrame:
-    """Coefficients per series and spec for Huber and quantile losses.
+    """Coefficients per series and spec for Huber and quantile losses, with the ``gap``: a proven bound on how
+    far their mean loss, in deviations of y, lies above the least one. A fit has converged if that is TOLERANCE
+    or less; one that has not within the passes allowed is the best found.
 
     ``train`` is standardised; a spec's ``upto`` names a column that ends its rows (for folds).
     """
@@ -223,12 +290,12 @@ def fit_reweighted(train: DataFrame, specs: list[dict], columns: list[str]) -> D
 
         def whole_series(pdf):
             m, std = matrix(pdf), float(pdf["y_std"].iloc[0])
-            out = [
-                (pdf[SERIES].iloc[0], i, pdf["y_mean"].iloc[0], std, iterate_locally(part, s, columns, std).tolist())
-                for i, s in enumerate(specs)
-                if len(part := m[_in_fit(pdf, s)]) > 1
-            ]
-            return pd.DataFrame(out, columns=[SERIES, "variation", "y_mean", "y_std", "coef"])
+            out = []
+            for i, s in enumerate(specs):
+                if len(part := m[_in_fit(pdf, s)]) > 1:
+                    coef, gap = iterate_locally(part, s, columns, std)
+                    out.append((pdf[SERIES].iloc[0], i, pdf["y_mean"].iloc[0], std, coef.tolist(), gap))
+            return pd.DataFrame(out, columns=[SERIES, "variation", "y_mean", "y_std", "coef", "gap"])
 
         return spread(train, SERIES).groupBy(SERIES).applyInPandas(whole_series, COEF_SCHEMA)
     return _fit_by_passes(train, specs, columns)
@@ -236,10 +303,14 @@ def fit_reweighted(train: DataFrame, specs: list[dict], columns: list[str]) -> D
 
 def _fit_by_passes(train: DataFrame, specs: list[dict], columns: list[str]) -> DataFrame:
     """Re-weighting as Spark jobs: a pass adds up the sums of all specs per series, the small solves
-    follow per series, and the state between passes (a few numbers per series) is written out."""
+    follow per series, and the state between passes (a few numbers per series) is written out.
+
+    A pass also adds up the bound for the coefficients that the pass before led to; the best proven ones are kept.
+    """
     keys, k, n_specs = [SERIES, "y_mean", "y_std"], len(columns) + 1, len(specs)
     ends = {s["upto"] for s in specs if s["upto"]}
     train = train.select(*keys, "rn", "x", "z", *ends).persist()
+    width = (k + 1) ** 2 + k + 3  # of a spec's weighted sums; its k + 4 sums for the bound follow
 
     def start_sums(pdf):
         m = matrix(pdf)
@@ -250,52 +321,72 @@ def _fit_by_passes(train: DataFrame, specs: list[dict], columns: list[str]) -> D
             gram = square(sums, k + 1)
             coef = ridge(gram, used_columns(s, columns), 0.0, raw_weight(columns, row.y_std))
             errors = np.append(-coef, 1.0)
-            yield coef, float(np.sqrt(max(errors @ gram @ errors, 0.0) / gram[0, 0])) or 1.0, 1.0
+            sigma = float(np.sqrt(max(errors @ gram @ errors, 0.0) / gram[0, 0])) or 1.0
+            yield coef, sigma, coef, sigma, coef, np.inf, np.inf
+
+    def table(values):
+        return np.asarray(values, dtype=float).reshape(n_specs, k)
 
     def pass_sums(i):
         def payload(pdf):
-            m, sigmas = matrix(pdf), pdf["sigmas"].iloc[0]
-            coefs = np.asarray(pdf["coefs"].iloc[0], dtype=float).reshape(n_specs, k)
-            return np.concatenate(
-                [weighted_sums(m[_in_fit(pdf, s)], c, g, smoothing(i), s) for s, c, g in zip(specs, coefs, sigmas)]
-            )
+            m, first = matrix(pdf), pdf.iloc[0]
+            states = zip(specs, table(first["coefs"]), first["sigmas"], table(first["old_coefs"]), first["old_sigmas"])
+            sums, peaks = [], []
+            for s, coef, sigma, old, old_sigma in states:
+                part = m[_in_fit(pdf, s)]
+                bound, peak = dual_sums(part, coef, sigma, (old, old_sigma, smoothing(i - 1)), s)
+                sums += [weighted_sums(part, coef, sigma, smoothing(i), s), bound]
+                peaks.append(peak)
+            return np.concatenate([*sums, peaks])
 
         return payload
 
-    def advance(row):
-        coefs = np.asarray(row.coefs, dtype=float).reshape(n_specs, k)
-        weight = raw_weight(columns, row.y_std)
-        for s, sums, old, sigma in zip(specs, np.split(np.asarray(row.gram, dtype=float), n_specs), coefs, row.sigmas):
-            new, sigma = reweighted_step(sums, s, used_columns(s, columns), weight, row.y_std, old, sigma)
-            yield new, sigma, float(np.max(np.abs(new - old)))
+    def advance(i):
+        def step(row):
+            weight, flat = raw_weight(columns, row.y_std), np.asarray(row.gram, dtype=float)
+            states = zip(specs, np.split(flat[:-n_specs], n_specs), flat[-n_specs:], table(row.coefs), row.sigmas, table(row.best), row.gaps)
+            for s, sums, peak, coef, sigma, best, gap in states:
+                use = used_columns(s, columns)
+                weighted, bound = sums[:width], sums[width:]
+                now = proven_gap(bound, peak, weighted[-3], coef, s, use, weight, row.y_std) if i else np.inf
+                if now <= max(gap, TOLERANCE):
+                    best, gap = coef, now
+                new, new_sigma = reweighted_step(weighted, s, use, weight, row.y_std, coef, sigma)
+                yield new, max(new_sigma, smoothing(i)), coef, sigma, best, gap, np.max(np.abs(new - coef))
+
+        return step
+
+    named = ["coefs", "sigmas", "old_coefs", "old_sigmas", "best", "gaps", "moves"]
 
     def solved(sums, step):
         def run(batches):
             for pdf in batches:
                 out = []
                 for row in pdf.itertuples(index=False):
-                    coefs, sigmas, moves = zip(*step(row))
-                    out.append((row.series_id, row.y_mean, row.y_std, np.concatenate(coefs).tolist(), list(sigmas), max(moves)))
-                yield pd.DataFrame(out, columns=[*keys, "coefs", "sigmas", "moved"])
+                    parts = list(zip(*step(row)))
+                    out.append((row.series_id, row.y_mean, row.y_std, *[np.hstack(p).astype(float).tolist() for p in parts]))
+                yield pd.DataFrame(out, columns=[*keys, *named])
 
-        schema = f"{SERIES} string, y_mean double, y_std double, coefs array<double>, sigmas array<double>, moved double"
+        schema = f"{SERIES} string, y_mean double, y_std double, " + ", ".join(f"{c} array<double>" for c in named)
         return cut_lineage(sums.mapInPandas(run, schema))
 
     state = solved(partial_sums(train, keys, start_sums), start)
-    for i in range(MAX_PASSES):
-        last = state.select(SERIES, "coefs", "sigmas")
-        sums = partial_sums(train.join(last, SERIES), keys, pass_sums(i))
-        state = solved(sums.join(last, SERIES), advance)
-        # Looking at the largest move is a job of its own, so not after every pass.
-        if i % 5 == 4 and (state.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
-            break
+    for i in range(MAX_JOBS):
+        last = state.select(SERIES, *named)
+        sums = partial_sums(train.join(last.drop("best", "gaps", "moves"), SERIES), keys, pass_sums(i), peaks=n_specs)
+        state = solved(sums.join(last, SERIES), advance(i))
+        # Looking at the largest gap is a job of its own, so not after every pass.
+        if i and i % 5 == 0:
+            gap, move = state.agg(F.max(F.array_max("gaps")), F.max(F.array_max("moves"))).first()
+            if (gap or 0.0) <= TOLERANCE and (i >= ENOUGH_PASSES or (move or 0.0) < SETTLED):
+                break
     pieces = F.transform(
         F.sequence(F.lit(0), F.lit(n_specs - 1)),
-        lambda v: F.struct(v.alias("variation"), F.slice("coefs", v * k + 1, F.lit(k)).alias("coef")),
+        lambda v: F.struct(v.alias("variation"), F.slice("best", v * k + 1, F.lit(k)).alias("coef"), F.get("gaps", v).alias("gap")),
     )
     train.unpersist()
     return state.select(*keys, F.explode(pieces).alias("_p")).select(
-        SERIES, "_p.variation", "y_mean", "y_std", "_p.coef"
+        SERIES, "_p.variation", "y_mean", "y_std", "_p.coef", "_p.gap"
     )
 
 
@@ -312,13 +403,17 @@ def fit_closed(train: DataFrame, specs: list[dict], columns: list[str]) -> DataF
             stacked = [square(g, width) for g in pdf["gram"]]
             for i, s in enumerate(specs):
                 coef = solve_closed(stacked, s, columns, pdf["y_std"].to_numpy())
-                yield pdf[keys].assign(variation=i, coef=coef.tolist())[[SERIES, "variation", "y_mean", "y_std", "coef"]]
+                rows = pdf[keys].assign(variation=i, coef=coef.tolist(), gap=0.0)
+                yield rows[[SERIES, "variation", "y_mean", "y_std", "coef", "gap"]]
 
     return spread(grams, SERIES).mapInPandas(run, COEF_SCHEMA)
 
 
 def fit_linear(split: DataFrame, specs: list[dict], columns: list[str] | None = None) -> DataFrame:
-    """(series_id, variation, y_mean, y_std, coef) for any mix of losses; coef[0] is the constant."""
+    """(series_id, variation, y_mean, y_std, coef, gap) for any mix of losses; coef[0] is the constant.
+
+    ``gap`` bounds the mean loss above the least one (see fit_reweighted); solved systems have none.
+    """
     columns = columns or feature_names()
     train = standardised(split, columns).where("is_train")
     closed = [i for i, s in enumerate(specs) if s["loss"] in ("l2", "l1")]
