@@ -66,6 +66,31 @@ def test_exact_growth_equals_trying_all_splits(seed):
         todo += [(tree.left[node], rows[left], level + 1), (tree.right[node], rows[~left], level + 1)]
 
 
+@pytest.mark.parametrize("rows, decimals", [(2, 1), (37, 1), (900, 1), (900, 12)])
+def test_runs_of_rows_give_the_split_of_single_rows(rows, decimals):
+    rng = np.random.default_rng(rows)
+    bins = rng.integers(0, ht.BINS, (rows, 5)).astype(np.uint8)
+    bins[:, 3] = bins[:, 1]  # equal splits: the first feature wins
+    values = np.sort(np.round(rng.standard_t(3, rows) + (bins[:, 1] > 9), decimals))
+    weight = rng.integers(1, 4, rows).astype(float)
+    counts = np.zeros((5, ht.BINS, rows))
+    counts[np.arange(5)[:, None], bins.T, np.arange(rows)] = weight
+    for leaf, split in ((1, 2), (4, 2), (10**6, 2), (1, 10**6)):
+        assert ht.exact_split(bins, values, weight, leaf, split) == ht.absolute_split(counts, counts * values, values, leaf, split)
+
+
+def test_all_target_edges_share_their_passes(spark, sample, monkeypatch):
+    monkeypatch.setattr(ht, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(ht, "HELD_VALUES", 5)
+    x, z = sample
+    frame = rows_frame(spark, x, z)
+    blocks, passes, total_of = ht.blocks_of(frame, ht.bin_edges(frame)), [], ht.total_of
+    monkeypatch.setattr(ht, "total_of", lambda *a: passes.append(1) or total_of(*a))
+    got = ht.MedianForest(FOREST)._target_edges(blocks)
+    wanted = {np.sort(z)[max(int(np.ceil(k / ht.TARGET_BINS * len(z))) - 1, 0)] for k in range(1, ht.TARGET_BINS)}
+    assert set(got) == wanted and len(passes) <= 3
+
+
 @pytest.mark.parametrize("block_rows", [ht.BLOCK_ROWS, 50])
 def test_one_split_forest_equals_brute_force(spark, sample, monkeypatch, block_rows):
     """With 50 rows a block the root and its children are too large for one task."""
