@@ -2,11 +2,12 @@ import itertools
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import by_series, panel_frame, series, stamped_frame
 from pyspark.sql import functions as F
 
-from tidewater.forecast import ar, es, linear, ma, trees, trend
+from tidewater.forecast import ar, es, linear, ma, smoothing_maps, trees, trend
 from tidewater.forecast.rollout import recursive_rollout, roll
 from tidewater.operators.features import feature_names, feature_table
 from tidewater.operators.ranking import best_candidate
@@ -432,3 +433,12 @@ def test_smoothing_of_a_long_series_in_blocks(spark):
         assert whole[v].point == cut[v].point
         np.testing.assert_allclose([whole[v].level, whole[v].slope, whole[v].sse], [cut[v].level, cut[v].slope, cut[v].sse], rtol=1e-7)
         np.testing.assert_allclose(whole[v].season, cut[v].season, rtol=1e-6, atol=1e-8)
+
+
+def test_states_of_whole_grids_stay_in_their_task(dated_split):
+    """A series of one block gives its best point where it was smoothed; wide rows are worked off a few at a time."""
+    train = es.with_period(dated_split, 12).where("is_train")
+    plan = es.fit_smoothing(train, es.VARIATIONS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("FlatMapGroupsInPandas") == 1
+    sizes = [len(part) for part in smoothing_maps.in_slices([pd.DataFrame({"a": range(150)}), pd.DataFrame({"a": [1]})])]
+    assert sizes == [64, 64, 22, 1]
