@@ -30,3 +30,10 @@ def test_tuned_fits_have_few_partitions_and_all_rows(spark, dated_split, seen):
     known = [(n, n // 4) for n in (r["n_train"] for r in dated_split.select("series_id", "n_train").distinct().collect())]
     assert sorted(rows for _, rows in seen) == sorted(sum(n - (3 - fold) * size for n, size in known) for fold in range(3))
     assert max(parts for parts, _ in seen) <= trees.CORE_PARTITIONS * spark.sparkContext.defaultParallelism
+
+
+def test_a_pooled_fit_has_few_partitions_and_all_rows(spark, dated_split, seen):
+    trees.fit_trees(dated_split, "rf", "l2", 3, {"n_estimators": 2, "max_depth": 2})
+    [(parts, rows)] = seen
+    assert rows == dated_split.where("is_train").count()
+    assert parts <= trees.CORE_PARTITIONS * spark.sparkContext.defaultParallelism
