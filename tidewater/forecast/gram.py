@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 # Groups a task holds before it hands their partial sums on; bounds its memory.
 HELD_GROUPS = 2048
+# Rows that groups worked on side by side may fill, missing rows of shorter ones included.
+STACK_ROWS = 32_768
 
 
 def group_positions(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
@@ -25,6 +27,31 @@ def group_positions(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple,
         yield (key if isinstance(key, tuple) else (key,)), where
 
 
+def stacks(starts: np.ndarray, rows: int, limit: int = STACK_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of like size, as many as fit the limit at a time: (numbers of the groups, their rows with one line per group).
+
+    Group i has the rows from starts[i] up to the next start; lines are filled up with the number of rows in all, which
+    should be the place of an empty row.
+    """
+    sizes = np.diff(np.append(starts, rows))
+    order, at = np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        count = 1  # sizes ascend: the last group of a stack is its longest
+        while at + count < len(order) and sizes[order[at + count]] * (count + 1) <= limit:
+            count += 1
+        own, longest = order[at : at + count], sizes[order[at + count - 1]]
+        places = np.arange(longest)
+        yield own, np.where(places < sizes[own, None], starts[own, None] + places, rows)
+        at += count
+
+
+def group_starts(*keys) -> np.ndarray:
+    """Where a new group begins in sorted columns of keys."""
+    changed = np.ones(len(keys[0]), dtype=bool)
+    changed[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in map(np.asarray, keys)])
+    return np.flatnonzero(changed)
+
+
 def summed(partials: DataFrame, keys: list[str], column: str = "gram", peaks: int = 0) -> DataFrame:
     """Element-wise sum of an array column per key, with map-side combine; its last ``peaks`` entries are largest values."""
     vector = array_to_vector(column)
@@ -89,6 +116,14 @@ def solve_sym(a: np.ndarray, b: np.ndarray, rcond: float = 1e-10) -> np.ndarray:
     return (np.linalg.pinv(a / np.outer(d, d), rcond=rcond, hermitian=True) @ (b / d)) / d
 
 
+def solve_many(a: np.ndarray, b: np.ndarray, rcond: float = 1e-10) -> np.ndarray:
+    """:func:`solve_sym` of a stack of systems."""
+    d = np.sqrt(np.clip(np.diagonal(a, axis1=1, axis2=2), 0.0, None))
+    d[d == 0] = 1.0
+    inverse = np.linalg.pinv(a / (d[:, :, None] * d[:, None, :]), rcond=rcond, hermitian=True)
+    return (inverse @ (b / d)[..., None])[..., 0] / d
+
+
 def centred(gram: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(rows, column means, centred cross products) of a gram matrix whose first column is constant."""
     n = gram[0, 0]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.forecast.common import ONE_STEP, forecast_rows, train_scale
-from tidewater.forecast.gram import centred, cross_products, partial_sums, solve_sym, square
+from tidewater.forecast.gram import STACK_ROWS, centred, cross_products, group_starts, partial_sums, solve_many, solve_sym, square, stacks
 from tidewater.operators.features import CALENDAR, feature_names
 from tidewater.operators.positions import SERIES, TS, Y, one_row_per_date
 from tidewater.operators.ranking import best_candidate, mark_chosen
@@ -250,25 +250,110 @@ def smoothing(i: int) -> float:
     return max(0.1 * 0.7**i, 1e-4)
 
 
-def iterate_locally(m: np.ndarray, spec: dict, columns: list[str], std: float) -> tuple[np.ndarray, float]:
-    """Coefficients of the rows of one series, and the proven gap of their mean loss."""
-    use, weight = used_columns(spec, columns), raw_weight(columns, std)
-    coef = ridge(square(cross_products(m), m.shape[1]), use, 0.0, weight)
-    sigma = float(np.std(m[:, -1] - m[:, :-1] @ coef)) or 1.0
-    best, gap = coef, np.inf
+def best_scales(r: np.ndarray, real: np.ndarray, epsilon: float) -> np.ndarray:
+    """:func:`best_scale` of many series, one a line; ``real`` tells rows from filling."""
+    n = real.sum(axis=1)[:, None]
+    size = np.sort(np.where(real, np.abs(r), np.inf), axis=1)
+    inliers = np.arange(1, size.shape[1] + 1)
+    free = n - (n - inliers) * epsilon**2
+    squares = np.cumsum(np.where(inliers <= n, size, 0.0) ** 2, axis=1)
+    scale = np.sqrt(squares / np.where(free > 0, free, np.nan))
+    above = np.append(size[:, 1:], np.full((len(size), 1), np.inf), axis=1)
+    fits = (size <= epsilon * scale) & (above > epsilon * scale) & (inliers <= n)
+    first = np.argmax(fits, axis=1)[:, None]
+    return np.where(fits.any(axis=1), np.take_along_axis(scale, first, 1)[:, 0], 0.0)
+
+
+def _bounded(x, y, real, n, coef, sigma, w, old_sigma, spec: dict, keep: list[int], pull_weight) -> np.ndarray:
+    """:func:`proven_gap` of many series from their rows; ``w`` are the weights that led to ``coef``."""
+    r = y - (x @ coef[..., None])[..., 0]
+    penalty, expected = np.zeros(len(y)), np.zeros((len(y), len(keep)))
+    if spec["loss"] == "huber":
+        eps = spec["epsilon"]
+        a, z = 2 * w * r / old_sigma[:, None], np.abs(r) / sigma[:, None]
+        excess = np.abs(a) / (2 * eps)
+        each = sigma[:, None] + sigma[:, None] * np.where(z <= eps, z**2, 2 * eps * z - eps**2)
+        loss, flat = np.sum(np.where(real, each, 0.0), axis=1), 2 * eps * np.sum(np.abs(r), axis=1)
+        pull = pull_weight * coef[:, keep[1:]]
+        penalty, expected[:, 1:] = np.sum(pull * coef[:, keep[1:]], axis=1), 2 * pull
+    else:
+        q = spec["quantile"]
+        a = np.where(real, (r * w + 2 * q - 1) / 2, 0.0)
+        excess = np.maximum(a / q, a / (q - 1))
+        loss = flat = np.sum(np.maximum(q * r, (q - 1) * r), axis=1)
+    excess = np.max(excess, axis=1, initial=0.0)
+    if spec["loss"] == "huber":
+        excess = np.maximum(excess, np.sqrt(np.sum(a * a, axis=1) / (4 * n)))
+    loss = np.minimum(loss, flat) + penalty
+    balance = np.max(np.abs((x.transpose(0, 2, 1) @ a[..., None])[..., 0][:, keep] - expected), axis=1)
+    inside = (excess > 0) & (balance <= 1e-8 * n)
+    excess = np.where(inside, excess, 1.0)
+    least = np.where(inside, np.maximum(np.sum(a * y, axis=1) / excess - penalty / excess**2, 0.0), 0.0)
+    return np.where(np.isfinite(loss), np.maximum(loss - least, 0.0) / n, np.inf)
+
+
+def iterate_side_by_side(m: np.ndarray, real: np.ndarray, spec: dict, columns: list[str], stds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of the rows of many series (a stack of matrices, filled up with zeros where ``real`` is not set),
+    and the proven gaps of their mean losses. Every pass takes the series that have not converged."""
+    use, k = used_columns(spec, columns), m.shape[2] - 1
+    keep, diagonal = [0, *[u + 1 for u in use]], np.arange(1, len(use) + 1)
+    weight = np.stack([raw_weight(columns, s) for s in stds])
+    coef = np.stack([ridge(square(cross_products(x[on]), k + 1), use, 0.0, w) for x, on, w in zip(m, real, weight)])
+    sigma = np.array([float(np.std((x[:, -1] - x[:, :-1] @ c)[on])) or 1.0 for x, on, c in zip(m, real, coef)])
+    best, gaps = coef.copy(), np.full(len(m), np.inf)
+    at, n, totals = np.arange(len(m)), real.sum(axis=1), m[..., :-1].sum(axis=1)
+    pull_weight = HUBER_RIDGE / stds[:, None] * weight[:, use] ** 2
     for i in range(MAX_PASSES):
-        before = coef, sigma, smoothing(i)
-        coef, _ = reweighted_step(weighted_sums(m, *before, spec), spec, use, weight, std, coef, sigma)
+        x, y, before, old_sigma = m[..., :-1], m[..., -1], coef, sigma
+        size = np.abs(y - (x @ coef[..., None])[..., 0])
+        if spec["loss"] == "huber":
+            edge = spec["epsilon"] * sigma[:, None]
+            w = np.where(size <= edge, 1.0, edge / np.maximum(size, 1e-300))
+        else:
+            w = 1.0 / (size + smoothing(i))
+        gram = (m * w[..., None]).transpose(0, 2, 1) @ m
+        a, b = gram[:, keep][:, :, keep], gram[:, keep, k]
+        if spec["loss"] == "huber":
+            a[:, diagonal, diagonal] += pull_weight * sigma[:, None]
+        else:
+            b = b + (2 * spec["quantile"] - 1) * totals[:, keep]
+        coef = np.zeros(coef.shape)
+        coef[:, keep] = solve_many(a, b)
         if spec["loss"] == "huber":
-            sigma = max(best_scale(m[:, -1] - m[:, :-1] @ coef, spec["epsilon"]), smoothing(i))
-        now = proven_gap(*dual_sums(m, coef, sigma, before, spec), len(m), coef, spec, use, weight, std)
-        if now <= max(gap, TOLERANCE):  # once proven, the last one counts
-            best, gap = coef, now
+            sigma = np.maximum(best_scales(y - (x @ coef[..., None])[..., 0], real, spec["epsilon"]), smoothing(i))
+        now = _bounded(x, y, real, n, coef, sigma, w, old_sigma, spec, keep, pull_weight)
+        proven = now <= np.maximum(gaps[at], TOLERANCE)  # once proven, the last one counts
+        best[at[proven]], gaps[at[proven]] = coef[proven], now[proven]
         # Looked at as often as where it takes a job, so that both stop at the same coefficients.
-        settled = i + 1 >= ENOUGH_PASSES or np.max(np.abs(coef - before[0])) < SETTLED
-        if i % 5 == 4 and gap <= TOLERANCE and settled:
-            break
-    return best, gap
+        if i % 5 == 4:
+            moved = np.max(np.abs(coef - before), axis=1)
+            goes_on = (gaps[at] > TOLERANCE) | (~(moved < SETTLED) & (i + 1 < ENOUGH_PASSES))
+            if not goes_on.any():
+                break
+            if not goes_on.all():
+                m, real, coef, sigma, n, totals, pull_weight, at = (v[goes_on] for v in (m, real, coef, sigma, n, totals, pull_weight, at))
+    return best, gaps
+
+
+def iterate_locally(m: np.ndarray, spec: dict, columns: list[str], std: float) -> tuple[np.ndarray, float]:
+    """Coefficients of the rows of one series, and the proven gap of their mean loss."""
+    coefs, gaps = iterate_side_by_side(m[None], np.ones((1, len(m)), dtype=bool), spec, columns, np.array([std]))
+    return coefs[0], float(gaps[0])
+
+
+def whole_series(batches, rows: int = STACK_ROWS):
+    """Batches of rows sorted by series, cut anew so that none ends inside a series."""
+    held, n = [], 0
+    for pdf in batches:
+        held, n = [*held, pdf], n + len(pdf)
+        if n >= rows:
+            joined = pd.concat(held, ignore_index=True)
+            last = int(group_starts(joined[SERIES])[-1])
+            if last:
+                yield joined.iloc[:last]
+            held, n = [joined.iloc[last:]], len(joined) - last
+    if n:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _in_fit(pdf: pd.DataFrame, spec: dict) -> np.ndarray:
@@ -288,16 +373,21 @@ def fit_reweighted(train: DataFrame, specs: list[dict], columns: list[str]) -> D
     specs = [with_defaults(s) for s in specs]
     if one_row_per_date(train):
 
-        def whole_series(pdf):
-            m, std = matrix(pdf), float(pdf["y_std"].iloc[0])
-            out = []
-            for i, s in enumerate(specs):
-                if len(part := m[_in_fit(pdf, s)]) > 1:
-                    coef, gap = iterate_locally(part, s, columns, std)
-                    out.append((pdf[SERIES].iloc[0], i, pdf["y_mean"].iloc[0], std, coef.tolist(), gap))
-            return pd.DataFrame(out, columns=[SERIES, "variation", "y_mean", "y_std", "coef", "gap"])
-
-        return spread(train, SERIES).groupBy(SERIES).applyInPandas(whole_series, COEF_SCHEMA)
+        def run(batches):
+            for pdf in whole_series(batches):
+                m, keys, stds = matrix(pdf), pdf[[SERIES, "y_mean", "y_std"]].to_numpy(), pdf["y_std"].to_numpy(dtype=float)
+                for i, s in enumerate(specs):
+                    fitted = np.flatnonzero(_in_fit(pdf, s))
+                    starts, held = group_starts(keys[fitted, 0]), np.append(m[fitted], np.zeros((1, m.shape[1])), axis=0)
+                    for own, places in stacks(starts, len(fitted)):
+                        real, first = places < len(fitted), fitted[starts[own]]
+                        some = real.sum(axis=1) > 1
+                        if some.any():
+                            coefs, gaps = iterate_side_by_side(held[places[some]], real[some], s, columns, stds[first[some]])
+                            out = pd.DataFrame(keys[first[some]], columns=[SERIES, "y_mean", "y_std"])
+                            yield out.assign(variation=i, coef=coefs.tolist(), gap=gaps)[[SERIES, "variation", "y_mean", "y_std", "coef", "gap"]]
+
+        return spread(train, SERIES).sortWithinPartitions(SERIES).mapInPandas(run, COEF_SCHEMA)
     return _fit_by_passes(train, specs, columns)
 
 
