@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import panel_frame, series
 
-from tidewater.forecast import gram, linear
+from tidewater.forecast import ar, gram, linear
 from tidewater.operators.features import feature_names, feature_table
 from tidewater.operators.splits import chrono_split
 
@@ -41,3 +41,40 @@ def test_reweighted_fits_of_a_task_share_their_passes(spark, loss):
     real = np.arange(longest) < train.groupby("series_id").size().to_numpy()[:, None]
     coefs, gaps = many(np.stack(stacked), real, spec, feature_names(), train.groupby("series_id")["y_std"].first().to_numpy())
     assert np.allclose(gaps, [fits[s]["gap"] for s in sorted(fits)], atol=1e-4) and coefs.shape == (12, len(feature_names()) + 1)
+
+
+def test_scales_of_many_series_are_those_of_each():
+    rng = np.random.default_rng(5)
+    sizes = [2, 9, 30]
+    r, real = np.zeros((3, 30)), np.arange(30) < np.array(sizes)[:, None]
+    for line, n in zip(r, sizes):
+        line[:n] = rng.standard_t(2, n)
+    assert np.allclose(linear.best_scales(r, real, 1.35), [linear.best_scale(line[:n], 1.35) for line, n in zip(r, sizes)])
+
+
+def test_orders_of_many_series_are_solved_at_once():
+    rng, spec = np.random.default_rng(6), ar.order(2, 1, q=1)
+    x = rng.normal(size=(60, 5))
+    x[7, 2] = np.nan
+    starts = np.array([0, 3, 33])  # the first has too few rows for its three terms and gets no fit
+    grams = gram.cross_products_of(x, list(gram.stacks(starts, len(x))), 3)
+    for line, rows in zip(grams, np.split(x, starts[1:])):
+        assert np.allclose(line, gram.cross_products(rows))
+    fitted, intercept, coef, theta = ar.solve(grams.reshape(3, 5, 5), spec, 1)
+    assert fitted.tolist() == [1, 2] and not intercept.any()
+    for rows, own, late in zip((x[3:33], x[33:]), coef, theta):
+        rows = rows[~np.isnan(rows).any(axis=1)]
+        phi = np.linalg.lstsq(rows[:, 1:4], rows[:, 4], rcond=None)[0]
+        assert np.allclose(own, [1 + phi[0], phi[1] - phi[0], -phi[1]]) and np.allclose(late, phi[2:])
+
+
+def test_sums_of_a_batch_are_those_of_its_groups(spark):
+    rows = [(f"g{i % 7}", float(i), float(i * i % 11)) for i in range(90)]
+    frame = spark.createDataFrame(rows, "k string, a double, b double").repartition(3)
+    alone = gram.partial_sums(frame, ["k"], lambda pdf: gram.cross_products(pdf[["a", "b"]].to_numpy()))
+
+    def payload(pdf, starts):
+        return gram.cross_products_of(pdf[["a", "b"]].to_numpy(), list(gram.stacks(starts, len(pdf))), len(starts))
+
+    together = gram.stacked_sums(frame, ["k"], payload)
+    assert {r["k"]: r["gram"] for r in together.collect()} == {r["k"]: r["gram"] for r in alone.collect()}

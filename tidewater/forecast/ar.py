@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.forecast.common import forecast_rows, test_rows, train_scale
-from tidewater.forecast.gram import centred, cross_products, partial_sums, solve_sym, square
+from tidewater.forecast.gram import cross_products_of, solve_many, stacked_sums, stacks
 from tidewater.forecast.rollout import recursive_rollout
 from tidewater.operators.positions import SERIES, TS, Y, over_neighbours
 from tidewater.operators.ranking import best_candidate, mark_chosen
@@ -40,18 +40,18 @@ PLAIN = [order(1, 0), order(1, 1), order(2, 1)]
 SEASONAL = [order(1, 1, 0, 1), order(1, 1, 1, 1), order(2, 1, 0, 1)]
 
 
-def polynomial(spec: dict, period: int, phi: np.ndarray, seasonal_phi: np.ndarray) -> np.ndarray:
-    """Coefficients of y_(t-1), y_(t-2), ... in the recursion of a fitted order."""
-    poly = np.zeros(1 + max(spec["p"], spec["P"] * period))
-    poly[0] = 1.0
-    poly[1 : 1 + spec["p"]] -= phi
+def polynomials(spec: dict, period: int, phi: np.ndarray, seasonal_phi: np.ndarray) -> np.ndarray:
+    """Coefficients of y_(t-1), y_(t-2), ... in the recursions of a fitted order, one a line."""
+    poly = np.zeros((len(phi), 1 + max(spec["p"], spec["P"] * period)))
+    poly[:, 0] = 1.0
+    poly[:, 1 : 1 + spec["p"]] -= phi
     if spec["P"]:
-        poly[period] -= seasonal_phi[0]
-    for _ in range(spec["d"]):
-        poly = np.convolve(poly, [1.0, -1.0])
-    for _ in range(spec["D"]):
-        poly = np.convolve(poly, np.concatenate([[1.0], np.zeros(period - 1), [-1.0]]))
-    return -poly[1:]
+        poly[:, period] -= seasonal_phi[:, 0]
+    for lag in [1] * spec["d"] + [period] * spec["D"]:
+        longer = np.pad(poly, ((0, 0), (0, lag)))
+        longer[:, lag:] -= poly
+        poly = longer
+    return -poly[:, 1:]
 
 
 def reach(spec: dict, period: int) -> int:
@@ -88,28 +88,28 @@ def design(values: dict[int, np.ndarray], spec: dict, period: int) -> np.ndarray
     return np.column_stack([np.ones(len(columns[0])), *columns])
 
 
-def solve(gram: np.ndarray, spec: dict, period: int) -> tuple | None:
-    """(intercept, recursion coefficients), and the weights of the residuals 1, 2, ... rows back for orders that
-    have any; a constant is fitted only where nothing is differenced."""
+def solve(grams: np.ndarray, spec: dict, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The fits of many series that have enough rows: (their numbers, intercepts, recursion coefficients, weights of the
+    residuals 1, 2, ... rows back); a constant is fitted only where nothing is differenced."""
     n_ar, n_ma = spec["p"] + spec["P"], spec["q"] + spec["Q"]
     k = n_ar + n_ma
-    if gram[0, 0] < k + 1:
-        return None
+    fitted = np.flatnonzero(grams[:, 0, 0] >= k + 1)
+    grams = grams[fitted]
+    coef, intercept = np.zeros((len(fitted), k)), np.zeros(len(fitted))
     if spec["d"] + spec["D"] == 0:
-        _, means, c = centred(gram)
-        coef = solve_sym(c[:k, :k], c[:k, k]) if k else np.zeros(0)
-        intercept = float(means[k] - coef @ means[:k])
-    else:
-        coef = solve_sym(gram[1 : k + 1, 1 : k + 1], gram[1 : k + 1, k + 1]) if k else np.zeros(0)
-        intercept = 0.0
-    recursion = polynomial(spec, period, coef[: spec["p"]], coef[spec["p"] : n_ar])
-    if not n_ma:
-        return intercept, recursion
-    theta = np.zeros(max(spec["q"], spec["Q"] * period))
-    theta[: spec["q"]] = coef[n_ar : n_ar + spec["q"]]
+        n = grams[:, 0, :1]
+        means = grams[:, 0, 1:] / n
+        c = grams[:, 1:, 1:] - n[..., None] * (means[:, :, None] * means[:, None, :])
+        if k and len(fitted):
+            coef = solve_many(c[:, :k, :k], c[:, :k, k])
+        intercept = means[:, k] - np.sum(coef * means[:, :k], axis=1)
+    elif k and len(fitted):
+        coef = solve_many(grams[:, 1 : k + 1, 1 : k + 1], grams[:, 1 : k + 1, k + 1])
+    theta = np.zeros((len(fitted), max(spec["q"], spec["Q"] * period)))
+    theta[:, : spec["q"]] = coef[:, n_ar : n_ar + spec["q"]]
     if spec["Q"]:
-        theta[period - 1] += coef[-1]
-    return intercept, recursion, theta
+        theta[:, period - 1] += coef[:, -1]
+    return fitted, intercept, polynomials(spec, period, coef[:, : spec["p"]], coef[:, spec["p"] : n_ar]), theta
 
 
 def with_period(split: DataFrame, period: int | None) -> DataFrame:
@@ -202,9 +202,10 @@ def ar_grams(rows: DataFrame, specs: list[dict], known: list[dict] | None = None
     """
     known = known or specs
 
-    def payload(pdf):
-        period = int(pdf["period"].iloc[0])
-        values = _values(pdf["lags"], _lags_of(known, period))
+    widths = gram_widths(specs)
+
+    def of_period(pdf, starts, period):
+        values, lines = _values(pdf["lags"], _lags_of(known, period)), list(stacks(starts, len(pdf)))
         out, errors = [], {}
         if families:
             shifts = error_shifts(specs, period)
@@ -212,10 +213,26 @@ def ar_grams(rows: DataFrame, specs: list[dict], known: list[dict] | None = None
             errors = {f: dict(zip(shifts, stacked[i])) for i, f in enumerate(families)}
         for s in specs:
             x = design(values, s, period)
-            out.append(cross_products(with_errors(x, errors[s["d"], s["D"]], s, period) if s["q"] or s["Q"] else x))
-        return np.concatenate(out)
+            x = with_errors(x, errors[s["d"], s["D"]], s, period) if s["q"] or s["Q"] else x
+            out.append(cross_products_of(x, lines, len(starts)))
+        return np.concatenate(out, axis=1)
+
+    def payload(pdf, starts):
+        sizes, periods = np.diff(np.append(starts, len(pdf))), pdf["period"].to_numpy()
+        out = np.empty((len(starts), sum(w * w for w in widths)))
+        for period in np.unique(periods):
+            own = np.flatnonzero(periods[starts] == period)
+            out[own] = of_period(pdf[periods == period], np.cumsum(sizes[own]) - sizes[own], int(period))
+        return out
 
-    return partial_sums(rows.select(*KEYS, "lags", *(["errors"] if families else [])), KEYS, payload)
+    return stacked_sums(rows.select(*KEYS, "lags", *(["errors"] if families else [])), KEYS, payload)
+
+
+def grams_by_period(pdf: pd.DataFrame, widths: list[int]):
+    """(period, rows of the batch that have it, the cross products of every order as a stack)."""
+    for period, own in pdf.groupby("period"):
+        flat, ends = np.array(own["gram"].tolist(), dtype=float), np.cumsum([w * w for w in widths])
+        yield int(period), own, [g.reshape(len(own), w, w) for g, w in zip(np.split(flat, ends[:-1], axis=1), widths)]
 
 
 def residual_filters(grams: DataFrame, tries: dict[tuple, list[dict]], known: list[dict]) -> DataFrame:
@@ -226,19 +243,19 @@ def residual_filters(grams: DataFrame, tries: dict[tuple, list[dict]], known: li
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                lags = _lags_of(known, row.period)
-                solved = [(s, g, solve(g, s, row.period)) for s, g in zip(flat, _split_grams(row.gram, widths))]
-                filters = []
-                for family in tries:
-                    fit = next(
-                        (fit for s, g, fit in solved if (s["d"], s["D"]) == family and fit and g[0, 0] >= LONG_ROWS * (s["p"] + s["P"] + 1)), None
-                    )
-                    weights = dict(enumerate(-fit[1], start=1)) if fit else {}
-                    filters.append([1.0, *[weights.get(k, 0.0) for k in lags[1:]], fit[0]] if fit else None)
-                out.append((row.series_id, filters))
-            yield pd.DataFrame(out, columns=[SERIES, "filters"])
+            for period, own, stacked in grams_by_period(pdf, widths):
+                lags, filters = _lags_of(known, period), [[None] * len(tries) for _ in range(len(own))]
+                places = {family: i for i, family in enumerate(tries)}
+                for s, g in zip(flat, stacked):
+                    fitted, constant, recursion, _ = solve(g, s, period)
+                    # lags that this autoregression doesn't use weigh nothing
+                    used = [np.zeros(len(fitted)) if k > recursion.shape[1] else -recursion[:, k - 1] for k in lags[1:]]
+                    weights = np.column_stack([np.ones(len(fitted)), *used, constant])
+                    for at, line in zip(fitted, weights.tolist()):
+                        family = places[s["d"], s["D"]]
+                        if filters[at][family] is None and g[at, 0, 0] >= LONG_ROWS * (s["p"] + s["P"] + 1):
+                            filters[at][family] = line
+                yield pd.DataFrame({SERIES: own[SERIES].to_numpy(), "filters": filters})
 
     return spread(grams, SERIES).mapInPandas(run, f"{SERIES} string, filters array<array<double>>")
 
@@ -279,13 +296,6 @@ def last_values(rows: DataFrame, depth: int, upto: str, column: str = Y, name: s
     return tail.groupBy(SERIES).agg(F.transform(newest, lambda s: s[column]).alias(name))
 
 
-def _split_grams(flat, widths):
-    flat, at = np.asarray(flat, dtype=float), 0
-    for w in widths:
-        yield square(flat[at : at + w * w], w)
-        at += w * w
-
-
 def fit_ar(split: DataFrame, specs: list[dict], period: int | None = None, long: tuple = LONG_LAGS) -> DataFrame:
     """(series_id, variation, intercept, coef, state, theta, shocks) of every order that the series is long enough for.
 
@@ -309,21 +319,24 @@ def fit_ar(split: DataFrame, specs: list[dict], period: int | None = None, long:
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                for i, (g, s) in enumerate(zip(_split_grams(row.gram, widths), specs)):
-                    fit = solve(g, s, row.period) if len(row.state) >= reach(s, row.period) else None
-                    if fit is None:
+            for period, own, stacked in grams_by_period(pdf, widths):
+                series, means, stds, states = (own[c].to_numpy() for c in (SERIES, "y_mean", "y_std", "state"))
+                known_values = np.array([len(x) for x in states])
+                shocks = [s * np.nan_to_num(np.array([list(e) for e in x], dtype=float)) for s, x in zip(stds, own["shocks"])] if families else []
+                for i, (g, s) in enumerate(zip(stacked, specs)):
+                    fitted, intercept, coef, theta = solve(g, s, period)
+                    enough = known_values[fitted] >= reach(s, period)
+                    fitted, intercept, coef, theta = (x[enough] for x in (fitted, intercept, coef, theta))
+                    if not len(fitted):
                         continue
-                    intercept, coef, *theta = fit
                     if s["d"] + s["D"] == 0:
-                        intercept = row.y_std * intercept + row.y_mean * (1.0 - coef.sum())
-                    shocks = []
-                    if theta:
+                        intercept = stds[fitted] * intercept + means[fitted] * (1.0 - coef.sum(axis=1))
+                    late = [[]] * len(fitted)
+                    if theta.shape[1]:
                         at = families.index((s["d"], s["D"]))
-                        shocks = [row.y_std * (0.0 if e[at] is None or np.isnan(e[at]) else e[at]) for e in row.shocks[: len(theta[0])]]
-                    out.append((row.series_id, i, intercept, coef.tolist(), list(row.state), theta[0].tolist() if theta else [], shocks))
-            yield pd.DataFrame(out, columns=[SERIES, "variation", "intercept", "coef", "state", "theta", "shocks"])
+                        late = [shocks[j][: theta.shape[1], at].tolist() for j in fitted]
+                    made = {"coef": coef.tolist(), "state": list(states[fitted]), "theta": theta.tolist(), "shocks": late}
+                    yield pd.DataFrame({SERIES: series[fitted], "variation": i, "intercept": intercept, **made})
 
     schema = f"{SERIES} string, variation int, intercept double, coef array<double>, state array<double>, theta array<double>, shocks array<double>"
     return spread(grams, SERIES).mapInPandas(run, schema)

@@ -93,6 +93,25 @@ def partial_sums(
     return summed(rows.mapInPandas(run, schema), keys, peaks=peaks)
 
 
+def stacked_sums(rows: DataFrame, keys: list[str], payload: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
+    """:func:`partial_sums` for a payload that takes all groups of a batch at once: (rows in the order of their groups,
+    where each group starts) -> one line of sums per group."""
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("gram", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            codes = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+            order = np.argsort(codes, kind="stable")
+            order = order[codes[order] >= 0]
+            if len(order):
+                grouped, starts = pdf.iloc[order], group_starts(codes[order])
+                out = grouped[keys].iloc[starts].reset_index(drop=True)
+                out["gram"] = list(payload(grouped, starts))
+                yield out
+
+    return summed(rows.mapInPandas(run, schema), keys)
+
+
 def held_frame(held: dict[tuple, np.ndarray], keys: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(list(held), columns=keys)
     out["gram"] = [v.tolist() for v in held.values()]
@@ -105,6 +124,16 @@ def cross_products(x: np.ndarray) -> np.ndarray:
     return (x.T @ x).ravel()
 
 
+def cross_products_of(x: np.ndarray, lines: list[tuple[np.ndarray, np.ndarray]], groups: int) -> np.ndarray:
+    """:func:`cross_products` of every group, one a line, for groups laid out by :func:`stacks`."""
+    x = np.where(np.isnan(x).any(axis=1)[:, None], 0.0, x)
+    x, out = np.append(x, np.zeros((1, x.shape[1])), axis=0), np.empty((groups, x.shape[1] ** 2))
+    for own, places in lines:
+        part = x[places]
+        out[own] = (part.transpose(0, 2, 1) @ part).reshape(len(own), -1)
+    return out
+
+
 def square(flat, width: int) -> np.ndarray:
     return np.asarray(flat, dtype=float).reshape(width, width)
 
