@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from conftest import panel_frame, series
@@ -107,3 +109,18 @@ def test_task_grid_order(split):
     rows = tasks.orderBy("run", "model_order", "variation").collect()
     assert [(x.run, x.model_key, x.variation) for x in rows[:4]] == [(1, "lr", 0), (1, "lr", 1), (1, "lr", 2), (1, "ma", 0)]
     assert len(rows) == 12
+
+
+def test_tree_variations_are_fitted_at_once(split, monkeypatch):
+    meet = threading.Barrier(3, timeout=30)
+
+    def fit(split, model_key, spec, variation):
+        meet.wait()  # broken unless all three are there
+        if variation == 1:
+            raise ValueError("no such loss")
+        return sweep.failed_fit(split, model_key, variation, "none")
+
+    monkeypatch.setattr(sweep.trees, "forecast_trees", fit)
+    made = sweep.run_forecaster(split, "rf")
+    errors = {(r["variation"], r["error"]) for r in made.select("variation", "error").distinct().collect()}
+    assert errors == {(0, "none"), (1, "no such loss"), (2, "none")}
