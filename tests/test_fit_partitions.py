@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidewater.forecast import trees
+from tidewater.forecast import histogram_trees, trees
 
 
 class Spy:
@@ -17,8 +17,9 @@ class Spy:
 @pytest.fixture
 def seen(spark, monkeypatch):
     """(partitions, rows) of every fit, with many more shuffle partitions than cores."""
-    out, forest = [], trees.BUILDERS["rf"]
-    monkeypatch.setitem(trees.BUILDERS, "rf", lambda *a: Spy(forest(*a), out))
+    out = []
+    for key, made in list(trees.BUILDERS.items()):
+        monkeypatch.setitem(trees.BUILDERS, key, lambda *a, made=made: Spy(made(*a), out))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     yield out
@@ -37,3 +38,13 @@ def test_a_pooled_fit_has_few_partitions_and_all_rows(spark, dated_split, seen):
     [(parts, rows)] = seen
     assert rows == dated_split.where("is_train").count()
     assert parts <= trees.CORE_PARTITIONS * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("loss", ["huber", "quantile"])
+def test_boosting_has_few_blocks(spark, dated_split, seen, monkeypatch, loss):
+    blocks, write = [], histogram_trees.blocks_of
+    monkeypatch.setattr(histogram_trees, "blocks_of", lambda *a: blocks.append(write(*a)) or blocks[-1])
+    trees.fit_trees(dated_split, "xgb", loss, 7, {"n_estimators": 2})
+    [(parts, rows)], [made] = seen, blocks
+    assert rows == dated_split.where("is_train").count() == sum(r["n"] for r in made.frame.collect())
+    assert made.count <= parts <= trees.CORE_PARTITIONS * spark.sparkContext.defaultParallelism
