@@ -204,3 +204,54 @@ def test_default_variations_all_fit(spark):
     for rows in (got[got.variation == 1], third):
         for _, g in rows.groupby("series_id"):
             assert np.abs(g.y - g.yhat).mean() < 0.1 * np.abs(g.y).mean()
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_quantile_tree_takes_two_jobs_for_all_its_leaves(spark, sample, monkeypatch):
+    monkeypatch.setattr(ht, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(ht, "HELD_VALUES", 20)
+    frame = rows_frame(spark, *sample).persist()
+    fits = [jobs_of(spark, f"fit-{n}", lambda: ht.Booster({**PARAMS, "n_estimators": n}, "quantile").fit(frame)) for n in (2, 6)]
+    assert fits[1] - fits[0] <= 4 * (PARAMS["max_depth"] + 2)
+    frame.unpersist()
+
+
+@pytest.mark.parametrize("held", [2, 4096])
+def test_first_bins_change_no_quantile(spark, sample, monkeypatch, held):
+    """Whatever the bins were learned from: the same values, others, or values that are all equal."""
+    monkeypatch.setattr(ht, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(ht, "HELD_VALUES", held)
+    x, z = sample
+    frame = rows_frame(spark, x, np.round(z, 1))
+    blocks = ht.blocks_of(frame, ht.bin_edges(frame))
+    value_of = lambda row: (ht.bins_of(row)[:, 1].astype(np.int64) % 3, np.frombuffer(row.z))
+    wanted = ht.leaf_ranks(blocks, value_of, [0.1, 0.5, 0.99])
+    for known in (np.sort(z), np.sort(z) + 3, np.sort(z) * 1e-3, np.zeros(9)):
+        first = ht.FirstBins(32)
+        first.leaves = 3
+        first.learn(known, np.arange(len(known)))
+        for _ in range(2):
+            assert ht.leaf_ranks(blocks, value_of, [0.1, 0.5, 0.99], first) == wanted
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 7])
+def test_trees_find_leaves_split_by_split_as_row_by_row(monkeypatch, depth):
+    rng, tree, leaves = np.random.default_rng(depth), ht.Tree(), [0]
+    for _ in range(depth):
+        leaves = [child for x in leaves for child in tree.split(x, rng.integers(0, 4), rng.integers(0, 9))]
+    tree.value = [float(v) for v in rng.normal(size=len(tree.value))]
+    bins = rng.integers(0, 10, (300, 4)).astype(np.uint8)
+    got = []
+    for few in (0, 1000):
+        monkeypatch.setattr(ht, "FEW_NODES", few)
+        got.append((tree.leaves_of(bins), tree.predict(bins)))
+    for a, b in zip(*got):
+        assert a.dtype == b.dtype and (a == b).all()

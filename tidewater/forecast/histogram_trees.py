@@ -29,6 +29,10 @@ BINS, TARGET_BINS = 32, 64
 BLOCK_ROWS = 65_536
 # Rounds between two writings of the scores, and values that the search for a quantile may hand to the driver.
 WRITE_ROUNDS, HELD_VALUES = 10, 4096
+# Nodes of a tree that is evaluated split by split over all rows, without looking at which rows get there.
+FEW_NODES = 64
+# Bins of the values that a search for quantiles begins with, if it is told where they lie, and of all leaves together.
+FIRST_BINS, FIRST_SUMS = 2048, 1 << 18
 # Numbers in all partial sums of a pass that the driver adds up itself.
 DIRECT_SUMS = 1 << 22
 # Rows of a table that the driver may hold: those of one block.
@@ -53,6 +57,8 @@ class Tree:
         return n, n + 1
 
     def leaves_of(self, bins: np.ndarray) -> np.ndarray:
+        if len(self.feature) <= FEW_NODES:
+            return self._chosen(bins, range(len(self.feature)), np.int64)
         feature, cut, left, right = (np.array(getattr(self, k)) for k in ("feature", "cut", "left", "right"))
         node = np.zeros(len(bins), np.int64)
         while True:
@@ -64,8 +70,18 @@ class Tree:
             node[inner] = np.where(goes_left, left[at], right[at])
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
+        if len(self.feature) <= FEW_NODES:
+            return self._chosen(bins, self.value, float)
         return np.array(self.value)[self.leaves_of(bins)]
 
+    def _chosen(self, bins: np.ndarray, items, kind) -> np.ndarray:
+        """The item of every row's leaf: both sides of a split for all rows, children before their parents."""
+        found = list(items)
+        for node in range(len(found) - 1, -1, -1):
+            if self.feature[node] >= 0:
+                found[node] = np.where(bins[:, self.feature[node]] <= self.cut[node], found[self.left[node]], found[self.right[node]])
+        return np.full(len(bins), found[0], kind) if self.feature[0] < 0 else found[0]
+
 
 def bin_edges(rows: DataFrame, bins: int = BINS) -> list[np.ndarray]:
     """Upper edges of the bins of every feature, from approximate quantiles of all rows."""
@@ -91,7 +107,7 @@ def blocks_of(rows: DataFrame, edges: list[np.ndarray]) -> Blocks:
 
         def block():
             bins, z = (np.concatenate(x) for x in zip(*held))
-            return pd.DataFrame({"block": [number], "n": [len(z)], "bins": [bins.tobytes()], "z": [z.tobytes()], "score": [np.zeros(len(z)).tobytes()]})
+            return pd.DataFrame({"block": [number], "n": [len(z)], "bins": [bins.T.tobytes()], "z": [z.tobytes()], "score": [np.zeros(len(z)).tobytes()]})
 
         for pdf in batches:
             if not len(pdf):
@@ -106,13 +122,18 @@ def blocks_of(rows: DataFrame, edges: list[np.ndarray]) -> Blocks:
 
     arrays = rows.where("z is not null").select(vector_to_array("vector").alias("x"), "z")
     written = cut_lineage(arrays.mapInPandas(run, "block long, n long, bins binary, z binary, score binary"))
-    count, total = written.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return Blocks(written, count, list(written.toPandas().itertuples(index=False)) if total <= LOCAL_ROWS else None)
+    count, total, parts = written.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct(F.shiftright("block", 32))).first()
+    return Blocks(written, count, list(written.toPandas().itertuples(index=False)) if total <= LOCAL_ROWS else None, parts)
+
+
+def bins_of(row) -> np.ndarray:
+    """Bins of a block, a line per row; the block holds them feature by feature."""
+    return np.frombuffer(row.bins, np.uint8).reshape(-1, row.n).T
 
 
 def opened(row, trees: list[Tree], rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins, target and score of a block, the score with the trees since it was written."""
-    bins = np.frombuffer(row.bins, np.uint8).reshape(row.n, -1)
+    bins = bins_of(row)
     score = np.frombuffer(row.score).copy()
     for tree in trees:
         score += rate * tree.predict(bins)
@@ -120,18 +141,20 @@ def opened(row, trees: list[Tree], rate: float) -> tuple[np.ndarray, np.ndarray,
 
 
 class Blocks(NamedTuple):
-    """A table of blocks, how many there are, and the rows of a table of at most ``LOCAL_ROWS`` values."""
+    """A table of blocks, how many there are, the rows of a table of at most ``LOCAL_ROWS`` values, and how many
+    partitions the blocks were written from."""
 
     frame: DataFrame
     count: int
     rows: list | None
+    parts: int = 1
 
 
 def total_of(blocks: Blocks, add, size: int) -> np.ndarray:
     """Sum of ``add(block row)`` (flat arrays of this size) over all blocks.
 
-    A task gives one partial sum. There are at most as many as blocks: if that many fit the driver they are added
-    up there, which spares a shuffle; otherwise Spark adds them up. A table of one block's size is summed without a job.
+    A task gives one partial sum. A written partition is read by one task or together with others: if as many sums
+    as there are partitions fit the driver they are added up there, which spares a shuffle; otherwise Spark adds them up. A table of one block's size is summed without a job.
     """
     if blocks.rows is not None:
         return sum((add(row) for row in blocks.rows), np.zeros(size))
@@ -143,11 +166,12 @@ def total_of(blocks: Blocks, add, size: int) -> np.ndarray:
                 part = add(row)
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"gram": [total.tolist()]})
+            yield pd.DataFrame({"gram": [total.astype(float).tobytes() if direct else total.tolist()]})
 
-    partial = blocks.frame.mapInPandas(run, "gram array<double>")
-    if blocks.count * size <= DIRECT_SUMS:
-        return sum((np.array(r[0], dtype=float) for r in partial.collect()), np.zeros(size))
+    direct = blocks.parts * size <= DIRECT_SUMS
+    partial = blocks.frame.mapInPandas(run, "gram binary" if direct else "gram array<double>")
+    if direct:
+        return sum((np.frombuffer(r[0]) for r in partial.collect()), np.zeros(size))
     return np.array(summed(partial, []).first()[0], dtype=float)
 
 
@@ -156,34 +180,27 @@ def leaf_quantiles(blocks: Blocks, value_of, share: float) -> dict[int, float]:
     return {leaf: value for (leaf, _), value in leaf_ranks(blocks, value_of, [share]).items()}
 
 
-def leaf_ranks(blocks: Blocks, value_of, shares: list[float]) -> dict[tuple[int, int], float]:
+def _rank(share: float, n: int) -> int:
+    return max(int(np.ceil(share * n)) - 1, 0)
+
+
+def leaf_ranks(blocks: Blocks, value_of, shares: list[float], first: FirstBins | None = None) -> dict[tuple[int, int], float]:
     """The values of ranks ceil(share * n) of every leaf that has rows, exactly, by leaf and number of the share.
 
     ``value_of(block row)`` gives leaf and value of its rows. Each leaf and share has a bracket of values that is
-    cut to the bin with the wanted rank until few are left; only those go to the driver.
+    cut to the bin with the wanted rank until few are left; only those go to the driver. The search begins with the
+    bins of ``first``, which spares it the pass over the least and largest values and mostly all but one of the cuts.
     """
-
-    def rank(share, n):
-        return max(int(np.ceil(share * n)) - 1, 0)
-
     if blocks.rows is not None:
         parts = [value_of(row) for row in blocks.rows] or [(np.zeros(0, np.int64), np.zeros(0))]
         leaf, value = (np.concatenate(x) for x in zip(*parts))
         own = {x: np.sort(value[leaf == x]) for x in np.unique(leaf).tolist()}
-        return {(x, i): float(v[rank(share, len(v))]) for x, v in own.items() for i, share in enumerate(shares)}
-
-    def ranges(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                leaf, value = value_of(row)
-                yield pd.DataFrame({"leaf": leaf, "value": value}).groupby("leaf").value.agg(["size", "min", "max"]).reset_index()
+        return {(x, i): float(v[_rank(share, len(v))]) for x, v in own.items() for i, share in enumerate(shares)}
 
-    made = blocks.frame.mapInPandas(ranges, "leaf long, size long, min double, max double")
-    found = {r["leaf"]: r for r in made.groupBy("leaf").agg(F.sum("size").alias("size"), F.min("min").alias("min"), F.max("max").alias("max")).collect()}
     # (leaf, share) -> (least, first above, rows below, rows inside, wanted rank from 0)
-    open_ = {
-        (x, i): (r["min"], np.nextafter(r["max"], np.inf), 0, r["size"], rank(share, r["size"])) for x, r in found.items() for i, share in enumerate(shares)
-    }
+    open_ = first.brackets(blocks, value_of, shares) if first else None
+    if open_ is None:
+        open_ = _whole_ranges(blocks, value_of, shares)
     grid = 512
     while True:
         wide = [x for x, (low, high, _, inside, _) in open_.items() if inside > HELD_VALUES and np.nextafter(low, np.inf) < high]
@@ -216,15 +233,76 @@ def leaf_ranks(blocks: Blocks, value_of, shares: list[float]) -> dict[tuple[int,
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 leaf, value = value_of(row)
-                for i, (x, low, high) in enumerate(few):
-                    own = value[(leaf == x) & (value >= low) & (value < high)]
-                    yield pd.DataFrame({"bracket": np.full(len(own), i), "value": own})
+                kept = [value[(value >= low) & (value < high) & (leaf == x)].tobytes() for x, low, high in few]
+                yield pd.DataFrame({"bracket": np.arange(len(few)), "values": kept})
+
+    held: dict[int, list] = {i: [] for i in range(len(few))}
+    for r in blocks.frame.mapInPandas(inside, "bracket long, values binary").where(F.length("values") > 0).collect():
+        held[r["bracket"]].append(np.frombuffer(r["values"]))
+    kept = {b: np.sort(np.concatenate([np.zeros(0), *held[i]])) for i, b in enumerate(few)}
+    return {x: float(kept[x[0], o[0], o[1]][o[4] - o[2]]) if o[3] <= HELD_VALUES else o[0] for x, o in open_.items()}
+
+
+def _whole_ranges(blocks: Blocks, value_of, shares: list[float]) -> dict[tuple[int, int], tuple]:
+    """Brackets that hold all values of a leaf."""
+
+    def ranges(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                leaf, value = value_of(row)
+                yield pd.DataFrame({"leaf": leaf, "value": value}).groupby("leaf").value.agg(["size", "min", "max"]).reset_index()
+
+    made = blocks.frame.mapInPandas(ranges, "leaf long, size long, min double, max double")
+    found = {r["leaf"]: r for r in made.groupBy("leaf").agg(F.sum("size").alias("size"), F.min("min").alias("min"), F.max("max").alias("max")).collect()}
+    return {
+        (x, i): (r["min"], np.nextafter(r["max"], np.inf), 0, r["size"], _rank(share, r["size"])) for x, r in found.items() for i, share in enumerate(shares)
+    }
+
 
-    held: dict[int, list] = {}
-    for r in blocks.frame.mapInPandas(inside, "bracket long, value double").collect():
-        held.setdefault(r["bracket"], []).append(r["value"])
-    kept = {b: sorted(held.get(i, [])) for i, b in enumerate(few)}
-    return {x: kept[x[0], o[0], o[1]][o[4] - o[2]] if o[3] <= HELD_VALUES else o[0] for x, o in open_.items()}
+class FirstBins:
+    """Bins of like numbers of values, with which searches for quantiles begin that follow each other.
+
+    The values of a search tell the next one where to cut. How well they do decides how many passes a search takes,
+    never what it finds.
+    """
+
+    def __init__(self, count: int = FIRST_BINS):
+        self.count, self.edges, self.leaves = count, None, 0
+
+    def learn(self, edges: np.ndarray, upto: np.ndarray) -> None:
+        """Cut anew where ``upto`` values, of growing number, lie at or below these edges."""
+        if len(edges) < 2 or upto[-1] <= upto[0]:
+            return
+        inner = np.unique(np.interp(np.linspace(upto[0], upto[-1], self.count - 1), upto, edges))
+        reach = inner[-1] - inner[0]
+        if np.isfinite(reach) and reach > 0:  # room for values outside
+            self.edges = np.unique([inner[0] - reach, *inner, inner[-1] + reach])
+
+    def brackets(self, blocks: Blocks, value_of, shares: list[float]) -> dict[tuple[int, int], tuple] | None:
+        """The bin of every leaf (numbers below ``leaves``) and share; None if nothing was learned, there are too many
+        leaves or a bin without an end holds many values."""
+        edges, leaves = self.edges, self.leaves
+        if edges is None or leaves * (len(edges) + 1) > FIRST_SUMS:
+            return None
+        bins, ends = len(edges) + 1, np.concatenate([[-np.inf], edges, [np.inf]])
+
+        def counts(row):
+            leaf, value = value_of(row)
+            return np.bincount(leaf * bins + np.searchsorted(edges, value, "right"), minlength=leaves * bins).astype(float)
+
+        counted = total_of(blocks, counts, leaves * bins).reshape(leaves, bins).astype(np.int64)
+        self.learn(edges, np.cumsum(counted.sum(axis=0))[:-1])
+        out = {}
+        for x in np.flatnonzero(counted.sum(axis=1)).tolist():
+            upto = np.cumsum(counted[x])
+            for i, share in enumerate(shares):
+                wanted = _rank(share, int(upto[-1]))
+                at = int(np.searchsorted(upto, wanted, "right"))
+                inside = int(counted[x, at])
+                if inside > HELD_VALUES and at in (0, bins - 1):
+                    return None
+                out[x, i] = (float(ends[at]), float(ends[at + 1]), int(upto[at]) - inside, inside, wanted)
+        return out
 
 
 class BinnedModel:
@@ -276,15 +354,19 @@ class Booster:
         start = leaf_quantiles(blocks, lambda row: (np.zeros(row.n, np.int64), np.frombuffer(row.z)), share).get(0, 0.0)
         trees: list[Tree] = []
         recent: list[Tree] = [_constant(start / p["learning_rate"])]  # the start is the first tree until scores are written
-        losses = []
+        losses, first = [], FirstBins()
+        if self.loss == "quantile" and blocks.rows is None:
+            known = np.array(rows.approxQuantile("z", [k / 256 for k in range(257)], 0.001), dtype=float) - start
+            first.learn(known, np.arange(len(known)))
         for round_ in range(p["n_estimators"]):
             rng = np.random.default_rng([self.seed, round_])
             columns = np.sort(rng.permutation(width)[: max(1, round(p["colsample_bytree"] * width))])
             tree, loss = self._grow(blocks, recent, round_, columns)
             losses.append(loss)
             if self.loss == "quantile":
-                values = leaf_quantiles(blocks, self._residuals(recent, tree), share)
-                for leaf, value in values.items():
+                first.leaves = len(tree.feature)
+                values = leaf_ranks(blocks, self._residuals(recent, tree), [share], first)
+                for (leaf, _), value in values.items():
                     tree.value[leaf] = value
             trees.append(tree)
             recent.append(tree)
@@ -319,6 +401,7 @@ class Booster:
         """One tree, a job per level; leaves take a Newton step. Also the mean loss before it."""
         p, tree, active, mean_loss = self.params, Tree(), [0], 0.0
         seed, subsample, rate, slopes = self.seed, p["subsample"], p["learning_rate"], self.slopes
+        quantile = self.quantile if self.loss == "quantile" else None
         for depth in range(p["max_depth"]):
             shape = (len(active), len(columns), BINS, 3)
 
@@ -331,10 +414,20 @@ class Booster:
                 use = at >= 0
                 if subsample < 1:
                     use &= np.random.default_rng([seed, round_, row.block]).random(row.n) < subsample
-                out = np.zeros(shape)
+                if use.all():
+                    use = slice(None)
+                own, slope, curve, out = at[use], slope[use], curve[use], np.zeros(shape)
+                above = slope > 0
                 for j, c in enumerate(columns):
-                    key = at[use] * BINS + bins[use, c]
-                    for k, weights in enumerate((np.ones(use.sum()), slope[use], curve[use])):
+                    if quantile is not None:  # two slopes and one curvature: the rows of each slope tell all sums
+                        key = (2 * own + above) * BINS + bins[use, c]
+                        below, over = np.bincount(key, minlength=2 * shape[0] * BINS).reshape(shape[0], 2, BINS).transpose(1, 0, 2)
+                        out[:, j, :, 0] = out[:, j, :, 2] = below + over
+                        out[:, j, :, 1] = quantile * over + (quantile - 1) * below
+                        continue
+                    key = own * BINS + bins[use, c]
+                    out[:, j, :, 0] = np.bincount(key, minlength=shape[0] * BINS).reshape(shape[0], BINS)
+                    for k, weights in ((1, slope), (2, curve)):
                         out[:, j, :, k] = np.bincount(key, weights, shape[0] * BINS).reshape(shape[0], BINS)
                 return np.append(out.ravel(), [loss.sum(), row.n])
 
@@ -454,7 +547,7 @@ class MedianForest:
                     yield part.assign(drawn=[self.weights(row, trees).astype(np.uint8).tobytes() for row in part.itertuples(index=False)])
 
         schema = "block long, n long, bins binary, z binary, score binary, drawn binary"
-        return Blocks(cut_lineage(blocks.frame.mapInPandas(run, schema)), blocks.count, None)
+        return blocks._replace(frame=cut_lineage(blocks.frame.mapInPandas(run, schema)), rows=None)
 
     def _split_large(self, blocks: Blocks, trees: list[Tree], depth: dict, rows: dict, width: int) -> list[tuple[int, int]]:
         """Split nodes of more than ``block_rows`` rows on sums over bins of the feature and of the target; the nodes
@@ -471,7 +564,7 @@ class MedianForest:
                 shape = (len(part), 2, width, BINS, len(targets) + 1)
 
                 def add(row, part=part, shape=shape):
-                    bins, z = np.frombuffer(row.bins, np.uint8).reshape(row.n, -1), np.frombuffer(row.z)
+                    bins, z = bins_of(row), np.frombuffer(row.z)
                     drawn, zbin, out = self.weights(row, len(trees)), np.searchsorted(targets, z, "left"), np.zeros(shape)
                     for i, (t, node) in enumerate(part):
                         use = (trees[t].leaves_of(bins) == node) & (drawn[:, t] > 0)
@@ -501,7 +594,7 @@ class MedianForest:
             return
 
         def value_of(row):
-            bins, z, drawn = np.frombuffer(row.bins, np.uint8).reshape(row.n, -1), np.frombuffer(row.z), self.weights(row, len(trees))
+            bins, z, drawn = bins_of(row), np.frombuffer(row.z), self.weights(row, len(trees))
             leaf, value = [np.zeros(0, np.int64)], [np.zeros(0)]
             for i, (t, node) in enumerate(done):
                 times = np.where(trees[t].leaves_of(bins) == node, drawn[:, t], 0)
@@ -525,7 +618,7 @@ class MedianForest:
         def deal(batches):
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
-                    bins, z, drawn = np.frombuffer(row.bins, np.uint8).reshape(row.n, -1), np.frombuffer(row.z), weights(row, len(trees))
+                    bins, z, drawn = bins_of(row), np.frombuffer(row.z), weights(row, len(trees))
                     for t, tree in enumerate(trees):
                         leaf, out = tree.leaves_of(bins), []
                         for node in np.unique(leaf):
