@@ -58,7 +58,7 @@ class Tree:
 
     def leaves_of(self, bins: np.ndarray) -> np.ndarray:
         if len(self.feature) <= FEW_NODES:
-            return self._chosen(bins, range(len(self.feature)), np.int64)
+            return self._split_by_split(bins).astype(np.int64)
         feature, cut, left, right = (np.array(getattr(self, k)) for k in ("feature", "cut", "left", "right"))
         node = np.zeros(len(bins), np.int64)
         while True:
@@ -69,18 +69,19 @@ class Tree:
             goes_left = bins[inner, feature[at]] <= cut[at]
             node[inner] = np.where(goes_left, left[at], right[at])
 
-    def predict(self, bins: np.ndarray) -> np.ndarray:
-        if len(self.feature) <= FEW_NODES:
-            return self._chosen(bins, self.value, float)
-        return np.array(self.value)[self.leaves_of(bins)]
+    def predict(self, bins: np.ndarray, rate: float = 1.0) -> np.ndarray:
+        few = len(self.feature) <= FEW_NODES
+        return np.take(rate * np.array(self.value), self._split_by_split(bins) if few else self.leaves_of(bins))
 
-    def _chosen(self, bins: np.ndarray, items, kind) -> np.ndarray:
-        """The item of every row's leaf: both sides of a split for all rows, children before their parents."""
-        found = list(items)
+    def _split_by_split(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of every row: each split takes one of its sides for all rows, children before their parents."""
+        found = [np.uint8(node) for node in range(len(self.feature))]
         for node in range(len(found) - 1, -1, -1):
             if self.feature[node] >= 0:
-                found[node] = np.where(bins[:, self.feature[node]] <= self.cut[node], found[self.left[node]], found[self.right[node]])
-        return np.full(len(bins), found[0], kind) if self.feature[0] < 0 else found[0]
+                goes_left = -(bins[:, self.feature[node]] <= self.cut[node]).view(np.uint8)  # all bits or none
+                left, right = found[self.left[node]], found[self.right[node]]
+                found[node] = right ^ ((left ^ right) & goes_left)
+        return np.zeros(len(bins), np.uint8) if self.feature[0] < 0 else found[0]
 
 
 def bin_edges(rows: DataFrame, bins: int = BINS) -> list[np.ndarray]:
@@ -136,7 +137,7 @@ def opened(row, trees: list[Tree], rate: float) -> tuple[np.ndarray, np.ndarray,
     bins = bins_of(row)
     score = np.frombuffer(row.score).copy()
     for tree in trees:
-        score += rate * tree.predict(bins)
+        score += tree.predict(bins, rate)
     return bins, np.frombuffer(row.z), score
 
 
@@ -418,14 +419,15 @@ class Booster:
                     use = slice(None)
                 own, slope, curve, out = at[use], slope[use], curve[use], np.zeros(shape)
                 above = slope > 0
+                first = (2 * own + above if quantile is not None else own) * BINS
                 for j, c in enumerate(columns):
                     if quantile is not None:  # two slopes and one curvature: the rows of each slope tell all sums
-                        key = (2 * own + above) * BINS + bins[use, c]
+                        key = first + bins[use, c]
                         below, over = np.bincount(key, minlength=2 * shape[0] * BINS).reshape(shape[0], 2, BINS).transpose(1, 0, 2)
                         out[:, j, :, 0] = out[:, j, :, 2] = below + over
                         out[:, j, :, 1] = quantile * over + (quantile - 1) * below
                         continue
-                    key = own * BINS + bins[use, c]
+                    key = first + bins[use, c]
                     out[:, j, :, 0] = np.bincount(key, minlength=shape[0] * BINS).reshape(shape[0], BINS)
                     for k, weights in ((1, slope), (2, curve)):
                         out[:, j, :, k] = np.bincount(key, weights, shape[0] * BINS).reshape(shape[0], BINS)
