@@ -150,3 +150,21 @@ def test_default_seasonal_variations_fit_what_they_name(spark):
 def test_too_short_for_residuals_is_no_fit(spark):
     split = chrono_split(panel_frame(spark, {"a": series(16, 4)}))
     assert {r.variation for r in ar.fit_ar(split, [ar.order(1, 0), ar.order(1, 0, q=1)]).collect()} == {0}
+
+
+@pytest.mark.parametrize("grid", [ar.PLAIN, [ar.order(1, 1, 0, 1, 0, 1), ar.order(1, 0, 1, 0, 1, 1), ar.order(2, 1, 0, 0, 1)]])
+@pytest.mark.parametrize("period", [None, 4])
+def test_series_of_dates_are_fitted_in_one_pass_as_by_windows(spark, monkeypatch, grid, period):
+    """Short series miss orders, filters or both; the windows serve as the plain way."""
+    values = {f"s{n}": np.random.default_rng(n).normal(size=n).cumsum() for n in (3, 7, 12, 19, 31, 60, 140)}
+    split = chrono_split(panel_frame(spark, values)).persist()
+    plan = ar.fit_ar(split, grid, period)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    once = {(r["series_id"], r["variation"]): r for r in plan.collect()}
+    monkeypatch.setattr(ar, "one_row_per_date", lambda split: False)
+    wanted = {(r["series_id"], r["variation"]): r for r in ar.fit_ar(split, grid, period).collect()}
+    assert set(once) == set(wanted) and {v for _, v in once} == {0, 1, 2}
+    for key, row in wanted.items():
+        for c in ("intercept", "coef", "state", "theta", "shocks"):
+            assert np.allclose(once[key][c], row[c], rtol=1e-6, atol=1e-6), (key, c)
+    split.unpersist()

@@ -3,8 +3,9 @@
 A fit is reduced to one linear recursion on the (standardised) series, whatever its differences, so
 that one rollout serves all orders. Orders with moving-average terms take two regressions: a long
 autoregression, solved from sums, gives every row its residual; then the differenced series is regressed
-on its lags and on lags of those residuals, which again needs sums only. Each regression is one pass
-over the rows for all orders together, and the lags come from windows over blocks of neighbouring rows.
+on its lags and on lags of those residuals, which again needs sums only. A series of dates is fitted in the
+task that holds its rows. For series of timestamps each regression is one pass over the rows for all orders
+together, and the lags come from windows over blocks of neighbouring rows.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.forecast.common import forecast_rows, test_rows, train_scale
-from tidewater.forecast.gram import cross_products_of, solve_many, stacked_sums, stacks
+from tidewater.forecast.gram import cross_products_of, group_starts, solve_many, stacked_sums, stacks
+from tidewater.forecast.linear import whole_series
 from tidewater.forecast.rollout import recursive_rollout
-from tidewater.operators.positions import SERIES, TS, Y, over_neighbours
+from tidewater.operators.positions import SERIES, TS, Y, one_row_per_date, over_neighbours
 from tidewater.operators.ranking import best_candidate, mark_chosen
 from tidewater.operators.splits import period_for_training
 from tidewater.session import spread
@@ -235,27 +237,31 @@ def grams_by_period(pdf: pd.DataFrame, widths: list[int]):
         yield int(period), own, [g.reshape(len(own), w, w) for g, w in zip(np.split(flat, ends[:-1], axis=1), widths)]
 
 
+def filters_of(stacked: list[np.ndarray], tries: dict[tuple, list[dict]], known: list[dict], period: int) -> list[list]:
+    """The filters of many series of one period, from the cross products of all autoregressions to try."""
+    lags, filters = _lags_of(known, period), [[None] * len(tries) for _ in range(len(stacked[0]))]
+    places = {family: i for i, family in enumerate(tries)}
+    for s, g in zip([s for specs in tries.values() for s in specs], stacked):
+        fitted, constant, recursion, _ = solve(g, s, period)
+        # lags that this autoregression doesn't use weigh nothing
+        used = [np.zeros(len(fitted)) if k > recursion.shape[1] else -recursion[:, k - 1] for k in lags[1:]]
+        weights = np.column_stack([np.ones(len(fitted)), *used, constant])
+        for at, line in zip(fitted, weights.tolist()):
+            family = places[s["d"], s["D"]]
+            if filters[at][family] is None and g[at, 0, 0] >= LONG_ROWS * (s["p"] + s["P"] + 1):
+                filters[at][family] = line
+    return filters
+
+
 def residual_filters(grams: DataFrame, tries: dict[tuple, list[dict]], known: list[dict]) -> DataFrame:
     """(series_id, filters): per pair of differences the weights of the raw lags and a constant that make the
     residual of the longest autoregression the series has rows for; null where it has too few."""
-    flat = [s for specs in tries.values() for s in specs]
-    widths = gram_widths(flat)
+    widths = gram_widths([s for specs in tries.values() for s in specs])
 
     def run(batches):
         for pdf in batches:
             for period, own, stacked in grams_by_period(pdf, widths):
-                lags, filters = _lags_of(known, period), [[None] * len(tries) for _ in range(len(own))]
-                places = {family: i for i, family in enumerate(tries)}
-                for s, g in zip(flat, stacked):
-                    fitted, constant, recursion, _ = solve(g, s, period)
-                    # lags that this autoregression doesn't use weigh nothing
-                    used = [np.zeros(len(fitted)) if k > recursion.shape[1] else -recursion[:, k - 1] for k in lags[1:]]
-                    weights = np.column_stack([np.ones(len(fitted)), *used, constant])
-                    for at, line in zip(fitted, weights.tolist()):
-                        family = places[s["d"], s["D"]]
-                        if filters[at][family] is None and g[at, 0, 0] >= LONG_ROWS * (s["p"] + s["P"] + 1):
-                            filters[at][family] = line
-                yield pd.DataFrame({SERIES: own[SERIES].to_numpy(), "filters": filters})
+                yield pd.DataFrame({SERIES: own[SERIES].to_numpy(), "filters": filters_of(stacked, tries, known, period)})
 
     return spread(grams, SERIES).mapInPandas(run, f"{SERIES} string, filters array<array<double>>")
 
@@ -302,10 +308,12 @@ def fit_ar(split: DataFrame, specs: list[dict], period: int | None = None, long:
     ``theta`` weighs the residuals 1, 2, ... rows back, ``shocks`` holds the last ones, newest first.
     """
     depth = max(reach(s, m) for s in specs for m in ([period] if period else PERIODS))
-    state = last_values(split.where("is_train"), depth, "n_train")
     tries = long_orders(specs, long)
     families = list(tries)
     known = [*specs, *[s for own in tries.values() for s in own]]
+    if one_row_per_date(split):
+        return _fit_whole_series(split, specs, known, tries, period, depth)
+    state = last_values(split.where("is_train"), depth, "n_train")
     rows = lag_rows(split, known, period)
     if families:
         filters = residual_filters(ar_grams(rows, [s for own in tries.values() for s in own], known), tries, known)
@@ -320,26 +328,90 @@ def fit_ar(split: DataFrame, specs: list[dict], period: int | None = None, long:
     def run(batches):
         for pdf in batches:
             for period, own, stacked in grams_by_period(pdf, widths):
-                series, means, stds, states = (own[c].to_numpy() for c in (SERIES, "y_mean", "y_std", "state"))
-                known_values = np.array([len(x) for x in states])
-                shocks = [s * np.nan_to_num(np.array([list(e) for e in x], dtype=float)) for s, x in zip(stds, own["shocks"])] if families else []
-                for i, (g, s) in enumerate(zip(stacked, specs)):
-                    fitted, intercept, coef, theta = solve(g, s, period)
-                    enough = known_values[fitted] >= reach(s, period)
-                    fitted, intercept, coef, theta = (x[enough] for x in (fitted, intercept, coef, theta))
-                    if not len(fitted):
-                        continue
-                    if s["d"] + s["D"] == 0:
-                        intercept = stds[fitted] * intercept + means[fitted] * (1.0 - coef.sum(axis=1))
-                    late = [[]] * len(fitted)
-                    if theta.shape[1]:
-                        at = families.index((s["d"], s["D"]))
-                        late = [shocks[j][: theta.shape[1], at].tolist() for j in fitted]
-                    made = {"coef": coef.tolist(), "state": list(states[fitted]), "theta": theta.tolist(), "shocks": late}
-                    yield pd.DataFrame({SERIES: series[fitted], "variation": i, "intercept": intercept, **made})
-
-    schema = f"{SERIES} string, variation int, intercept double, coef array<double>, state array<double>, theta array<double>, shocks array<double>"
-    return spread(grams, SERIES).mapInPandas(run, schema)
+                yield from fits_of(stacked, specs, families, period, *(own[c].to_numpy() for c in (SERIES, "y_mean", "y_std", "state", "shocks")))
+
+    return spread(grams, SERIES).mapInPandas(run, FIT_SCHEMA)
+
+
+FIT_SCHEMA = f"{SERIES} string, variation int, intercept double, coef array<double>, state array<double>, theta array<double>, shocks array<double>"
+
+
+def fits_of(stacked: list[np.ndarray], specs: list[dict], families: list[tuple], period: int, series, means, stds, states, shocks):
+    """The fits of many series of one period, a frame per order, from the cross products of all orders."""
+    known_values = np.array([len(x) for x in states])
+    late_errors = [s * np.nan_to_num(np.array([list(e) for e in x], dtype=float)) for s, x in zip(stds, shocks)] if families else []
+    for i, (g, s) in enumerate(zip(stacked, specs)):
+        fitted, intercept, coef, theta = solve(g, s, period)
+        enough = known_values[fitted] >= reach(s, period)
+        fitted, intercept, coef, theta = (x[enough] for x in (fitted, intercept, coef, theta))
+        if not len(fitted):
+            continue
+        if s["d"] + s["D"] == 0:
+            intercept = stds[fitted] * intercept + means[fitted] * (1.0 - coef.sum(axis=1))
+        late = [[]] * len(fitted)
+        if theta.shape[1]:
+            at = families.index((s["d"], s["D"]))
+            late = [late_errors[j][: theta.shape[1], at].tolist() for j in fitted]
+        made = {"coef": coef.tolist(), "state": [states[j] for j in fitted], "theta": theta.tolist(), "shocks": late}
+        yield pd.DataFrame({SERIES: series[fitted], "variation": i, "intercept": intercept, **made})
+
+
+def _fit_whole_series(split: DataFrame, specs: list[dict], known: list[dict], tries: dict[tuple, list[dict]], period: int | None, depth: int) -> DataFrame:
+    """:func:`fit_ar` for series of dates, which the calendar bounds: the rows of a series meet in one task, once, and all
+    regressions follow there. Lags are shifts of whole columns, and many series are worked on side by side."""
+    families, long = list(tries), [s for own in tries.values() for s in own]
+    shown = max([k for m in ([period] if period else PERIODS) for k in error_shifts(specs, m)], default=0)
+    z = (F.col(Y) - F.col("y_mean")) / F.col("y_std")
+    train = with_period(split, period).where("is_train").join(train_scale(split), SERIES).select(*KEYS, "rn", Y, z.alias("z"))
+
+    def newest(values, starts, sizes, count):
+        return [values[a : a + n][::-1][:count] for a, n in zip(starts, sizes)]
+
+    def of_period(pdf, starts, period):
+        n = len(pdf)
+        sizes = np.diff(np.append(starts, n))
+        owner, lines = np.repeat(np.arange(len(starts)), sizes), list(stacks(starts, n))
+        place = np.arange(n) - starts[owner]
+
+        def shifted(values, k):
+            out = np.full(n, np.nan)
+            out[k:] = values[: max(n - k, 0)]
+            out[place < k] = np.nan
+            return out
+
+        def summed_up(x, width):
+            return cross_products_of(x, lines, len(starts)).reshape(-1, width, width)
+
+        target, lags = pdf["z"].to_numpy(dtype=float), _lags_of(known, period)
+        values = {k: shifted(target, k) for k in lags}
+        errors, shocks = {}, None
+        if families:
+            filters, kept = filters_of([summed_up(design(values, s, period), w) for s, w in zip(long, gram_widths(long))], tries, known, period), []
+            for i, family in enumerate(families):
+                has = np.array([f[i] is not None for f in filters])
+                weights = np.array([f[i] or [0.0] * (len(lags) + 1) for f in filters])[owner].T
+                # a weight of zero belongs to a lag that this autoregression doesn't use: it may be missing
+                residual = sum(np.where(w == 0, 0.0, values[k] * w) for k, w in zip(lags, weights)) - weights[-1]
+                residual[~has[owner]] = np.nan
+                kept.append(residual)
+                errors[family] = {k: np.where(has[owner], np.nan_to_num(shifted(residual, k)), np.nan) for k in error_shifts(specs, period)}
+            shocks = newest(np.column_stack(kept), starts, sizes, shown)
+        stacked = []
+        for s, width in zip(specs, gram_widths(specs)):
+            x = design(values, s, period)
+            stacked.append(summed_up(with_errors(x, errors[s["d"], s["D"]], s, period) if s["q"] or s["Q"] else x, width))
+        firsts = [pdf[c].to_numpy()[starts] for c in (SERIES, "y_mean", "y_std")]
+        yield from fits_of(stacked, specs, families, period, *firsts, newest(pdf[Y].to_numpy(dtype=float), starts, sizes, depth), shocks)
+
+    def run(batches):
+        for pdf in whole_series(batches):
+            starts, periods = group_starts(pdf[SERIES].to_numpy()), pdf["period"].to_numpy()
+            sizes = np.diff(np.append(starts, len(pdf)))
+            for period in np.unique(periods):
+                own = sizes[periods[starts] == period]
+                yield from of_period(pdf[periods == period], np.cumsum(own) - own, int(period))
+
+    return spread(train, SERIES).sortWithinPartitions(SERIES, "rn").mapInPandas(run, FIT_SCHEMA)
 
 
 def forecast_fits(split: DataFrame, fits: DataFrame, model_key: str) -> DataFrame:
