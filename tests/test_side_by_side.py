@@ -43,6 +43,55 @@ def test_reweighted_fits_of_a_task_share_their_passes(spark, loss):
     assert np.allclose(gaps, [fits[s]["gap"] for s in sorted(fits)], atol=1e-4) and coefs.shape == (12, len(feature_names()) + 1)
 
 
+def test_passes_of_a_fit_share_one_decomposition(monkeypatch):
+    rng, real_eigh, decomposed = np.random.default_rng(8), np.linalg.eigh, []
+    m = rng.normal(size=(6, 50, 15))
+    m[..., 0], m[..., 8], m[..., -1] = 1.0, m[..., 1:4].mean(axis=2), m[..., 1] + rng.standard_t(2, size=(6, 50))
+    # numpy's pinv reaches eigh through its own module
+    monkeypatch.setitem(np.linalg.pinv.__wrapped__.__globals__, "eigh", lambda a, *b, **c: decomposed.append(len(a)) or real_eigh(a, *b, **c))
+    monkeypatch.setattr(np.linalg, "eigh", lambda a, *b, **c: decomposed.append(len(a)) or real_eigh(a, *b, **c))
+    fast = linear.iterate_side_by_side(m, np.ones((6, 50), bool), linear.with_defaults({"loss": "huber"}), feature_names(), np.full(6, 2e5))
+    assert sum(decomposed) <= 3 * len(m)
+    monkeypatch.setattr(linear, "solve_again", lambda a, b, *flat: gram.solve_many(a, b))
+    slow = linear.iterate_side_by_side(m, np.ones((6, 50), bool), linear.with_defaults({"loss": "huber"}), feature_names(), np.full(6, 2e5))
+    assert sum(decomposed) > 50 and np.allclose(fast[0], slow[0], atol=1e-9) and np.allclose(fast[1], slow[1], atol=1e-9)
+
+
+def test_known_flat_directions_change_no_solution():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5, 40, 6))
+    x[1, :, 5] = x[1, :, :3].mean(axis=1)  # flat in one direction
+    x[2, :, 5], x[2, :, 4] = x[2, :, 0], 2 * x[2, :, 1]  # in two
+    x[3, :, 5] = x[3, :, 0] + 1e-4 * x[3, :, 5]  # nearly flat, and nearer than the limit
+    x[4, :, 2] = 0.0
+    y = rng.normal(size=(5, 40, 1))
+    flat = gram.flat_directions(x.transpose(0, 2, 1) @ x)
+    assert flat[1].tolist() == [True, True, False, True, True]
+    for penalty in (0.0, 1e-11):
+        w = rng.uniform(0.01, 1, size=(5, 40, 1))
+        a, b = (x * w).transpose(0, 2, 1) @ x + penalty * np.eye(6), ((x * w).transpose(0, 2, 1) @ y)[..., 0]
+        want = gram.solve_many(a, b)
+        assert np.allclose(gram.solve_again(a, b, *flat), want, rtol=1e-6, atol=1e-9)
+        lost = (np.zeros((5, 6)), np.ones(5, bool))  # of no use: every flat system goes the long way
+        assert np.allclose(gram.solve_again(a, b, *lost), want, rtol=1e-6, atol=1e-9)
+
+
+def test_passes_without_proof_keep_the_best(monkeypatch):
+    """A look at every fifth pass only keeps what a look at each would."""
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(4, 30, 15))
+    m[..., 0] = 1.0
+    spec, looks, real_bound = linear.with_defaults({"loss": "quantile"}), [], linear._bounded
+    monkeypatch.setattr(linear, "MAX_PASSES", 7)
+    monkeypatch.setattr(linear, "TOLERANCE", 0.0)
+    monkeypatch.setattr(linear, "_bounded", lambda *a: looks.append((a[4], real_bound(*a))) or looks[-1][1])
+    best, gaps = linear.iterate_side_by_side(m, np.ones((4, 30), bool), spec, feature_names(), np.ones(4))
+    assert len(looks) == 7
+    every = np.stack([g for _, g in looks])
+    assert np.allclose(gaps, every.min(axis=0))
+    assert np.allclose(best, np.stack([c for c, _ in looks])[every.argmin(axis=0), np.arange(4)])
+
+
 def test_scales_of_many_series_are_those_of_each():
     rng = np.random.default_rng(5)
     sizes = [2, 9, 30]

@@ -153,6 +153,52 @@ def solve_many(a: np.ndarray, b: np.ndarray, rcond: float = 1e-10) -> np.ndarray
     return (inverse @ (b / d)[..., None])[..., 0] / d
 
 
+def _unit_diagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = np.sqrt(np.clip(np.diagonal(a, axis1=1, axis2=2), 0.0, None))
+    d[d == 0] = 1.0
+    return a / (d[:, :, None] * d[:, None, :]), d
+
+
+def flat_directions(a: np.ndarray, rcond: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(a direction in which a system is flat, zeros if there is none; whether there is at most one) for a stack of systems.
+
+    Columns that depend on each other do so whatever the weights of the rows.
+    """
+    scaled, d = _unit_diagonal(a)
+    values, vectors = np.linalg.eigh(scaled)
+    small = np.abs(values) <= rcond * np.max(np.abs(values), axis=1, keepdims=True)
+    first = np.take_along_axis(vectors, np.argmax(small, axis=1)[:, None, None], 2)[..., 0]
+    return np.where(small.any(axis=1)[:, None], first / d, 0.0), small.sum(axis=1) <= 1
+
+
+def solve_again(a: np.ndarray, b: np.ndarray, flat: np.ndarray, simple: np.ndarray, rcond: float = 1e-10) -> np.ndarray:
+    """:func:`solve_many` of systems whose :func:`flat_directions` are known from other weights of the same rows.
+
+    With the flat direction lifted a system is inverted as it is. That gives the least-norm solution if the direction
+    is flat here too and no other comes near the limit of being flat; the remaining systems go the long way.
+    """
+    scaled, d = _unit_diagonal(a)
+    u = flat * d
+    u /= np.maximum(np.sqrt(np.sum(u * u, axis=1, keepdims=True)), 1e-300)
+    try:
+        inverse = np.linalg.inv(scaled + u[:, :, None] * u[:, None, :])
+    except np.linalg.LinAlgError:
+        return solve_many(a, b, rcond)
+    left = np.sqrt(np.sum((scaled @ u[..., None]) ** 2, axis=(1, 2)))
+    largest = np.sqrt(np.max(np.sum(scaled**2, axis=2), axis=1))  # at most the largest eigenvalue, at least one
+    u = (inverse @ u[..., None])[..., 0]  # a penalty tilts the direction
+    u /= np.maximum(np.sqrt(np.sum(u * u, axis=1, keepdims=True)), 1e-300)
+    right = b / d
+    right -= u * np.sum(u * right, axis=1, keepdims=True)
+    out = (inverse @ right[..., None])[..., 0]
+    out -= u * np.sum(u * out, axis=1, keepdims=True)
+    out /= d
+    sure = simple & (np.sum(inverse**2, axis=(1, 2)) <= 1e16) & (left <= 0.5 * rcond * largest)
+    if not sure.all():
+        out[~sure] = solve_many(a[~sure], b[~sure], rcond)
+    return out
+
+
 def centred(gram: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(rows, column means, centred cross products) of a gram matrix whose first column is constant."""
     n = gram[0, 0]

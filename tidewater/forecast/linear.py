@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.forecast.common import ONE_STEP, forecast_rows, train_scale
-from tidewater.forecast.gram import STACK_ROWS, centred, cross_products, group_starts, partial_sums, solve_many, solve_sym, square, stacks
+from tidewater.forecast.gram import (
+    STACK_ROWS, centred, cross_products, flat_directions, group_starts, partial_sums, solve_again, solve_many, solve_sym, square, stacks,
+)
 from tidewater.operators.features import CALENDAR, feature_names
 from tidewater.operators.positions import SERIES, TS, Y, one_row_per_date
 from tidewater.operators.ranking import best_candidate, mark_chosen
@@ -44,6 +46,11 @@ ENOUGH_PASSES, MAX_PASSES, MAX_JOBS = 40, 2000, 120
 
 def standardised(split: DataFrame, columns: list[str]) -> DataFrame:
     """``x``: features with y-like columns in units of the series' training mean and deviation; ``z``: y."""
+    return in_units(split.join(train_scale(split), SERIES), columns)
+
+
+def in_units(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """:func:`standardised` for rows that hold the mean and deviation of their series; further columns are kept."""
     mean, std = F.col("y_mean"), F.col("y_std")
 
     def unit(c):
@@ -51,8 +58,8 @@ def standardised(split: DataFrame, columns: list[str]) -> DataFrame:
             return (F.col(c) - CALENDAR_SHIFT[c]).cast("double")
         return F.col(c) / std if c == "rolling_std" else (F.col(c) - mean) / std
 
-    return split.join(train_scale(split), SERIES).select(
-        SERIES, TS, "rn", "n_train", "is_train", Y, "y_mean", "y_std",
+    return rows.select(
+        SERIES, TS, "rn", "n_train", "is_train", Y, "y_mean", "y_std", *more,
         F.array(*[unit(c) for c in columns]).alias("x"),
         ((F.col(Y) - mean) / std).alias("z"),
     )
@@ -84,6 +91,18 @@ def ridge(gram, use, alpha, weight) -> np.ndarray:
     return full
 
 
+def ridges(m: np.ndarray, use: list[int]) -> np.ndarray:
+    """:func:`ridge` without a penalty, of a stack of rows filled up with zeros."""
+    m = np.where(np.isnan(m).any(axis=2)[..., None], 0.0, m)
+    gram = m.transpose(0, 2, 1) @ m
+    means = gram[:, 0, 1:] / gram[:, :1, 0]
+    c = gram[:, 1:, 1:] - gram[:, :1, :1] * (means[:, :, None] * means[:, None, :])
+    full = np.zeros((len(m), m.shape[2] - 1))
+    full[:, [u + 1 for u in use]] = solve_many(c[:, use][:, :, use], c[:, use, -1])
+    full[:, 0] = means[:, -1] - np.sum(means[:, :-1] * full[:, 1:], axis=1)
+    return full
+
+
 def lasso(a: np.ndarray, b: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     """Minimiser of w'aw / 2 - b'w + threshold'|w| by growing a set of signed non-zero coefficients.
 
@@ -292,46 +311,67 @@ def _bounded(x, y, real, n, coef, sigma, w, old_sigma, spec: dict, keep: list[in
     return np.where(np.isfinite(loss), np.maximum(loss - least, 0.0) / n, np.inf)
 
 
+def _weights(x, y, coef, sigma, i: int, spec: dict) -> np.ndarray:
+    """Weights of pass ``i``, from the coefficients and scales of the pass before."""
+    size = np.abs(y - (x @ coef[..., None])[..., 0])
+    if spec["loss"] == "huber":
+        edge = spec["epsilon"] * sigma[:, None]
+        return np.where(size <= edge, 1.0, edge / np.maximum(size, 1e-300))
+    return 1.0 / (size + smoothing(i))
+
+
 def iterate_side_by_side(m: np.ndarray, real: np.ndarray, spec: dict, columns: list[str], stds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients of the rows of many series (a stack of matrices, filled up with zeros where ``real`` is not set),
     and the proven gaps of their mean losses. Every pass takes the series that have not converged."""
     use, k = used_columns(spec, columns), m.shape[2] - 1
     keep, diagonal = [0, *[u + 1 for u in use]], np.arange(1, len(use) + 1)
     weight = np.stack([raw_weight(columns, s) for s in stds])
-    coef = np.stack([ridge(square(cross_products(x[on]), k + 1), use, 0.0, w) for x, on, w in zip(m, real, weight)])
-    sigma = np.array([float(np.std((x[:, -1] - x[:, :-1] @ c)[on])) or 1.0 for x, on, c in zip(m, real, coef)])
+    coef = ridges(m, use)
+    errors = m[..., -1] - (m[..., :-1] @ coef[..., None])[..., 0]
+    sigma = np.std(errors, axis=1, where=real)
+    sigma = np.where(sigma == 0, 1.0, sigma)
     best, gaps = coef.copy(), np.full(len(m), np.inf)
     at, n, totals = np.arange(len(m)), real.sum(axis=1), m[..., :-1].sum(axis=1)
     pull_weight = HUBER_RIDGE / stds[:, None] * weight[:, use] ** 2
+    flat, passes = None, []
     for i in range(MAX_PASSES):
         x, y, before, old_sigma = m[..., :-1], m[..., -1], coef, sigma
-        size = np.abs(y - (x @ coef[..., None])[..., 0])
-        if spec["loss"] == "huber":
-            edge = spec["epsilon"] * sigma[:, None]
-            w = np.where(size <= edge, 1.0, edge / np.maximum(size, 1e-300))
-        else:
-            w = 1.0 / (size + smoothing(i))
+        w = _weights(x, y, coef, sigma, i, spec)
         gram = (m * w[..., None]).transpose(0, 2, 1) @ m
         a, b = gram[:, keep][:, :, keep], gram[:, keep, k]
         if spec["loss"] == "huber":
             a[:, diagonal, diagonal] += pull_weight * sigma[:, None]
         else:
             b = b + (2 * spec["quantile"] - 1) * totals[:, keep]
+        flat = flat_directions(a) if flat is None else flat
         coef = np.zeros(coef.shape)
-        coef[:, keep] = solve_many(a, b)
+        coef[:, keep] = solve_again(a, b, *flat)
         if spec["loss"] == "huber":
             sigma = np.maximum(best_scales(y - (x @ coef[..., None])[..., 0], real, spec["epsilon"]), smoothing(i))
-        now = _bounded(x, y, real, n, coef, sigma, w, old_sigma, spec, keep, pull_weight)
-        proven = now <= np.maximum(gaps[at], TOLERANCE)  # once proven, the last one counts
-        best[at[proven]], gaps[at[proven]] = coef[proven], now[proven]
+        passes.append((i, before, old_sigma, coef, sigma))
         # Looked at as often as where it takes a job, so that both stop at the same coefficients.
-        if i % 5 == 4:
+        if i % 5 == 4 or i == MAX_PASSES - 1:
+            # Once proven, the last one counts: the passes before matter only to series that this one proves nothing for.
+            now = _bounded(x, y, real, n, coef, sigma, w, old_sigma, spec, keep, pull_weight)
+            open_ = np.flatnonzero(~(now <= TOLERANCE))
+            if len(open_):
+                rows, inside, count, pull = x[open_], real[open_], n[open_], pull_weight[open_]
+                for j, *state in passes[:-1]:
+                    first, first_sigma, then, then_sigma = (v[open_] for v in state)
+                    then_w = _weights(rows, y[open_], first, first_sigma, j, spec)
+                    gap = _bounded(rows, y[open_], inside, count, then, then_sigma, then_w, first_sigma, spec, keep, pull)
+                    proven = gap <= np.maximum(gaps[at[open_]], TOLERANCE)
+                    best[at[open_[proven]]], gaps[at[open_[proven]]] = then[proven], gap[proven]
+            proven = now <= np.maximum(gaps[at], TOLERANCE)
+            best[at[proven]], gaps[at[proven]] = coef[proven], now[proven]
+            passes = []
             moved = np.max(np.abs(coef - before), axis=1)
             goes_on = (gaps[at] > TOLERANCE) | (~(moved < SETTLED) & (i + 1 < ENOUGH_PASSES))
             if not goes_on.any():
                 break
             if not goes_on.all():
                 m, real, coef, sigma, n, totals, pull_weight, at = (v[goes_on] for v in (m, real, coef, sigma, n, totals, pull_weight, at))
+                flat = tuple(v[goes_on] for v in flat)
     return best, gaps
 
 
@@ -521,7 +561,7 @@ def fit_linear(split: DataFrame, specs: list[dict], columns: list[str] | None =
 def predict_linear(split: DataFrame, fits: DataFrame, columns: list[str] | None = None, where: str = "not is_train") -> DataFrame:
     """One-step forecasts: the features of a row hold the true values before it."""
     columns = columns or feature_names()
-    rows = standardised(split, columns).where(where).drop("y_mean", "y_std").join(fits, SERIES)
+    rows = in_units(split.where(where).join(fits, SERIES), columns, "variation", "coef")
     dot = F.col("coef")[0] + reduce(
         lambda a, b: a + b, [F.col("coef")[i + 1] * F.col("x")[i] for i in range(len(columns))]
     )
